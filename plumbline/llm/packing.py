@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import runs, stored
-from .tokens import binaries, encoder, with_end
+from .tokens import RUN, binaries, encoder, with_end
 
 CAPACITY = 4096
 _RANK_BITS = 44
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     def cut(batches):
         own = encoder(tokenizer)
         for batch in batches:
-            for run in runs(batch, "text"):
+            for run in runs(batch, "text", RUN):
                 offsets, ids = with_end(*own.encode(run.column("text")), end_id)
                 n = np.diff(offsets)
                 times = -(-n // capacity)

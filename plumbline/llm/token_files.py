@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, runs, shuffle_width, stored
-from .tokens import binaries, encoder, with_end
+from .tokens import RUN, binaries, encoder, with_end
 
 SEQUENCE = 2048
 ROWS = 512  # sequences in a record batch
@@ -81,7 +81,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         writer = index = None
         held = done = 0
         for batch in batches:
-            for run in runs(batch, "text"):
+            for run in runs(batch, "text", RUN):
                 if writer is None:
                     sinks = [fs.open_output_stream(f"{p}.{attempt}") for p in paths]
                     shape = pa.schema([("id", run.schema.field("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])

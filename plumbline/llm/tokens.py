@@ -23,6 +23,11 @@ CACHE_WORDS = 600_000
 #: Two white-space characters in a row, the mark that pieces are split at, or the start of a special token.
 _WHOLE = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]{2}|[\x{01}\x{85}\x{1C}-\x{1F}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
 
+#: ASCII punctuation, without the apostrophe, at a word's end after an ASCII letter or digit or a Latin-1 letter (case folding turns others into a letter and a mark).
+_TAIL = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}](?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+#: Texts are encoded in runs of so many bytes.
+RUN = 6 << 20
+
 _OPEN: dict[str, "Encoder"] = {}
 
 
@@ -46,6 +51,9 @@ class Encoder:
         #: Whether white space leaves no trace in the ids (then any blank separates words).
         self.blanks_dropped = '"\\\\s+"' in json.dumps(about.get("normalizer")) and (about["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("behavior") == "Removed"
         self.vocabulary_size = self.tokenizer.get_vocab_size()
+        marks = [x for x in about.get("added_tokens", []) if x["special"] and x["content"].startswith("<|") and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"])]
+        #: A special token, as text and id, that splits a text before anything else is done to it.
+        self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
         self._clear()
 
     def _clear(self) -> None:
@@ -54,12 +62,28 @@ class Encoder:
         self.begin = array("q", [0])
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 2048):
-            some = words[i : i + 2048]
+        """Encode words that the cache lacks, many in one call: a special token between two keeps them apart."""
+        odd = [w for w in words if "<|" in w] if self.mark else words
+        for i in range(0, len(odd), 2048):
+            some = odd[i : i + 2048]
             for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 self.place[word] = len(self.place)
                 self.flat.extend(got.ids)
                 self.begin.append(len(self.flat))
+        if not self.mark:
+            return
+        text, mark = self.mark
+        words = [w for w in words if "<|" not in w] if odd else words
+        for i in range(0, len(words), 64):
+            some = words[i : i + 64]
+            ids = np.array(self.tokenizer.encode(text.join(some) + text, add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(ids == mark)
+            if len(ends) != len(some):
+                raise ValueError("the special token doesn't keep words apart")
+            base, first = len(self.flat), len(self.place)
+            self.flat.frombytes(ids[ids != mark].tobytes())
+            self.begin.frombytes((ends - np.arange(len(ends)) + base).astype(np.int64).tobytes())
+            self.place.update(zip(some, range(first, first + len(some))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): text i has ids[offsets[i]:offsets[i+1]]; a null is an empty text."""
@@ -77,18 +101,48 @@ class Encoder:
         pieces = pc.split_pattern(pc.replace_substring(texts, " ", "\x01 "), "\x01")
         return self._gather(pieces, odd)
 
-    def _gather(self, split: pa.Array, odd: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        offsets = np.asarray(split.offsets, np.int64)
-        first = offsets[0] if len(offsets) else 0
-        coded = split.values.slice(first, offsets[-1] - first).dictionary_encode()
-        codes, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
-        if len(self.place) + len(words) > CACHE_WORDS:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of distinct words. Each is a stem and a tail of punctuation, which pre-tokens never span."""
+        simple = pc.invert(pc.match_substring(words, "<|"))
+        if self.blanks_dropped:  # such a tokenizer has only lower-case ids; beyond ASCII, folding and composition could change places
+            words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        tails = pc.if_else(simple, pc.struct_field(pc.extract_regex(words, _TAIL), "tail"), None)
+        kept = pc.subtract(pc.binary_length(words), pc.fill_null(pc.binary_length(tails), 0).cast(pa.int64()))
+        tailed = np.flatnonzero(np.asarray(pc.is_valid(tails)))
+        stems = words
+        if len(tailed):
+            ends = np.frombuffer((whole := plain(words)).buffers()[1], np.int64)[whole.offset : whole.offset + len(words) + 1]
+            size = np.asarray(kept, np.int64)
+            raw = np.frombuffer(whole.buffers()[2], np.uint8)
+            keep = np.zeros(len(raw) + 1, np.int64)
+            np.add.at(keep, ends[:-1], 1)
+            np.add.at(keep, ends[:-1] + size, -1)
+            raw = raw[np.cumsum(keep[:-1]) > 0]
+            stems = pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
+        parts = pa.concat_arrays([stems.cast(pa.large_string()), tails.take(pa.array(tailed)).cast(pa.large_string())]).dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        if len(self.place) + len(names) > CACHE_WORDS:
             self._clear()
         place = self.place
-        self._learn([w for w in words if w not in place])
-        at = np.fromiter((place[w] for w in words), np.int64, len(words))
+        self._learn([w for w in names if w not in place])
+        at = np.fromiter((place[w] for w in names), np.int64, len(names))[np.asarray(parts.indices, np.int64)]
         begin = np.frombuffer(self.begin, np.int64).copy()
         flat = np.frombuffer(self.flat, np.uint32).copy() if len(self.flat) else np.zeros(0, np.uint32)
+        order = np.argsort(np.concatenate((np.arange(len(words)) * 2, tailed * 2 + 1)), kind="stable")
+        owner = np.concatenate((np.arange(len(words)), tailed))[order]
+        at = at[order]
+        sizes = begin[at + 1] - begin[at]
+        ends = np.cumsum(sizes)
+        take = np.repeat(begin[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.concatenate(([0], np.cumsum(np.bincount(owner, sizes, len(words)).astype(np.int64)))), flat[take]
+
+    def _gather(self, split: pa.Array, odd: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.asarray(split.offsets, np.int64)
+        first = offsets[0] if len(offsets) else 0
+        coded = split.values.slice(first, offsets[-1] - first).dictionary_encode()
+        codes = np.asarray(coded.indices, np.int64)
+        begin, flat = self._words(coded.dictionary)
+        at = np.arange(len(begin) - 1)
         sizes = (begin[at + 1] - begin[at])[codes]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         take = np.repeat(begin[at][codes] - ends[:-1], sizes)
