@@ -49,4 +49,27 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.k, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
 """
 
-SQL = {"op3_quality_rules": _OP3, "op5_benchmark_decontamination": _OP5}
+_OP1 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+_OP6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (SELECT *, CASE role WHEN 'user' THEN 'User' WHEN 'system' THEN 'System' WHEN 'assistant' THEN 'Assistant' ELSE role END AS name,
+  length(text) + length(text) - length(replace(replace(text, '\', ''), '#', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS n FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(name) + 2 + n + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL = {"op1_warc_bundles": _OP1, "op6_chat_formatting": _OP6, "op3_quality_rules": _OP3, "op5_benchmark_decontamination": _OP5}

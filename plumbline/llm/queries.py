@@ -15,6 +15,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import fetch, payload_digest, payload_size, write_bundles
+
+    pages = table(spark, sf_dir, "pages")
+    folder = shared_folder(spark, "warc")
+    records = fetch(write_bundles(pages, folder), folder)
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.expr("try_cast(record_id AS BIGINT)").cast(kind).alias("page_id"), payload_size().alias("payload_bytes"), payload_digest().alias("payload_digest"), "record_type", F.expr("try_cast(refers_to AS BIGINT)").cast(kind).alias("refers_to"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
@@ -35,6 +45,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_conversations(rows))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import joined, labelled_samples, train, with_spans
 
@@ -51,7 +70,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op8_secret_scan]
+_QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op8_secret_scan]
 
 
 def _shipped(query):
