@@ -54,6 +54,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fold, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), held_out=2))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import joined, labelled_samples, train, with_spans
 
@@ -70,7 +78,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op8_secret_scan]
+_QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_secret_scan]
 
 
 def _shipped(query):
