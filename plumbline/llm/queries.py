@@ -78,7 +78,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_secret_scan]
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_secret_scan, op9_jaccard_join]
 
 
 def _shipped(query):
