@@ -48,33 +48,42 @@ class Sequence:
     def chunks(self, which: np.ndarray) -> np.ndarray:
         """The values of these chunks, a row for each."""
         ones = np.unpackbits(self.high[which], axis=1, bitorder="little")
-        high = np.nonzero(ones)[1].reshape(-1, CHUNK) - np.arange(CHUNK)
-        out = high.astype(np.uint64) << np.uint64(self.width)
+        place = np.flatnonzero(ones.ravel()).reshape(-1, CHUNK)
+        place -= np.arange(len(which))[:, None] * (_UNARY * 8) + np.arange(CHUNK)
+        out = place.view(np.uint64) << np.uint64(self.width)
         if self.width:
             at = (which[:, None] * CHUNK + np.arange(CHUNK)) * self.width
             out |= (self.words[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
         return out + self.heads[which][:, None]
 
     def get(self, index: np.ndarray) -> np.ndarray:
-        """The values at these places."""
+        """The values at these ascending places."""
         if not len(index):
             return np.zeros(0, np.uint64)
-        which, at = np.unique(index // CHUNK, return_inverse=True)
+        which, at = _steps(index // CHUNK)
         return self.chunks(which)[at, index % CHUNK]
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each of these ascending distinct values by successor search, or -1 where it is not there."""
+        """The place of each of these ascending values by successor search, or -1 where it is not there."""
         out = np.full(len(values), -1, np.int64)
         if not self.size or not len(values):
             return out
         chunk = np.searchsorted(self.heads, values, side="right") - 1
-        inside = np.flatnonzero(chunk >= 0)
-        which, at = np.unique(chunk[inside], return_inverse=True)
+        inside = int(np.searchsorted(chunk, 0))
+        which, _ = _steps(chunk[inside:])
         if not len(which):
             return out
         flat = self.chunks(which).ravel()
-        place = np.minimum(np.searchsorted(flat, values[inside]), len(flat) - 1)
-        there = flat[place] == values[inside]
-        found = which[place[there] // CHUNK] * CHUNK + place[there] % CHUNK
-        out[inside[there]] = found
+        place = np.minimum(np.searchsorted(flat, values[inside:]), len(flat) - 1)
+        there = flat[place] == values[inside:]
+        place = place[there]
+        out[inside + np.flatnonzero(there)] = which[place // CHUNK] * CHUNK + place % CHUNK
         return out
+
+
+def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, which one each is) of ascending values, without a sort."""
+    if not len(x):
+        return x, np.zeros(0, np.int64)
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    return x[new], np.cumsum(new) - 1

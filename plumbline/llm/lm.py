@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, filesystem, fold_table, runs, shared_folder, shuffle_width, stored
-from .elias_fano import Sequence, encode
+from .common import Words, filesystem, fold_table, mix, plain, runs, shared_folder, shuffle_width, stored
+from .elias_fano import Sequence, _steps, encode
 from .near_duplicates import _bucket_keys
 
 ORDER = 3
@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 #: n-grams of two words or more that occur fewer times are left to the backoff.
 LEAST = 2
 ADDED = 0.1
-RUN = 8 << 20
+RUN = 16 << 20
 #: The end token's hash.
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _STEP = 8192.0  # quantisation steps for a factor of ten
@@ -51,6 +51,23 @@ def restored(q: np.ndarray) -> np.ndarray:
     return np.where(q == 65535, 0.0, 10.0 ** (-q.astype(np.float64) / _STEP))
 
 
+def token_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes, scrambled; whole buffers at a time."""
+    words = plain(words)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    size = np.diff(ends)
+    factor = np.ones(int(size.max()) + 1, np.uint64)
+    factor[1:] = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        factor = np.cumprod(factor)
+        value = mix(np.arange(1, 257, dtype=np.uint64))[raw] * factor[np.arange(len(raw)) - np.repeat(ends[:-1], size)]
+        return mix(np.add.reduceat(value, ends[:-1]) + size.astype(np.uint64))
+
+
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
 
@@ -95,9 +112,9 @@ class Level:
         self.backoff = parts.get("backoff")  # of the contexts
 
     def find(self, contexts: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Places of the children of contexts with these codes (pairs ascending and distinct), -1 where there is none."""
+        """Places of the children of contexts with these codes (pairs ascending), -1 where there is none."""
         out = np.full(len(contexts), -1, np.int64)
-        own, at = np.unique(contexts, return_inverse=True)
+        own, at = _steps(contexts)
         occupied = (self.pointers.get(own + 1) > self.pointers.get(own))[at]
         asked = np.flatnonzero(occupied)
         out[asked] = self.keys.find((contexts[asked].astype(np.uint64) << _CODE) | codes[asked].astype(np.uint64))
@@ -127,13 +144,12 @@ class Trie:
     def first(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, place or -1, count) of each token hash on level 1."""
         shard, place, count = shard_of(hashes, self.shards), np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        order = np.argsort(hashes)
+        order = np.argsort(hashes)  # shards are ranges of hashes
         cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[s] : cut[s + 1]]
             if (level := self.level(1, s)) is not None:
-                distinct, back = np.unique(hashes[own], return_inverse=True)
-                found = level.keys.find(distinct)[back]
+                found = level.keys.find(hashes[own])
                 place[own] = found
                 count[own[found >= 0]] = level.value[found[found >= 0]]
         return shard, place, count
@@ -141,17 +157,20 @@ class Trie:
     def children(self, k: int, shard: np.ndarray, context: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place or -1, probability, backoff weight) on level k for these contexts and last words."""
         place, prob, weight = np.full(len(shard), -1, np.int64), np.zeros(len(shard)), np.ones(len(shard))
-        order = np.argsort(shard, kind="stable")
+        pair = (context.astype(np.uint64) << _CODE) | code.astype(np.uint64)
+        order = np.argsort(pair)
+        order = order[np.argsort(shard[order].astype(np.uint16 if self.shards <= 1 << 16 else np.int64), kind="stable")]
         cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[s] : cut[s + 1]]
             if (level := self.level(k, s)) is None:
                 continue
-            pair, back = np.unique((context[own].astype(np.uint64) << _CODE) | code[own].astype(np.uint64), return_inverse=True)
-            parents = (pair >> _CODE).astype(np.int64)
-            found = level.find(parents, (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            p = np.where(found >= 0, restored(level.value[np.maximum(found, 0)]) if len(level.value) else 0.0, 0.0)
-            place[own], prob[own], weight[own] = found[back], p[back], restored(level.backoff[parents])[back]
+            parents = (pair[own] >> _CODE).astype(np.int64)
+            found = level.find(parents, (pair[own] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            hit = found >= 0
+            place[own] = found
+            prob[own[hit]] = restored(level.value[found[hit]])
+            weight[own] = restored(level.backoff[parents])
         return place, prob, weight
 
 
@@ -160,48 +179,54 @@ class Tokens:
 
     def __init__(self, texts: pa.Array):
         words = Words(texts, fold_table())
-        self.hashes = np.concatenate((words.hashes(), [END]))
+        self.hashes = np.concatenate((token_hashes(words.vocabulary), [END]))
         n = len(words.counts)
         self.counts = words.counts + 1
         self.ends = np.cumsum(self.counts)
-        self.codes = np.empty(len(words.codes) + n, np.int64)
+        self.codes = np.empty(len(words.codes) + n, np.int32)
         last = np.zeros(len(self.codes), bool)
         last[self.ends - 1] = True
         self.codes[last], self.codes[~last] = len(self.hashes) - 1, words.codes
-        self.place = np.arange(len(self.codes)) - np.repeat(self.ends - self.counts, self.counts)  # in the document
+        self.place = np.arange(len(self.codes), dtype=np.int32) - np.repeat((self.ends - self.counts).astype(np.int32), self.counts)  # in the document
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def _paths(trie: Trie, tokens: Tokens, upto: int, probabilities: bool = False):
-    """Walk the levels up to `upto`: (shard, node, log10 parts) with node[i] the place on level `upto` of the n-gram ending at i.
+class Walk:
+    """The n-grams of a run, level by level: after level k, node[i] is the place of the k-gram that ends at token i, or -1.
 
-    shard[i] is that of the n-gram's first word. With probabilities, also the
-    interpolated probability of each token.
+    Each distinct n-gram of the run is asked for once. With probabilities, p[i] is
+    the interpolated probability of token i with the levels so far.
     """
-    shard1, place1, count1 = trie.first(tokens.hashes)
-    code1 = (tokens.hashes >> _CODE).astype(np.int64)
-    shard, node = shard1[tokens.codes], place1[tokens.codes]
-    p = ((count1 + ADDED) / (trie.tokens + ADDED * (trie.kinds + 1)))[tokens.codes] if probabilities else None
-    first = shard
-    for k in range(2, upto + 1):
-        n = len(node)
-        at = np.flatnonzero((tokens.place[1:] >= k - 1) & (node[:-1] >= 0)) + 1 if n else np.zeros(0, np.int64)
-        before, code = node[at - 1], code1[tokens.codes[at]]
-        own = first[at - k + 1]
-        # the same n-gram is asked for once in a run
-        key = np.stack([own, before, code])
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))) if len(at) else np.zeros(0, bool)
-        back = np.cumsum(new) - 1
-        found, prob, weight = trie.children(k, *key[:, new])
-        node = np.full(n, -1, np.int64)
-        node[at[order]] = found[back]
-        if probabilities:
-            p[at[order]] = prob[back] + weight[back] * p[at[order]]
-    return first, node, count1, p
+
+    def __init__(self, trie: Trie, tokens: Tokens, probabilities: bool = False):
+        self.trie, self.tokens, self.level = trie, tokens, 1
+        self.shard_of_code, place, self.count = trie.first(tokens.hashes)
+        self.code = (tokens.hashes >> _CODE).astype(np.int64)
+        self.node = place[tokens.codes].astype(np.int32)
+        self.local = tokens.codes  # which distinct n-gram of the run ends here
+        self.p = ((self.count + ADDED) / (trie.tokens + ADDED * (trie.kinds + 1)))[tokens.codes] if probabilities else None
+
+    def extensions(self) -> tuple[np.ndarray, ...]:
+        """(places, which, shard, context, code): the next level's distinct n-grams, and which of them ends at each place."""
+        t, k = self.tokens, self.level + 1
+        at = np.flatnonzero((t.place[1:] >= k - 1) & (self.node[:-1] >= 0)) + 1 if len(self.node) else np.zeros(0, np.int64)
+        key = self.local[at - 1].astype(np.int64) * len(t.hashes) + t.codes[at]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        one = at[first]
+        return at, which, self.shard_of_code[t.codes[one - k + 1]], self.node[one - 1].astype(np.int64), self.code[t.codes[one]]
+
+    def step(self) -> None:
+        at, which, shard, context, code = self.extensions()
+        self.level += 1
+        found, prob, weight = self.trie.children(self.level, shard, context, code)
+        self.node = np.full(len(self.node), -1, np.int32)
+        self.node[at] = found[which]
+        self.local = np.zeros(len(self.node), np.int32)
+        self.local[at] = which
+        if self.p is not None:
+            self.p[at] = prob[which] + weight[which] * self.p[at]
 
 
 # ---------------------------------------------------------------- building
@@ -266,15 +291,14 @@ def build(docs: DataFrame, order: int = ORDER, least: int = LEAST, discount: flo
                         shard = shard_of(own, n)
                         size = code = None
                     else:
-                        first, node, count1, _ = _paths(t, tokens, level - 1)
-                        code1 = (tokens.hashes >> _CODE).astype(np.int64)
-                        at = np.flatnonzero((tokens.place[1:] >= level - 1) & (node[:-1] >= 0)) + 1 if len(node) else np.zeros(0, np.int64)
-                        key = np.stack([first[at - level + 1], node[at - 1], code1[tokens.codes[at]]])
-                        by = np.lexsort(key[::-1])
-                        key = key[:, by]
-                        new = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(at) else np.zeros(0, np.int64)
-                        total = np.diff(np.append(new, len(at)))
-                        shard, own, code = key[:, new]
+                        walk = Walk(t, tokens)
+                        for _ in range(level - 2):
+                            walk.step()
+                        _, which, shard, own, code = walk.extensions()
+                        total = np.bincount(which, minlength=len(own))
+                        by = np.argsort(own << np.int64(32) | code)
+                        by = by[np.argsort(shard[by].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
+                        shard, own, code, total = shard[by], own[by], code[by], total[by]
                         size = True
                     cut = np.searchsorted(shard, np.arange(n + 1))
                     out = []
@@ -312,7 +336,10 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for run in runs(batch, "text", RUN):
                 tokens = Tokens(run.column("text"))
-                _, _, count1, p = _paths(t, tokens, len(t.names), True)
+                walk = Walk(t, tokens, True)
+                for _ in range(len(t.names) - 1):
+                    walk.step()
+                count1, p = walk.count, walk.p
                 base = np.log10((count1 + ADDED) / (t.tokens + ADDED * (t.kinds + 1)))[tokens.codes]
                 rows, n = tokens.rows(), run.num_rows
                 total = lambda x: np.bincount(rows, x, n)
