@@ -1,2 +1,154 @@
-QUERIES = []
-SQL = {}
+"""Queries that shape sheets: bands, names, keys, JSON, attribute merging."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import strings as S
+from ..operators.banding import anchor, filled_bands, islands, strict_bands
+from ..session import table
+from . import views as V
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sheet rows: a sheet for each user, rows in time order."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return e.withColumn("row_ord", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+
+
+_EV = "ev AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_ord FROM events)"
+
+
+def _bands(b: DataFrame) -> DataFrame:
+    first, last = F.col("first"), F.col("last")
+    return b.select("user_id", "value", "first", "last", "rows", anchor(first, last, "middle").alias("middle"))
+
+
+def q_band_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one event type."""
+    return _bands(strict_bands(_events(spark, sf_dir), F.col("event_type"), ["row_ord"], ["user_id"], "row_ord"))
+
+
+def q_band_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every third event's type blank, continuing the band above."""
+    value = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.col("event_type"))
+    return _bands(filled_bands(_events(spark, sf_dir).withColumn("label", value), F.col("label"), ["row_ord"], ["user_id"], "row_ord"))
+
+
+def q_band_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a type inside runs of a day."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", F.to_date("ts").alias("day"))
+    e = e.withColumn("row_ord", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+    pair = F.concat_ws("/", F.date_format("day", "yyyy-MM-dd"), F.col("event_type"))
+    marked = islands(e, pair, ["row_ord"], ["user_id"])
+    return marked.groupBy("user_id", "band", F.col("_v").alias("value")).agg(F.min("row_ord").alias("first"), F.max("row_ord").alias("last")).select("user_id", "value", "first", "last")
+
+
+def q_misc_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones with blanks as misc, which comes last."""
+    s = V.sheet(spark, sf_dir).withColumn("zone", S.or_misc(F.col("zone")))
+    g = s.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    key = F.when(F.col("zone") == "misc", F.lit("1")).otherwise(F.lit("0"))
+    return g.select(F.concat(key, F.lit(":"), F.lower("zone")).alias("sort_key"), "zone", "n", "chars").orderBy("sort_key")
+
+
+def q_norm_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("  "), F.col("p_name"), F.lit(" / "), F.col("p_brand"), F.lit("__"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")).alias("s"))
+    s = F.col("s")
+    return p.select(
+        "p_partkey", S.or_misc(s).alias("misc"), S.category(s).alias("category"), S.header(s).alias("header"), S.key(s).alias("key"), S.base_key(s).alias("base"),
+        S.safe_chars(s).alias("safe"), S.safe_runs(s).alias("runs"), S.without_index(s).alias("stem"), S.comparable(s).alias("comparable"), S.token(s).alias("token"), S.shortened(s, 12).alias("short"), S.file_name(s).alias("file"),
+    )
+
+
+def q_handle_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("B"), F.hex("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("_H"), F.lpad(F.hex("c_custkey"), 5, "0"))).otherwise(F.lit("__1000"))).alias("name"))
+    h = S.handle(F.col("name"))
+    return c.select("c_custkey", "name", h.alias("handle"), S.handle_number(h).alias("number"), S.handle_key(F.col("name")).alias("key"))
+
+
+def q_name_match_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items to sheet rows by name: equal keys, else equal base keys, else a prefix either way of eight characters or more.
+
+    The prefix tier meets on the keys' first eight characters, which both must share.
+    """
+    rows = table(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("row_name"), S.key(F.col("p_name")).alias("k"), S.base_key(F.col("p_name")).alias("b"))
+    names = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("__"), F.col("p_partkey").cast("string"))).otherwise(F.concat("p_name", F.lit(" extra"))).alias("item_name"))
+    items = names.select("item", S.key(F.col("item_name")).alias("ik"), S.base_key(F.col("item_name")).alias("ib"))
+    exact = items.join(rows, F.col("ik") == F.col("k")).select("item", "row_name", F.lit(1).alias("tier"))
+    base = items.join(rows, F.col("ib") == F.col("b")).select("item", "row_name", F.lit(2).alias("tier"))
+    prefix = items.join(rows, F.substring("ik", 1, 8) == F.substring("k", 1, 8)).where(S.prefix_either(F.col("ik"), F.col("k"))).select("item", "row_name", F.lit(3).alias("tier"))
+    every = exact.unionByName(base).unionByName(prefix)
+    best = every.groupBy("item").agg(F.min("tier").alias("tier"))
+    return every.join(best, ["item", "tier"]).select("item", "row_name", "tier")
+
+
+def q_name_similarity_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of the catalogue's names (64 of them, whatever the size) the five most alike."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    heads = names.select(F.col("p_name").alias("name"))
+    pairs = heads.join(names.select(F.col("p_name").alias("other")), F.col("name") != F.col("other"))
+    scored = pairs.withColumn("similarity", S.name_similarity(F.col("name"), F.col("other")))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("similarity"), "other"))
+    return scored.withColumn("rank", rank.cast("int")).where("rank <= 5").select("name", "other", "similarity", "rank")
+
+
+def q_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "struct<k: long>").alias("p"))
+    return e.groupBy("event_type").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("total"), F.max("p.k").alias("largest"))
+
+
+def q_attr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of an old insert onto a new definition: by tag ignoring case, blanks take the definition's default."""
+    e = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("Kind"), F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.col("event_type"))).alias("attribs"))
+    upper = F.transform_keys("attribs", lambda k, _: F.upper(k))
+    defaults = {"K": "0", "KIND": "none", "FINISH": "matt"}
+    merged = [F.coalesce(F.nullif(F.try_element_at("up", F.lit(tag)), F.lit("")), F.lit(value)).alias(tag.lower()) for tag, value in defaults.items()]
+    return e.withColumn("up", upper).select("event_id", *merged)
+
+
+QUERIES = [q_band_strict, q_band_fill, q_band_nested, q_misc_last, q_norm_strings, q_handle_extract, q_name_match_tiered, q_name_similarity_top5, q_props_json, q_attr_merge]
+
+
+def _band_sql(source: str, value: str) -> str:
+    return f"""WITH {_EV}, src AS ({source}),
+c AS (SELECT *, CASE WHEN lag({value}) OVER w IS DISTINCT FROM {value} THEN 1 ELSE 0 END AS ch FROM src WINDOW w AS (PARTITION BY user_id ORDER BY row_ord)),
+b AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY row_ord) AS band FROM c)
+SELECT user_id, {value} AS value, min(row_ord) AS first, max(row_ord) AS last, count(*) AS rows, (min(row_ord) + max(row_ord)) // 2 AS middle FROM b WHERE {value} <> '' GROUP BY user_id, band, {value}"""
+
+
+_FORBIDDEN = "[<>:\"/\\\\|?*]"
+SQL = {
+    "q_band_strict": _band_sql("SELECT *, event_type AS label FROM ev", "label"),
+    "q_band_fill": _band_sql("SELECT * FROM (SELECT user_id, row_ord, last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY row_ord) AS label FROM ev) WHERE label IS NOT NULL", "label"),
+    "q_band_nested": """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') || '/' || event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_ord FROM events),
+c AS (SELECT *, CASE WHEN lag(label) OVER w IS DISTINCT FROM label THEN 1 ELSE 0 END AS ch FROM e WINDOW w AS (PARTITION BY user_id ORDER BY row_ord)),
+b AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY row_ord) AS band FROM c)
+SELECT user_id, label AS value, min(row_ord) AS first, max(row_ord) AS last FROM b GROUP BY user_id, band, label""",
+    "q_misc_last": f"""WITH {V.SHEET}, z AS (SELECT coalesce(nullif(trim(zone), ''), 'misc') AS zone, n_chars FROM sh)
+SELECT CASE WHEN zone = 'misc' THEN '1' ELSE '0' END || ':' || lower(zone) AS sort_key, zone, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM z GROUP BY zone""",
+    "q_norm_strings": f"""WITH s AS (SELECT p_partkey, '  ' || p_name || ' / ' || p_brand || '__' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS s FROM part)
+SELECT p_partkey, trim(s) AS misc, upper(trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS category, lower(trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS header,
+  regexp_replace(lower(s), '[^a-z0-9]', '', 'g') AS key, regexp_replace(regexp_replace(lower(s), '[^a-z0-9]', '', 'g'), '[0-9]+$', '') AS base,
+  trim(regexp_replace(s, '{_FORBIDDEN}', '_', 'g')) AS safe, regexp_replace(s, '{_FORBIDDEN}+', '_', 'g') AS runs, regexp_replace(s, '__[0-9]{{2,}}$', '') AS stem,
+  lower(replace(regexp_replace(regexp_replace(s, '__[0-9]{{2,}}$', ''), '{_FORBIDDEN}+', '_', 'g'), ' ', '_')) AS comparable,
+  lower(regexp_replace(s, '[<>:"/\\\\|?* ]', '_', 'g')) AS token, s[1:12] AS short, regexp_replace(s, '[^0-9A-Za-z_]+', '_', 'g')[1:120] AS file FROM s""",
+    "q_handle_extract": """WITH c AS (SELECT c_custkey, 'B' || to_hex(c_custkey) || CASE WHEN c_custkey % 2 = 0 THEN '_H' || lpad(to_hex(c_custkey), 5, '0') ELSE '__1000' END AS name FROM customer),
+h AS (SELECT *, upper(coalesce(nullif(regexp_extract(name, '(?i)H([0-9A-F]{4,})', 1), ''), nullif(regexp_extract(name, '(?i)([0-9A-F]{4,})$', 1), ''))) AS handle FROM c)
+SELECT c_custkey, name, handle, CASE WHEN regexp_matches(handle, '^[0-9A-Fa-f]{1,15}$') THEN ('0x' || handle)::BIGINT ELSE 9223372036854775807 END AS number, regexp_replace(upper(name), '^H', '') AS key FROM h""",
+    "q_name_match_tiered": """WITH r AS (SELECT DISTINCT p_name AS row_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k FROM part),
+r2 AS (SELECT *, regexp_replace(k, '[0-9]+$', '') AS b FROM r),
+i AS (SELECT p_partkey AS item, regexp_replace(lower(CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '__' || p_partkey::VARCHAR ELSE p_name || ' extra' END), '[^a-z0-9]', '', 'g') AS ik FROM part WHERE p_partkey % 10 = 0),
+i2 AS (SELECT *, regexp_replace(ik, '[0-9]+$', '') AS ib FROM i),
+every AS (SELECT item, row_name, 1 AS tier FROM i2 JOIN r2 ON ik = k UNION ALL SELECT item, row_name, 2 FROM i2 JOIN r2 ON ib = b
+  UNION ALL SELECT item, row_name, 3 FROM i2 JOIN r2 ON length(ik) >= 8 AND length(k) >= 8 AND (starts_with(ik, k) OR starts_with(k, ik)))
+SELECT item, row_name, tier FROM every QUALIFY tier = min(tier) OVER (PARTITION BY item)""",
+    "q_name_similarity_top5": """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
+p AS (SELECT a.name, b.name AS other, CASE WHEN lower(a.name) = lower(b.name) THEN 100 ELSE 0 END + CASE WHEN contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) THEN 50 ELSE 0 END
+  + len(list_intersect(list_distinct(string_split(lower(a.name), '')), list_distinct(string_split(lower(b.name), '')))) AS points FROM n a JOIN n b ON a.name <> b.name),
+s AS (SELECT name, other, least(greatest(points / 200.0::DOUBLE, 0), 1) AS similarity FROM p)
+SELECT name, other, similarity, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, other)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
+    "q_props_json": "SELECT event_type, count(CAST(props->>'k' AS BIGINT)) AS n, sum(CAST(props->>'k' AS BIGINT))::BIGINT AS total, max(CAST(props->>'k' AS BIGINT)) AS largest FROM events GROUP BY event_type",
+    "q_attr_merge": "SELECT event_id, coalesce(nullif(props->>'k', ''), '0') AS k, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE coalesce(nullif(event_type, ''), 'none') END AS kind, 'matt' AS finish FROM events",
+}

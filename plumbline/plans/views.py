@@ -76,7 +76,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = [F.count_if(F.col("p_size") % 8 == i).alias(f"h{i}") for i in range(8)]
     kinds = [F.count_if(F.col("p_size") % 4 == i).alias(f"n{i}") for i in range(4)]
     g = p.groupBy(F.col("p_brand").alias("name")).agg((F.sum("p_size") * 10.0 / F.count(F.lit(1))).alias("width"), (F.sum(G.rounded(F.col("p_retailprice"), 2)) / F.count(F.lit(1)) / 10).alias("depth0"), F.count(F.lit(1)).alias("n"), F.countDistinct("p_type").alias("components"), *one, *kinds)
-    g = g.withColumn("depth", G.rounded("depth0"))
+    g = g.withColumn("depth", G.rounded(F.col("depth0")))
     hist = F.array(*(F.bround(F.col(f"h{i}") * 1000.0 / F.col("n")).cast("int") for i in range(8)))
     return g.select("name", "width", "depth", (F.greatest("width", "depth") / F.least("width", "depth")).alias("aspect"), *(F.col(f"n{i}") for i in range(4)), "n", "components", hist.alias("angles"))
 
