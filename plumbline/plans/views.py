@@ -83,7 +83,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles, by part."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("box_id"), F.col("p_brand").alias("drawing"), (F.col("p_partkey") * 37 % 1009).cast("double").alias("x"), (F.col("p_partkey") * 61 % 997).cast("double").alias("y"), (F.col("p_size") % 9 + 1).cast("double").alias("w"), (F.col("p_size") % 5 + 1).cast("double").alias("h"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("box_id"), F.col("p_brand").alias("drawing"), (F.col("p_partkey") * 37 % 307).cast("double").alias("x"), (F.col("p_partkey") * 61 % 293).cast("double").alias("y"), (F.col("p_size") % 9 + 1).cast("double").alias("w"), (F.col("p_size") % 5 + 1).cast("double").alias("h"))
     return p.select("box_id", "drawing", F.struct(F.col("x").alias("minx"), F.col("y").alias("miny"), (F.col("x") + F.col("w")).alias("maxx"), (F.col("y") + F.col("h")).alias("maxy")).alias("box"))
 
 
@@ -119,7 +119,7 @@ FEATURES = """ft AS (SELECT *, greatest(width, depth) / least(width, depth) AS a
   count(*) AS n, count(DISTINCT p_type) AS components,
 """ + ",\n".join(f"  count(*) FILTER (p_size % 4 = {i}) AS n{i}" for i in range(4)) + ",\n  [" + ", ".join(f"round_even(count(*) FILTER (p_size % 8 = {i}) * 1000.0::DOUBLE / count(*), 0)::INTEGER" for i in range(8)) + "] AS angles FROM part GROUP BY p_brand))"
 
-BOXES = "bx AS (SELECT p_partkey AS box_id, p_brand AS drawing, (p_partkey * 37 % 1009)::DOUBLE AS minx, (p_partkey * 61 % 997)::DOUBLE AS miny, (p_partkey * 37 % 1009 + p_size % 9 + 1)::DOUBLE AS maxx, (p_partkey * 61 % 997 + p_size % 5 + 1)::DOUBLE AS maxy FROM part)"
+BOXES = "bx AS (SELECT p_partkey AS box_id, p_brand AS drawing, (p_partkey * 37 % 307)::DOUBLE AS minx, (p_partkey * 61 % 293)::DOUBLE AS miny, (p_partkey * 37 % 307 + p_size % 9 + 1)::DOUBLE AS maxx, (p_partkey * 61 % 293 + p_size % 5 + 1)::DOUBLE AS maxy FROM part)"
 
 SHEET = "sh AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS zone, lang, n_chars FROM documents)"
 
