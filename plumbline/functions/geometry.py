@@ -122,7 +122,7 @@ def bulge_points(a: Column, b: Column, bulge: Column, least: int = 8, step: floa
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     apothem = (1 - bulge * bulge) / (4 * bulge)  # centre's distance from the chord, in chords, to its left
     cx, cy = (a["x"] + b["x"]) / 2 - dy * apothem, (a["y"] + b["y"]) / 2 + dx * apothem
-    pieces = F.greatest(F.lit(least), F.floor(F.abs(angle) / math.radians(step)).cast("int"))
+    pieces = F.greatest(F.lit(least), F.floor(F.abs(angle) / math.radians(step) + 1e-9).cast("int"))
     ux, uy = a["x"] - cx, a["y"] - cy
     turned = lambda t: F.struct((cx + ux * F.cos(t) - uy * F.sin(t)).alias("x"), (cy + ux * F.sin(t) + uy * F.cos(t)).alias("y"))
     straight = F.array(F.struct(a["x"].alias("x"), a["y"].alias("y")), F.struct(b["x"].alias("x"), b["y"].alias("y")))

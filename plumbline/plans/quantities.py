@@ -208,7 +208,7 @@ SELECT drawing, batch, count(*) AS rows, min(ent_ord) AS first FROM b GROUP BY d
 s AS (SELECT ring_id, r, CASE WHEN s0 = 0 AND ay <> 0 THEN 360 ELSE s0 END AS sweep FROM a)
 SELECT ring_id, sum(greatest(16, floor(sweep / 6)::INTEGER) + 1)::BIGINT AS points, {r4('sum(' + r4('2 * pi() * r * sweep / 360') + ')')} AS length FROM s GROUP BY ring_id""",
     "q_bulge_tessellate": f"""WITH {V.VERTS}, s AS (SELECT ring_id, bulge, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS c, 4 * atan(bulge) AS angle FROM edge WHERE NOT closing),
-t AS (SELECT ring_id, CASE WHEN abs(bulge) < 1e-12 OR c < 1e-12 THEN 1 ELSE greatest(8, floor(abs(angle) / (6 * pi() / 180))::INTEGER) END AS k, bulge, c, angle FROM s),
+t AS (SELECT ring_id, CASE WHEN abs(bulge) < 1e-12 OR c < 1e-12 THEN 1 ELSE greatest(8, floor(abs(angle) / (6 * pi() / 180) + 1e-9)::INTEGER) END AS k, bulge, c, angle FROM s),
 u AS (SELECT ring_id, k + 1 AS n, CASE WHEN abs(bulge) < 1e-12 OR c < 1e-12 THEN c ELSE k * 2 * (c * (1 + bulge * bulge) / (4 * bulge)) * sin(angle / k / 2) END AS len FROM t)
 SELECT ring_id, sum(n)::BIGINT AS points, floor(sum(floor(len * 1000 + 0.50001) / 1000.0::DOUBLE) * 1000 + 0.50001) / 1000.0::DOUBLE AS length FROM u GROUP BY ring_id""",
     "q_densify": f"""WITH {V.VERTS}, s AS (SELECT ring_id, ax, ay, bx, by_, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS d, i, n FROM edge WHERE NOT closing),
