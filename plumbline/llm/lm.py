@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, filesystem, fold_table, mix, plain, runs, shared_folder, shuffle_width, stored
+from .common import Words, filesystem, fold_table, mix, plain, releasing, runs, shared_folder, shuffle_width, stored
 from .elias_fano import Sequence, _steps, encode
 from .near_duplicates import _bucket_keys
 
@@ -65,7 +65,7 @@ def token_hashes(words: pa.Array) -> np.ndarray:
     with np.errstate(over="ignore"):
         factor = np.cumprod(factor)
         value = mix(np.arange(1, 257, dtype=np.uint64))[raw] * factor[np.arange(len(raw)) - np.repeat(ends[:-1], size)]
-        return mix(np.add.reduceat(value, ends[:-1]) + size.astype(np.uint64))
+        return mix(np.add.reduceat(np.append(value, np.uint64(0)), ends[:-1]) + size.astype(np.uint64))  # an empty string's sum is arbitrary; no token has it
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -287,6 +287,7 @@ def build(docs: DataFrame, order: int = ORDER, least: int = LEAST, discount: flo
                     if level == 1:
                         own, total = tokens.hashes, np.bincount(tokens.codes, minlength=len(tokens.hashes))
                         by = np.argsort(own)
+                        by = by[total[by] > 0]
                         own, total = own[by], total[by]
                         shard = shard_of(own, n)
                         size = code = None
@@ -313,7 +314,7 @@ def build(docs: DataFrame, order: int = ORDER, least: int = LEAST, discount: flo
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "keys", "sizes", "codes", "counts"])
 
         merge = _merger(folder, level, known, least, discount, shards)
-        packed = source.mapInArrow(count, "bucket int, keys binary, sizes binary, codes binary, counts binary")
+        packed = source.mapInArrow(releasing(count), "bucket int, keys binary, sizes binary, codes binary, counts binary")
         made = stored(packed.groupBy("bucket").applyInArrow(merge, "shard int, name string, kinds long, tokens long"), "level").collect()  # a row for each shard
         names = [*trie.names, {r["shard"]: r["name"] for r in made}]
         trie = Trie(folder, n, names, sum(r["tokens"] for r in made), sum(r["kinds"] for r in made)) if level == 1 else Trie(folder, n, names, trie.tokens, trie.kinds)
@@ -349,7 +350,7 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
                 )
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(rate, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(releasing(rate), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def fold(id_col: Column) -> Column:

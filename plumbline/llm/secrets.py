@@ -78,7 +78,7 @@ def train(samples: DataFrame) -> list[float]:
     """
     size = len(ALPHABET)
     at = lambda c: F.instr(F.lit(ALPHABET), c)
-    chars = F.split("text", "(?!^)")
+    chars = F.split("text", "")
     pairs = samples.where(F.length("text") > 1).select("random", F.explode(F.zip_with(F.slice(chars, 1, F.length("text") - 1), F.slice(chars, 2, F.length("text")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     counts = pairs.select("random", at(F.col("p.a")).alias("a"), at(F.col("p.b")).alias("b")).where("a > 0 and b > 0").groupBy("a", "b").agg(F.sum(F.col("random").cast("long")).alias("r"), F.sum((~F.col("random")).cast("long")).alias("o"))
     grid = [[[0.5, 0.5] for _ in range(size + 1)] for _ in range(size + 1)]
@@ -102,7 +102,7 @@ def log_ratio(run: Column, model: Column) -> Column:
         steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(model, a * (size + 1) + b + 1))
         return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(codes) - 1, F.lit(1))
 
-    return _let(F.transform(F.split(run, "(?!^)"), lambda c: F.instr(F.lit(ALPHABET), c)), score)
+    return _let(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c)), score)
 
 
 def model_column(table: list[float]) -> Column:
