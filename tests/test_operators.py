@@ -257,3 +257,70 @@ def test_inbox_counts_once(spark, tmp_path):
     rows.write.mode("append").parquet(str(tmp_path / "in"))
     inbox.keep_totals(inbox.watch(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp"), ["layer"], "length").awaitTermination()
     assert {r["layer"]: r["total"] for r in inbox.totals(spark, str(tmp_path / "out"), ["layer"]).collect()} == {"a": 8.0, "b": 4.0}
+
+
+def test_lookups(spark):
+    from plumbline.operators import lookups as L
+
+    items = spark.createDataFrame([(1, "a", "k1"), (2, "b", "k2"), (3, "c", "k9")], "item int, i1 string, i2 string")
+    rows = spark.createDataFrame([("a", "zz", 10), ("x", "k1", 11), ("y", "k2", 12)], "r1 string, r2 string, row int")
+    got = {(r["item"], r["row"], r["tier"]) for r in L.tiered_join(items, rows, "item", [(F.col("i1"), F.col("r1")), (F.col("i2"), F.col("r2"))]).collect()}
+    assert got == {(1, 10, 1), (2, 12, 2)}
+    first, second = spark.createDataFrame([("a", 5)], "i1 string, v int"), spark.createDataFrame([("k1", 6), ("k2", 7)], "i2 string, v int")
+    assert {r["item"]: r["v"] for r in L.coalesced_lookup(items, first, second, "i1", "i2", "v").collect()} == {1: 5, 2: 7, 3: None}
+    m = spark.createDataFrame([("q", 3.0, "x"), ("q", 1.0, "y"), ("p", 2.0, "z")], "k string, s double, c string")
+    assert {r["k"]: r["c"] for r in L.keep_best(m, "k", "s").collect()} == {"q": "y", "p": "z"}
+    near = spark.createDataFrame([(1, 3, 1), (1, 10, 2), (2, 9, 1), (2, 10, 2)], "q int, bits int, rank int")
+    assert [r["q"] for r in L.ratio_matches(near, "q").collect()] == [1]
+
+
+def test_caches(spark, tmp_path):
+    from plumbline.sources import caches as C
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string")
+    built = []
+    build = lambda df: built.append(1) or df.withColumn("n", F.length("s"))
+    for _ in range(2):
+        assert C.load_or_build(spark, str(tmp_path), rows, build, k=1).count() == 2
+    assert len(built) == 1 and C.content_key(rows) == C.content_key(rows.orderBy(F.desc("i"))) != C.content_key(rows, k=2)
+    (tmp_path / "m.json").write_text('{"h1a": {"v": 3}, "2B": {"v": 4}}')
+    assert {r["key"]: r["value"]["v"] for r in C.json_map(spark, str(tmp_path / "m.json"), "struct<v:int>").collect()} == {"1A": 3, "2B": 4}
+    (tmp_path / "s.json").write_text('{"min_score": 0.5, "note": "x"}')
+    s = C.settings(str(tmp_path / "s.json"))
+    assert (s.min_score, s.max_candidates, s.extra) == (0.5, 50, {"note": "x"}) and C.settings(str(tmp_path / "none")).min_score == 0.65
+
+
+def test_paths(spark):
+    from plumbline.functions import paths as P
+
+    assert P.clean([(0, 0), (5, 0), (2, 0)], False) == [(0, 0), (2, 0)]
+    assert P.clean([(0, 0), (5, 0), (9, 0)], False) == [(0, 0), (5, 0), (9, 0)]
+    assert P.clean([(0, 0), (0, 0.00001), (1, 0), (1, 1), (0, 0)], True) == [(0, 0), (1, 0), (1, 1), (0, 0)]
+    circle = P.subdivide(P.ellipse(0, 0, 2, 0, 1.0, 0.0, 6.283185307179586), 0.0, 1.0, 0.01, 1.0, 10.0)
+    assert all(abs((x * x + y * y) ** 0.5 - 2) < 1e-9 for x, y in circle) and len(circle) > 30
+    line = P.spline([(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)])
+    assert line(0.0) == (0, 0) and line(1.0) == (4, 4) and abs(line(0.3)[0] - line(0.3)[1]) < 1e-9
+    rows = spark.createDataFrame([([(0.0, 0.0), (5.0, 0.0), (2.0, 0.0)], False)], "v array<struct<x:double,y:double>>, c boolean")
+    assert [tuple(p) for p in rows.select(P.clean_vertices(F.col("v"), F.col("c"))).first()[0]] == [(0, 0), (2, 0)]
+    assert len(rows.select(P.spline_points(F.col("v"))).first()[0]) > 2
+
+
+def test_shapes():
+    import numpy as np
+
+    from plumbline.functions import images as I
+
+    bar = np.zeros((21, 21), bool)
+    bar[9:12, 3:18] = True
+    thin = I.thinned(bar)
+    assert thin.sum(axis=0).max() == 1 and 11 <= thin.sum() <= 15
+    assert I.chamfer(bar, bar) == 0 and I.chamfer(bar, bar & False) == 999.0
+    dots = np.zeros((5, 5), bool)
+    dots[2, 2] = True
+    assert I.distance_map(dots)[0, 0] == pytest.approx(8**0.5)
+    assert I.radial_signature(bar).max() == 1.0
+    ell = np.zeros((41, 41), bool)
+    ell[10:30, 20:23] = ell[27:30, 20:34] = True
+    assert abs((I.best_turn(I.turned(ell, 40), ell) - 40 + 180) % 360 - 180) <= 2
+    word = I.frequency_word(np.rot90(ell, 1).ravel() * 255, 41)
+    assert I.closest_variant(word, ell * 255)[0] == 0
