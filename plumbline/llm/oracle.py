@@ -72,4 +72,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-SQL = {"op1_warc_bundles": _OP1, "op6_chat_formatting": _OP6, "op3_quality_rules": _OP3, "op5_benchmark_decontamination": _OP5}
+_OP9 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(ws[i:i + least(len(ws), 5) - 1], 'string_agg', ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS component FROM w UNION SELECT e.b, r.component FROM r JOIN e ON r.doc_id = e.a AND r.component < e.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(component) FROM r WHERE r.doc_id = w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+SQL = {"op9_jaccard_join": _OP9, "op1_warc_bundles": _OP1, "op6_chat_formatting": _OP6, "op3_quality_rules": _OP3, "op5_benchmark_decontamination": _OP5}

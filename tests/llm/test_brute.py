@@ -436,7 +436,7 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == set(kept["secret_scan"])
 
 
-@pytest.mark.parametrize("name", ["op1_warc_bundles", "op3_quality_rules", "op5_benchmark_decontamination", "op6_chat_formatting"])
+@pytest.mark.parametrize("name", ["op1_warc_bundles", "op3_quality_rules", "op5_benchmark_decontamination", "op6_chat_formatting", "op9_jaccard_join"])
 def test_sql(spark, data, name):
     from plumbline.llm import queries
 
