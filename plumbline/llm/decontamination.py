@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Finder
-from .common import Words, alnum_table, filesystem, runs, shared_folder
+from .common import Words, alnum_table, filesystem, releasing, runs, shared_folder
 
 WINDOW = 10
 #: Words of test items in one automaton.
@@ -125,7 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                 )
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(report, f"id {kind}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(releasing(report), f"id {kind}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_covered: float = 0.5, block_words: int = BLOCK_WORDS, text_col: str = "text", chars_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -166,4 +166,4 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_co
                     run = pa.RecordBatch.from_arrays(columns, schema=run.schema).filter(pa.array(keep))
                 yield run
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(releasing(clean), docs.schema)

@@ -52,6 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
                 length = np.minimum(n[row] - start, capacity)
                 ends = np.concatenate(([0], np.cumsum(length)))
                 yield pa.RecordBatch.from_arrays([run.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), binaries(ids, ends).cast(pa.binary())], ["id", "piece", "start", "length", "ids"])
+        own.close_task()
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, plain, runs
+from .common import Words, mix, plain, releasing, runs
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = bytes([32, *range(9, 14)])
@@ -209,7 +209,7 @@ def quality_report(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([run.column("id"), *(pa.array(x) for x in got.values())], ["id", *got])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(report, f"id {kind}, {_RESULT}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(releasing(report), f"id {kind}, {_RESULT}").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
@@ -220,4 +220,4 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -
             for run in runs(batch, text_col, RUN):
                 yield run.filter(pa.array(judge(run.column(text_col), rules)["kept"]))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(releasing(good), docs.schema)

@@ -91,6 +91,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 index.write_batch(pa.RecordBatch.from_arrays([run.column("id"), pa.array(offsets[:-1] + held), pa.array(np.diff(offsets))], schema=shape))
                 held += len(ids)
                 done += run.num_rows
+        own.close_task()
         if writer is not None:
             writer.close()
             index.close()

@@ -10,21 +10,26 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import plain
+from .common import plain, release
 
-#: Words that a worker's cache holds at most; it starts anew beyond that.
-CACHE_WORDS = 600_000
+#: Words that a worker's cache holds at most, and of them the first, mostly frequent ones, that outlive a task.
+CACHE_WORDS, KEPT_WORDS = 600_000, 100_000
 #: Two white-space characters in a row, the mark that pieces are split at, or the start of a special token.
 _WHOLE = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]{2}|[\x{01}\x{85}\x{1C}-\x{1F}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
 
 #: ASCII punctuation, without the apostrophe, at a word's end after an ASCII letter or digit or a Latin-1 letter (case folding turns others into a letter and a mark).
 _TAIL = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}](?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+#: Words of one pre-token where blanks are dropped; words after one blank.
+_ONE_PIECE = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_SPACED = re.compile(r" (?!.*<\|)\S+")
 #: Texts are encoded in runs of so many bytes.
 RUN = 6 << 20
 
@@ -54,6 +59,10 @@ class Encoder:
         marks = [x for x in about.get("added_tokens", []) if x["special"] and x["content"].startswith("<|") and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"])]
         #: A special token, as text and id, that splits a text before anything else is done to it.
         self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
+        #: By id: whether it ends a word, or where blanks are kept begins one.
+        self.edges = np.zeros(max(about["model"]["vocab"].values(), default=0) + 1024, bool)
+        for piece, i in about["model"]["vocab"].items():
+            self.edges[i] = piece.endswith(about["model"].get("end_of_word_suffix") or "\0") if self.blanks_dropped else piece.startswith("\u0120")
         self._clear()
 
     def _clear(self) -> None:
@@ -61,8 +70,38 @@ class Encoder:
         self.flat = array("I")
         self.begin = array("q", [0])
 
+    def close_task(self) -> None:
+        """Keep a small cache only, as an executor has several workers that wait between tasks."""
+        if len(self.place) > KEPT_WORDS:
+            self.place = dict(islice(self.place.items(), KEPT_WORDS))
+            del self.begin[KEPT_WORDS + 1 :]
+            del self.flat[self.begin[-1] :]
+        release()
+
+    def _plain(self, words: list[str]) -> list[str]:
+        """Encode words whose ids show where they begin or end, many in one text; returns the others."""
+        fits = _ONE_PIECE.fullmatch if self.blanks_dropped else _SPACED.fullmatch
+        easy = [w for w in words if fits(w)]
+        glue = " " if self.blanks_dropped else ""
+        for i in range(0, len(easy), 256):
+            some = easy[i : i + 256]
+            ids = np.array(self.tokenizer.encode(glue.join(some), add_special_tokens=False).ids, np.uint32)
+            edge = np.flatnonzero(self.edges[ids])
+            if len(edge) != len(some):
+                raise ValueError("the ids don't show where words begin and end")
+            ends = edge + 1 if self.blanks_dropped else np.append(edge[1:], len(ids))
+            self._store(some, ids, ends)
+        return [w for w in words if not fits(w)]
+
+    def _store(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        base, first = len(self.flat), len(self.place)
+        self.flat.frombytes(ids.tobytes())
+        self.begin.frombytes((ends + base).astype(np.int64).tobytes())
+        self.place.update(zip(words, range(first, first + len(words))))
+
     def _learn(self, words: list[str]) -> None:
         """Encode words that the cache lacks, many in one call: a special token between two keeps them apart."""
+        words = self._plain(words)
         odd = [w for w in words if "<|" in w] if self.mark else words
         for i in range(0, len(odd), 2048):
             some = odd[i : i + 2048]
@@ -80,10 +119,7 @@ class Encoder:
             ends = np.flatnonzero(ids == mark)
             if len(ends) != len(some):
                 raise ValueError("the special token doesn't keep words apart")
-            base, first = len(self.flat), len(self.place)
-            self.flat.frombytes(ids[ids != mark].tobytes())
-            self.begin.frombytes((ends - np.arange(len(ends)) + base).astype(np.int64).tobytes())
-            self.place.update(zip(some, range(first, first + len(some))))
+            self._store(some, ids[ids != mark], ends - np.arange(len(ends)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): text i has ids[offsets[i]:offsets[i+1]]; a null is an empty text."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, alnum_table, runs, stored
+from .common import Words, alnum_table, releasing, runs, stored
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -203,4 +203,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([run.column("id"), pa.array(shared.value.score(shared.value.features(run.column("text"))))], ["id", "score"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(rate, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(releasing(rate), f"id {kind}, score double").withColumnRenamed("id", id_col)
