@@ -88,14 +88,19 @@ def boxes_touch(a: Column, b: Column, gap: Column | float = 0.0) -> Column:
     return (a["minx"] <= b["maxx"] + gap) & (b["minx"] <= a["maxx"] + gap) & (a["miny"] <= b["maxy"] + gap) & (b["miny"] <= a["maxy"] + gap)
 
 
-def inside(x: Column, y: Column, verts: Column) -> Column:
-    """Even-odd test of a point against a ring."""
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd test of a point against a ring's edges, as closed_pairs() gives them."""
 
     def crosses(p: Column) -> Column:
         a, b = p["a"], p["b"]
         return ((b["y"] > y) != (a["y"] > y)) & (x < (a["x"] - b["x"]) * (y - b["y"]) / (a["y"] - b["y"] + TINY) + b["x"])
 
-    return F.aggregate(closed_pairs(verts, F.lit(True)), F.lit(False), lambda odd, p: odd != crosses(p))
+    return F.aggregate(edges, F.lit(False), lambda odd, p: odd != crosses(p))
+
+
+def inside(x: Column, y: Column, verts: Column) -> Column:
+    """Even-odd test of a point against a ring."""
+    return inside_edges(x, y, closed_pairs(verts, F.lit(True)))
 
 
 def arc_sweep(start: Column, end: Column) -> Column:
@@ -107,9 +112,9 @@ def arc_sweep(start: Column, end: Column) -> Column:
 def arc_points(cx: Column, cy: Column, r: Column, start: Column, end: Column, least: int = 16, step: float = 6.0) -> Column:
     """Points along an arc, one for each `step` degrees, `least` pieces or more."""
     sweep = arc_sweep(start, end)
-    pieces = F.greatest(F.lit(least), F.floor(sweep / step).cast("int"))
-    at = lambda i: F.radians(start + sweep * i / pieces)
-    return F.transform(F.sequence(F.lit(0), pieces), lambda i: F.struct((cx + r * F.cos(at(i))).alias("x"), (cy + r * F.sin(at(i))).alias("y")))
+    fixed = F.struct(cx.alias("x"), cy.alias("y"), r.alias("r"), F.radians(start).alias("from"), F.radians(sweep).alias("turn"), F.greatest(F.lit(least), F.floor(sweep / step).cast("int")).alias("n"))
+    point = lambda v, t: F.struct((v["x"] + v["r"] * F.cos(t)).alias("x"), (v["y"] + v["r"] * F.sin(t)).alias("y"))
+    return let(fixed, lambda v: F.transform(F.sequence(F.lit(0), v["n"]), lambda i: point(v, v["from"] + v["turn"] * i / v["n"])))
 
 
 def bulge_points(a: Column, b: Column, bulge: Column, least: int = 8, step: float = 6.0) -> Column:
@@ -123,10 +128,11 @@ def bulge_points(a: Column, b: Column, bulge: Column, least: int = 8, step: floa
     apothem = (1 - bulge * bulge) / (4 * bulge)  # centre's distance from the chord, in chords, to its left
     cx, cy = (a["x"] + b["x"]) / 2 - dy * apothem, (a["y"] + b["y"]) / 2 + dx * apothem
     pieces = F.greatest(F.lit(least), F.floor(F.abs(angle) / math.radians(step) + 1e-9).cast("int"))
-    ux, uy = a["x"] - cx, a["y"] - cy
-    turned = lambda t: F.struct((cx + ux * F.cos(t) - uy * F.sin(t)).alias("x"), (cy + ux * F.sin(t) + uy * F.cos(t)).alias("y"))
+    fixed = F.struct(cx.alias("x"), cy.alias("y"), (a["x"] - cx).alias("u"), (a["y"] - cy).alias("v"), angle.alias("turn"), pieces.alias("n"))
+    turned = lambda k, c, s: F.struct((k["x"] + k["u"] * c - k["v"] * s).alias("x"), (k["y"] + k["u"] * s + k["v"] * c).alias("y"))
+    curve = let(fixed, lambda k: F.transform(F.sequence(F.lit(0), k["n"]), lambda i: turned(k, F.cos(k["turn"] * i / k["n"]), F.sin(k["turn"] * i / k["n"]))))
     straight = F.array(F.struct(a["x"].alias("x"), a["y"].alias("y")), F.struct(b["x"].alias("x"), b["y"].alias("y")))
-    return F.when((F.abs(bulge) < TINY) | (F.hypot(dx, dy) < TINY), straight).otherwise(F.transform(F.sequence(F.lit(0), pieces), lambda i: turned(angle * i / pieces)))
+    return F.when((F.abs(bulge) < TINY) | (F.hypot(dx, dy) < TINY), straight).otherwise(curve)
 
 
 def arc_length(r: Column, start: Column, end: Column) -> Column:

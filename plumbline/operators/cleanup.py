@@ -69,12 +69,14 @@ def twin_pairs(pieces: DataFrame, tolerance: float, share: float = 0.01) -> Data
 
     Pieces meet in bands of the length's logarithm, so only pieces of like length are compared.
     """
-    m = pieces.select("piece_id", "style", "verts", G.path_length(F.col("verts"), F.lit(False)).alias("len")).where("len > 0")
+    m = pieces.select("piece_id", "style", "verts", G.bounds(F.col("verts")).alias("box"), G.path_length(F.col("verts"), F.lit(False)).alias("len")).where("len > 0")
     band = F.floor(F.ln("len") / math.log1p(2 * share))
     left = m.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
     right = m.withColumn("band", band)
-    l, r = (lambda df, s: df.select("style", "band", *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "len"))))(left, "1"), (lambda df, s: df.select("style", "band", *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "len"))))(right, "2")
+    l, r = (lambda df, s: df.select("style", "band", *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "box", "len"))))(left, "1"), (lambda df, s: df.select("style", "band", *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "box", "len"))))(right, "2")
     near = l.join(r, ["style", "band"]).where("piece_id1 < piece_id2").where(F.abs(F.col("len1") - F.col("len2")) <= share * F.greatest("len1", "len2"))
+    for side in ("minx", "miny", "maxx", "maxy"):  # the sides of two boxes differ by no more than the paths do
+        near = near.where(F.abs(F.col(f"box1.{side}") - F.col(f"box2.{side}")) <= tolerance + 1e-9)
     return near.withColumn("gap", G.hausdorff(F.col("verts1"), F.col("verts2"))).where(F.col("gap") <= tolerance).select(F.col("piece_id1").alias("a"), F.col("piece_id2").alias("b"), "gap")
 
 

@@ -22,12 +22,15 @@ def zone_pairs(points: DataFrame, zones: DataFrame, cell: float = 20.0) -> DataF
     return joined.where(G.inside(F.col("x"), F.col("y"), F.col("poly"))).select(*points.columns, "zone_ord", "zone")
 
 
-def assign_zones(points: DataFrame, zones: DataFrame, key: str, cell: float = 20.0) -> DataFrame:
-    """(key, zone): of the zones that hold a point the first in zone order; points in none are left out."""
-    found = zone_pairs(points.select(key, "x", "y"), zones, cell)
-    return found.groupBy(key).agg(F.min(F.struct("zone_ord", "zone"))["zone"].alias("zone"))
-
-
-def with_zone(points: DataFrame, zones: DataFrame, key: str, cell: float = 20.0) -> DataFrame:
-    """points with a zone column, null where no zone holds the point."""
-    return points.join(assign_zones(points, zones, key, cell), key, "left")
+def with_zone(points: DataFrame, zones: DataFrame, cell: float = 20.0) -> DataFrame:
+    """points with a zone column: of the zones that hold a point the first in zone order, null where none does.
+
+    A grid cell's zones are one row, so a point meets them by one equi-join on its cell
+    and keeps its own row; the first zone that passes the exact test is picked there.
+    """
+    entry = F.struct("zone_ord", "zone", "edges")
+    table = cells_of(zones.withColumn("edges", G.closed_pairs(F.col("poly"), F.lit(True))), cell).groupBy("cell_x", "cell_y").agg(F.array_sort(F.collect_list(entry)).alias("_near"))
+    keyed = points.withColumn("cell_x", F.floor(F.col("x") / cell)).withColumn("cell_y", F.floor(F.col("y") / cell))
+    held = keyed.join(table, ["cell_x", "cell_y"], "left")
+    first = F.filter("_near", lambda z: G.inside_edges(F.col("x"), F.col("y"), z["edges"]))
+    return held.select(*(F.col(c) for c in points.columns), F.try_element_at(first, F.lit(1))["zone"].alias("zone"))

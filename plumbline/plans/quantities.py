@@ -15,7 +15,7 @@ from .views import r4
 
 def q_boq_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zoned insert rows and layer totals in one report, in report order."""
-    placed = with_zone(V.inserts(spark, sf_dir), V.zones(spark, sf_dir), "ent_ord")
+    placed = with_zone(V.inserts(spark, sf_dir), V.zones(spark, sf_dir))
     rows = boq.aggregate_inserts(placed)
     detail = rows.select(F.lit("INSERT").alias("entity_type"), F.lit("PLANNER").alias("category"), "zone", F.col("block_name").alias("boq_name"), "layer", F.col("qty").cast("double").alias("qty_value"), "length", "width")
     totals = boq.layer_rows(boq.layer_metrics(V.rings(spark, sf_dir)), "split")

@@ -16,10 +16,10 @@ def square(x0, y0, side):
 def test_first_zone_wins(spark):
     z = spark.createDataFrame([(0, "Z1", square(0.0, 0.0, 10.0)), (1, "Z2", square(5.0, 5.0, 10.0))], f"zone_ord int, zone string, poly {VERT}")
     p = spark.createDataFrame([(1, 7.0, 7.0), (2, 12.0, 12.0), (3, 20.0, 20.0)], "id int, x double, y double")
-    got = {r["id"]: r["zone"] for r in zones.with_zone(p, z, "id", 4.0).collect()}
+    got = {r["id"]: r["zone"] for r in zones.with_zone(p, z, 4.0).collect()}
     assert got == {1: "Z1", 2: "Z2", 3: None}
     other = z.withColumn("zone_ord", 1 - F.col("zone_ord"))
-    assert {r["id"]: r["zone"] for r in zones.with_zone(p, other, "id", 4.0).collect()}[1] == "Z2"
+    assert {r["id"]: r["zone"] for r in zones.with_zone(p, other, 4.0).collect()}[1] == "Z2"
 
 
 def test_zone_names(spark):
