@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from .common import plain, release
 
 #: Words that a worker's cache holds at most, and of them the first, mostly frequent ones, that outlive a task.
-CACHE_WORDS, KEPT_WORDS = 600_000, 100_000
+CACHE_WORDS, KEPT_WORDS = 600_000, 250_000
 #: Two white-space characters in a row, the mark that pieces are split at, or the start of a special token.
 _WHOLE = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]{2}|[\x{01}\x{85}\x{1C}-\x{1F}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
 
