@@ -15,14 +15,14 @@ def cells_of(zones: DataFrame, cell: float, poly: str = "poly") -> DataFrame:
     return box.withColumn("cell_x", F.explode(span("minx", "maxx"))).withColumn("cell_y", F.explode(span("miny", "maxy"))).drop("_b")
 
 
-def zone_pairs(points: DataFrame, zones: DataFrame, cell: float = 20.0) -> DataFrame:
+def zone_pairs(points: DataFrame, zones: DataFrame, cell: float = 4.0) -> DataFrame:
     """(point columns, zone_ord, zone) for each zone that holds a point: an equi-join on the cell, then the exact test."""
     keyed = points.withColumn("cell_x", F.floor(F.col("x") / cell)).withColumn("cell_y", F.floor(F.col("y") / cell))
     joined = keyed.join(cells_of(zones, cell), ["cell_x", "cell_y"])
     return joined.where(G.inside(F.col("x"), F.col("y"), F.col("poly"))).select(*points.columns, "zone_ord", "zone")
 
 
-def with_zone(points: DataFrame, zones: DataFrame, cell: float = 20.0) -> DataFrame:
+def with_zone(points: DataFrame, zones: DataFrame, cell: float = 4.0) -> DataFrame:
     """points with a zone column: of the zones that hold a point the first in zone order, null where none does.
 
     A grid cell's zones are one row, so a point meets them by one equi-join on its cell
