@@ -193,6 +193,16 @@ class Tokens:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, which one each key is), by one unstable sort, which is the fastest."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(key) else np.zeros(0, bool)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 class Walk:
     """The n-grams of a run, level by level: after level k, node[i] is the place of the k-gram that ends at token i, or -1.
 
@@ -213,7 +223,7 @@ class Walk:
         t, k = self.tokens, self.level + 1
         at = np.flatnonzero((t.place[1:] >= k - 1) & (self.node[:-1] >= 0)) + 1 if len(self.node) else np.zeros(0, np.int64)
         key = self.local[at - 1].astype(np.int64) * len(t.hashes) + t.codes[at]
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        first, which = _distinct(key)
         one = at[first]
         return at, which, self.shard_of_code[t.codes[one - k + 1]], self.node[one - 1].astype(np.int64), self.code[t.codes[one]]
 
