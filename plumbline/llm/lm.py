@@ -1,7 +1,7 @@
 """Language-model scores from an n-gram trie in Elias-Fano form.
 
 Level 1 holds every training token's hash, in order, with its exact count. Level k
-holds the n-grams of k words that occur LEAST times or more, grouped by their first
+holds the n-grams of k words that occur `least` times or more, grouped by their first
 k - 1 words: monotone pointers give a context's range, and inside it the last words'
 codes ascend, so the level is one monotone sequence of (context, code), and a word is
 sought by successor search relative to its context. Beside it lie probabilities and
@@ -31,7 +31,7 @@ from .near_duplicates import _bucket_keys
 
 ORDER = 3
 DISCOUNT = 0.75
-#: n-grams of two words or more that occur fewer times are left to the backoff.
+#: n-grams of two words or more that occur fewer times are left to the backoff, unless build() is told another bound; the query keeps all.
 LEAST = 2
 ADDED = 0.1
 RUN = 16 << 20

@@ -408,6 +408,36 @@ def test_language_model(spark, texts):
     assert score(docs, build(docs.limit(0))).count() == len(texts)
 
 
+def test_scores_count_every_ngram(spark, tmp_path):
+    """The query keeps n-grams that stand once in the training texts."""
+    from plumbline.llm import queries
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(40)) for _ in range(30)]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.queries()["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    tokens = [[*t.split(), None] for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    count = {k: Counter(tuple(tokens[i][a : a + k]) for i in train for a in range(len(tokens[i]) - k + 1)) for k in (1, 2, 3)}
+    assert 0 < sum(c == 1 for c in count[3].values()) and len(train) < len(texts)
+    total, kinds = {k: Counter() for k in (2, 3)}, {k: Counter() for k in (2, 3)}
+    for k in (2, 3):
+        for g, c in count[k].items():
+            total[k][g[:-1]] += c
+            kinds[k][g[:-1]] += 1
+    n = sum(count[1].values())
+    for i, t in enumerate(tokens):
+        full = 0.0
+        for a, w in enumerate(t):
+            p = (count[1][w,] + 0.1) / (n + 0.1 * (len(count[1]) + 1))
+            for k in (2, 3):
+                h = tuple(t[a - k + 1 : a])
+                if a >= k - 1 and total[k][h]:
+                    p = max(count[k][*h, w] - 0.75, 0) / total[k][h] + 0.75 * kinds[k][h] / total[k][h] * p
+            full += math.log10(p)
+        assert abs(got[i]["score"] - full) <= 2e-4 * len(t)
+
+
 # ---------------------------------------------------------------- pipeline and SQL
 def test_pipeline(spark, tmp_path):
     cp = pytest.importorskip("corpus_pipeline")
