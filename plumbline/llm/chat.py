@@ -3,8 +3,10 @@
 A template is any function from a list of (role, text) to a string. Successive
 prefixes of a conversation are rendered; where an output extends the one before,
 the new part is the new turn's span. A template that changes what it has written
-is detected. Inside a span, two probe texts show what stands before and after the
-text. Conversations are streamed in order, so one of any length needs little memory.
+is detected. Inside each span, two probe texts show what stands before and after the
+text. Prefixes are whole, so a template may look at all its history; the work grows
+with the square of a conversation's turns. A template that is declared stateless is
+rendered after its latest turns alone, and a conversation of any length streams.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Prefixes are rendered from the first turn on up to this many turns; later turns are rendered after the last KEPT.
+#: For stateless templates: prefixes are cut to their last KEPT turns whenever they have this many.
 WHOLE_TURNS, KEPT = 64, 8
 #: A chunk of output is closed after so many turns or code points.
 CHUNK_TURNS, CHUNK_CHARS = 256, 1 << 20
@@ -79,29 +81,28 @@ def common_prefix(a: str, b: str) -> int:
 
 
 class Incremental:
-    """Spans of the turns of one conversation, turn by turn."""
+    """Spans of the turns of one conversation, turn by turn.
 
-    def __init__(self, template: Template, whole: int = WHOLE_TURNS, kept: int = KEPT):
-        self.template, self.whole, self.kept = template, whole, kept
+    stateless declares that a turn is written alike after any KEPT turns that come
+    before it, whatever stands further back; only then are prefixes cut.
+    """
+
+    def __init__(self, template: Template, whole: int = WHOLE_TURNS, kept: int = KEPT, stateless: bool = False):
+        self.template, self.whole, self.kept, self.stateless = template, whole, kept, stateless
         self.turns: list[Turn] = []
         self.last = template([])
-        self.frames: dict[tuple, tuple[int, int]] = {}
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         """(new text, place in it where the turn's text begins, place where it ends)."""
-        if len(self.turns) >= self.whole:
+        if self.stateless and len(self.turns) >= self.whole:
             self.turns = self.turns[-self.kept :]
             self.last = self.template(self.turns)
         before = self.last
         now = self.template([*self.turns, (role, text)])
         if not now.startswith(before):
             raise HistoryRewritten(f"rendered text changes from code point {common_prefix(before, now)} on when turn {len(self.turns)} is added")
-        key = (role, self.turns[-1][0] if self.turns else None, len(self.turns) == 0)
-        if key not in self.frames:
-            a, b = (self.template([*self.turns, (role, probe)])[len(before) :] for probe in ("a", "b"))
-            head = common_prefix(a, b)
-            self.frames[key] = head, common_prefix(a[::-1], b[::-1])
-        head, tail = self.frames[key]
+        a, b = (self.template([*self.turns, (role, probe)])[len(before) :] for probe in ("a", "b"))
+        head, tail = common_prefix(a, b), common_prefix(a[::-1], b[::-1])
         self.turns.append((role, text))
         self.last = now
         new = now[len(before) :]
@@ -111,13 +112,14 @@ class Incremental:
 _CHUNK = "chunk int, text string, turns array<struct<role:string,start:long,end:long,loss_start:long,loss_end:long>>, last boolean"
 
 
-def format_conversations(rows: DataFrame, template: Template = marked_turns, learn: tuple[str, ...] = ("assistant",), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(rows: DataFrame, template: Template = marked_turns, learn: tuple[str, ...] = ("assistant",), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", stateless: bool = False) -> DataFrame:
     """Formatted conversations in chunks: (id, chunk, text, turns, last), a conversation's chunks in order in one partition.
 
     turns has each turn's span in the chunk, and for roles in `learn` the span of
     its text, which is the loss mask (else an empty span). Rows go by turn, then
     role and text; null roles and texts are empty; a null id is a conversation of
-    its own. An empty table gives nothing. Other columns play no part.
+    its own. An empty table gives nothing. Other columns play no part. stateless is
+    for templates that Incremental's docstring describes; others see all their history.
     """
     kind = rows.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([(k, pa.string() if k == "role" else pa.int64()) for k in ("role", "start", "end", "loss_start", "loss_end")]))
@@ -143,7 +145,8 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, lea
                 if state is None or conv != now:
                     if state is not None:
                         close(True)
-                    now, state, chunk = conv, Incremental(template), 0
+                    now, state, chunk = conv, Incremental(template, stateless=stateless), 0
+                    parts, size = [state.last], len(state.last)  # what stands before the first turn
                 if len(turns) >= CHUNK_TURNS or size >= CHUNK_CHARS:
                     close(False)
                 new, a, b = state.add(role, text)

@@ -236,6 +236,32 @@ def test_rewriting_templates_are_found():
         state.add("user", "b")
 
 
+def test_templates_see_all_their_history(spark):
+    from plumbline.llm import chat
+
+    def numbered(turns):
+        return "<begin>" + "".join(f"[{i}] {r}: {t}\n" for i, (r, t) in enumerate(turns, 1))
+
+    turns = [("assistant" if i % 2 else "user", f"said {i}") for i in range(150)]
+    frame = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    chunks = sorted(chat.format_conversations(frame, numbered).collect(), key=lambda r: r["chunk"])
+    assert "".join(r["text"] for r in chunks) == numbered(turns)
+    masked = [r["text"][t["loss_start"] : t["loss_end"]] for r in chunks for t in r["turns"] if t["role"] == "assistant"]
+    assert masked == [t for r, t in turns if r == "assistant"]
+
+
+def test_late_rewriting_is_found():
+    from plumbline.llm.chat import HistoryRewritten, Incremental
+
+    def forgetful(turns):  # from turn 100 on the first turn's text is left out
+        return "".join(f"{r}: {t if i or len(turns) < 100 else ''}\n" for i, (r, t) in enumerate(turns))
+
+    state = Incremental(forgetful)
+    with pytest.raises(HistoryRewritten):
+        for i in range(120):
+            state.add("user", f"t{i}")
+
+
 # ---------------------------------------------------------------- 7
 def test_toxicity(spark):
     from plumbline.llm.toxicity import fold, score, train
