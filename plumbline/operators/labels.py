@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -22,6 +22,19 @@ def label_candidates(labels: DataFrame, zones: DataFrame) -> DataFrame:
     return pairs.select("zone_ord", "zone", "label_ord", "text", G.inside(F.col("x"), F.col("y"), F.col("poly")).alias("within"), (dx * dx + dy * dy).alias("square"))
 
 
+def first_candidates(candidates: DataFrame, drawing: str, zones: int) -> DataFrame:
+    """All candidates that name_zones can choose, where a drawing has at most so many zones.
+
+    The zones before one use up fewer labels than there are zones, so a zone's label is
+    among its first ones inside or, where fewer are inside, those or its nearest.
+    """
+    rank = lambda *by: F.row_number().over(Window.partitionBy(drawing, "zone_ord").orderBy(*by))
+    columns = candidates.columns
+    inside = candidates.where("within").withColumn("_rank", rank("label_ord")).where(F.col("_rank") <= zones)
+    nearest = candidates.withColumn("_rank", rank("square", "label_ord")).where(F.col("_rank") <= zones)
+    return inside.select(*columns).unionByName(nearest.select(*columns)).dropDuplicates([drawing, "zone_ord", "label_ord"])
+
+
 def name_zones(candidates: DataFrame, drawing: str) -> DataFrame:
     """(drawing, zone_ord, text): in zone order, the first unused label inside, else the nearest unused one.
 

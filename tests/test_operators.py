@@ -29,6 +29,23 @@ def test_zone_names(spark):
     assert {r["zone_ord"]: r["text"] for r in named.collect()} == {0: "A", 1: "B"}
 
 
+def test_zone_names_take_every_point(spark, data):
+    from plumbline.plans import spatial
+    from plumbline.plans import views as V
+
+    z = V.zones(spark, data).withColumn("zone_ord", F.col("zone_ord").cast("long"))
+    t = V.points(spark, data).select(F.col("point_id").alias("label_ord"), F.col("name").alias("text"), "x", "y")
+    want, used = {}, set()
+    pairs = labels.label_candidates(t, z).collect()
+    for order in sorted({r["zone_ord"] for r in pairs}):
+        free = [r for r in pairs if r["zone_ord"] == order and r["label_ord"] not in used]
+        inside = sorted((r for r in free if r["within"]), key=lambda r: r["label_ord"])
+        best = (inside or sorted(free, key=lambda r: (r["square"], r["label_ord"])))[0]
+        used.add(best["label_ord"])
+        want[order] = best["text"]
+    assert {r["zone_ord"]: r["text"] for r in spatial.q_zone_names(spark, data).collect()} == want
+
+
 def test_bands(spark):
     rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(["A", "a ", "", "B", "", "B", "A"], 1)], "r int, v string, s int")
     value = F.lower(F.trim("v"))
