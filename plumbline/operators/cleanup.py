@@ -80,6 +80,26 @@ def twin_pairs(pieces: DataFrame, tolerance: float, share: float = 0.01) -> Data
     return near.withColumn("gap", G.hausdorff(F.col("verts1"), F.col("verts2"))).where(F.col("gap") <= tolerance).select(F.col("piece_id1").alias("a"), F.col("piece_id2").alias("b"), "gap")
 
 
+def without_twins(pieces: DataFrame, tolerance: float, share: float = 0.01) -> DataFrame:
+    """pieces without those that are a twin of one kept before, in order of piece_id.
+
+    A piece whose only twins were dropped stays. The order matters, so a style's pairs
+    are worked on together; their shapes have been compared before that.
+    """
+    pairs = twin_pairs(pieces, tolerance, share).select("a", "b").join(pieces.select(F.col("piece_id").alias("a"), "style"), "a")
+    kind = pieces.schema["piece_id"].dataType.simpleString()
+
+    def drop(part: pd.DataFrame) -> pd.DataFrame:
+        dropped = set()
+        for a, b in part.sort_values(["b", "a"])[["a", "b"]].itertuples(index=False):  # a comes before b, so a is settled
+            if a not in dropped:
+                dropped.add(b)
+        return pd.DataFrame({"piece_id": pd.Series(list(dropped), dtype=part["b"].dtype)})
+
+    gone = pairs.groupBy("style").applyInPandas(drop, f"piece_id {kind}")
+    return pieces.join(gone, "piece_id", "left_anti").select(*pieces.columns)
+
+
 def join_chains(pieces: DataFrame, tolerance: float) -> DataFrame:
     """Open pieces of one drawing and style joined end to end: (drawing, style, chain, n_pieces, points, closed).
 

@@ -5,22 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import strings as S
 
-def tiered_join(items: DataFrame, rows: DataFrame, key: str, tiers: list[tuple[Column, Column]]) -> DataFrame:
+#: Prefix and contains joins meet on so many characters.
+BLOCK = 8
+
+
+def _pieces(text: Column, n: int, inner: bool) -> Column:
+    """The distinct pieces of a text of 1 to n characters: its prefixes, or all inside it."""
+    sizes = F.sequence(F.lit(1), F.least(F.length(text), F.lit(n)))
+    of = (lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda a: F.substring(text, a, k))) if inner else (lambda k: F.array(F.substring(text, F.lit(1), k)))
+    return F.when(F.length(text) > 0, F.array_distinct(F.flatten(F.transform(sizes, of))))
+
+
+def part_join(items: DataFrame, rows: DataFrame, left: Column, right: Column, inner: bool = False) -> DataFrame:
+    """Pairs where the rows' text begins with the items' text, or with `inner` holds it; empty texts meet none.
+
+    Texts meet on a block of the items' first characters, which the rows' text must
+    begin with or hold, and the whole text is compared afterwards.
+    """
+    n = 4 if inner else BLOCK
+    a = items.withColumn("_l", left).where(F.length("_l") > 0).withColumn("_k", F.substring("_l", 1, n))
+    b = rows.withColumn("_r", right).withColumn("_k", F.explode(_pieces(F.col("_r"), n, inner)))
+    return a.join(b, "_k").where(F.contains("_r", "_l") if inner else F.startswith("_r", "_l")).drop("_k", "_l", "_r")
+
+
+def tiered_join(items: DataFrame, rows: DataFrame, key: str, tiers: list[tuple[Column, Column]], prefix: tuple[Column, Column] | None = None) -> DataFrame:
     """items with the columns of the rows found and `tier`, from 1.
 
     Each tier is a pair of expressions, over items and over rows, that must be equal
-    and not null. Items keep all rows of their first tier with a hit; items without
+    and not null; in a last tier, `prefix`, the rows' text begins with the items'. Items keep all rows of their first tier with a hit; items without
     one are left out. Column names of the two sides must differ.
     """
     found = None
     for n, (left, right) in enumerate(tiers, 1):
         one = items.withColumn("_k", left).join(rows.withColumn("_k", right), "_k").drop("_k").withColumn("tier", F.lit(n))
         found = one if found is None else found.unionByName(one)
+    if prefix:
+        found = found.unionByName(part_join(items, rows, *prefix).withColumn("tier", F.lit(len(tiers) + 1)))
     best = found.groupBy(key).agg(F.min("tier").alias("tier"))
     return found.join(best, [key, "tier"])
 
 
+def preview_files(items: DataFrame, files: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, path, tier): each name's preview, the first path of its first tier with a hit.
+
+    files has (path, stem, cluster); stems are file names without an extension. In
+    order: instance stems that begin with the safe name and two underscores, or hold
+    the name's token; cluster stems that begin with the safe name and __cluster, hold
+    the token, or hold it when underscores are left out of both. Case plays no part.
+    Names without a hit are left out.
+    """
+    safe, stem = F.lower(S.safe_chars(F.col(name))), F.lower("stem")
+    token = S.token(S.safe_chars(F.col(name)))
+    one, many = files.where("NOT cluster"), files.where("cluster")
+    tiers = [
+        part_join(items, one, F.concat(safe, F.lit("__")), stem),
+        part_join(items, one, token, stem, inner=True),
+        part_join(items, many, F.concat(safe, F.lit("__cluster")), stem),
+        part_join(items, many, token, stem, inner=True),
+        part_join(items, many, F.replace(token, F.lit("_"), F.lit("")), S.token(F.col("stem"), False), inner=True),
+    ]
+    found = None
+    for n, tier in enumerate(tiers, 1):
+        one = tier.select(key, F.struct(F.lit(n).alias("tier"), "path").alias("_f"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy(key).agg(F.min("_f").alias("_f")).select(key, "_f.path", "_f.tier")
+
+
 def coalesced_lookup(items: DataFrame, first: DataFrame, second: DataFrame, on_first: str, on_second: str, value: str) -> DataFrame:
     """items with a value from one map, else from another: by handle, else by name."""
     one = first.select(on_first, F.col(value).alias("_one"))

@@ -15,12 +15,15 @@ from . import views as V
 
 
 def q_block_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions by name: as it is, without its index, with safe characters, and both, then by normalised keys."""
+    """Definitions by name: as it is, without its index, with safe characters, and both, then by normalised keys, then by a normalised prefix.
+
+    The SQL has no tier for prefixes; at sf0.01 no item comes to it.
+    """
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     rows = names.select(F.col("p_name").alias("definition"))
     wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit("__012"))).when(F.col("p_partkey") % 4 == 2, F.upper("p_name")).otherwise(F.concat(F.lit("no "), "p_name")).alias("name"))
     n, d = F.col("name"), F.col("definition")
-    return L.tiered_join(wanted, rows, "item", [(n, d), (S.without_index(n), d), (S.safe_runs(n), S.safe_runs(d)), (S.safe_runs(S.without_index(n)), S.safe_runs(d)), (S.key(n), S.key(d))]).select("item", "definition", "tier")
+    return L.tiered_join(wanted, rows, "item", [(n, d), (S.without_index(n), d), (S.safe_runs(n), S.safe_runs(d)), (S.safe_runs(S.without_index(n)), S.safe_runs(d)), (S.key(n), S.key(d))], (S.comparable(n), S.comparable(d))).select("item", "definition", "tier")
 
 
 def q_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,12 @@ def test_twins(spark):
     assert [(r["a"], r["b"]) for r in cleanup.twin_pairs(rows, 0.05).collect()] == [(1, 2)]
 
 
+def test_twins_are_dropped_in_order(spark):
+    line = lambda i, y, style="s": (i, style, [(0.0, y, 0.0), (10.0, y, 0.0)])
+    rows = spark.createDataFrame([line(1, 0.0), line(2, 0.04), line(3, 0.08), line(4, 0.12), line(5, 9.0), line(6, 0.0, "t")], f"piece_id long, style string, verts {VERT}")
+    assert sorted(r["piece_id"] for r in cleanup.without_twins(rows, 0.05).collect()) == [1, 3, 5, 6]  # 3 is a twin of 2 alone, which is dropped
+
+
 def test_clusters(spark):
     b = lambda i, *v: (i, "d", tuple(map(float, v)))
     boxes = spark.createDataFrame([b(1, 0, 0, 10, 10), b(2, 10.5, 0, 11.5, 1), b(3, 40, 40, 41, 41), b(4, 41, 40, 42, 41)], "box_id long, drawing string, box struct<minx:double,miny:double,maxx:double,maxy:double>")
@@ -341,3 +347,36 @@ def test_shapes():
     assert abs((I.best_turn(I.turned(ell, 40), ell) - 40 + 180) % 360 - 180) <= 2
     word = I.frequency_word(np.rot90(ell, 1).ravel() * 255, 41)
     assert I.closest_variant(word, ell * 255)[0] == 0
+
+
+def test_prefix_tier(spark):
+    from plumbline.operators import lookups as L
+
+    items = spark.createDataFrame([(1, "door"), (2, "long window"), (3, "sink"), (4, ""), (5, "w")], "item int, name string")
+    rows = spark.createDataFrame([("door left",), ("long window 2",), ("sink",), ("sink b",), ("indoor",)], "definition string")
+    n, d = F.col("name"), F.col("definition")
+    got = {(r["item"], r["definition"], r["tier"]) for r in L.tiered_join(items, rows, "item", [(n, d)], (n, d)).collect()}
+    assert got == {(1, "door left", 2), (2, "long window 2", 2), (3, "sink", 1)}
+
+
+def test_block_resolution_ends_with_prefixes(spark, tmp_path):
+    from plumbline.plans import lookups
+
+    spark.createDataFrame([(3, "steel"), (4, "No  steel"), (5, "no steel plate")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["item"], r["definition"], r["tier"]) for r in lookups.q_block_resolution(spark, str(tmp_path)).collect() if r["item"] == 3}
+    assert got == {(3, "No  steel", 5)}  # "no steel" has an equal key, which comes before the prefix
+    spark.createDataFrame([(3, "steel"), (5, "no steel plate")], "p_partkey long, p_name string").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    got = {(r["item"], r["definition"], r["tier"]) for r in lookups.q_block_resolution(spark, str(tmp_path)).collect() if r["item"] == 3}
+    assert got == {(3, "no steel plate", 6)}
+
+
+def test_preview_files(spark):
+    from plumbline.operators import lookups as L
+
+    names = ["Door", "Lamp", "Pump A", "Tap", "B_C", "None such", "x"]
+    items = spark.createDataFrame(list(enumerate(names)), "item int, name string")
+    files = spark.createDataFrame(
+        [("i/2", "door__2", False), ("i/1", "door__1", False), ("i/0", "a door", False), ("i/3", "old-lamp", False), ("c/1", "pump a__cluster1", True), ("c/2", "my_tap_1", True), ("c/3", "z__bc", True), ("c/4", "Lamp__cluster", True)], "path string, stem string, cluster boolean"
+    )
+    got = {r["item"]: (r["path"], r["tier"]) for r in L.preview_files(items, files, "item", "name").collect()}
+    assert got == {0: ("i/1", 1), 1: ("i/3", 2), 2: ("c/1", 3), 3: ("c/2", 4), 4: ("c/3", 5)}
