@@ -365,6 +365,17 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    from plumbline.llm.near_duplicates import keep_one
+
+    rng = random.Random(2)
+    x, y, z = (" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40)) for _ in range(3))
+    rows = [(3, x), (5, x), (5, y), (7, z), (7, y), (7, z), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = sorted((r["doc_id"], r["text"] or "") for r in keep_one(docs).collect())
+    assert got == sorted([(3, x), (5, y), (7, z), (8, ""), (8, "")])
+
+
 def test_similar_sets_share_a_signature():
     from plumbline.llm.partenum import signatures
 
