@@ -166,9 +166,33 @@ def read_drawings(spark, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, SCHEMA)
 
 
-def explode_inserts(entities: DataFrame, depth: int = 4) -> DataFrame:
-    """Block geometry in world coordinates, by composing placements down to `depth` nestings.
+def nestings(entities: DataFrame) -> int:
+    """How many blocks deep inserts go, 1 at least; an error where a placed block contains itself.
 
+    Works on the names of blocks inside blocks alone. Those that nothing is nested
+    below are taken away round by round; what can't be taken away is a cycle.
+    """
+    spark = entities.sparkSession
+    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else (lambda df: df.persist())
+    inserts = entities.where("etype = 'INSERT'")
+    inner = cut(inserts.where("block IS NOT NULL").select("drawing", "block", F.col("name").alias("inner")).distinct())
+    placed, n = cut(inserts.where("block IS NULL").select("drawing", F.col("name").alias("block")).distinct()), -1
+    while (m := placed.count()) != n:
+        n = m
+        placed = cut(placed.unionByName(placed.join(inner, ["drawing", "block"]).select("drawing", F.col("inner").alias("block"))).distinct())
+    left, rounds, n = cut(inner.join(placed, ["drawing", "block"], "left_semi")), 1, -1
+    while m := left.count():
+        if m == n:
+            raise ValueError(f"blocks contain themselves: {[tuple(r) for r in left.limit(5).collect()]}")
+        n, rounds = m, rounds + 1
+        left = cut(left.join(left.select("drawing", F.col("block").alias("inner")).distinct(), ["drawing", "inner"], "left_semi"))
+    return rounds
+
+
+def explode_inserts(entities: DataFrame, depth: int | None = None) -> DataFrame:
+    """Block geometry in world coordinates, by composing placements as deep as they are nested.
+
+    A bound on the depth may be given; drawings nested deeper are then an error.
     Each round joins inserts with the entities of the blocks they place; entities that
     aren't inserts come out with transformed points, inserts go into the next round.
     """
@@ -177,8 +201,10 @@ def explode_inserts(entities: DataFrame, depth: int = 4) -> DataFrame:
     live = entities.where("block IS NULL AND etype = 'INSERT'").select(
         "drawing", F.col("handle").alias("insert_id"), F.col("name").alias("placed"), F.col("p0.x").alias("tx"), F.col("p0.y").alias("ty"), (F.cos(F.radians("rotation")) * F.col("sx")).alias("m00"), (-F.sin(F.radians("rotation")) * F.col("sy")).alias("m01"), (F.sin(F.radians("rotation")) * F.col("sx")).alias("m10"), (F.cos(F.radians("rotation")) * F.col("sy")).alias("m11"), one.alias("one")
     )
-    out = None
-    for _ in range(depth):
+    out, rounds = None, nestings(entities)
+    if depth is not None and rounds > depth:
+        raise ValueError(f"inserts are nested {rounds} deep, beyond {depth}")
+    for _ in range(rounds):
         j = live.join(blocks, ["drawing", "placed"])
         at = lambda x, y: F.struct((F.col("m00") * x + F.col("m01") * y + F.col("tx")).alias("x"), (F.col("m10") * x + F.col("m11") * y + F.col("ty")).alias("y"))
         moved = F.transform("e.verts", lambda v: F.struct(at(v["x"], v["y"])["x"].alias("x"), at(v["x"], v["y"])["y"].alias("y"), v["bulge"].alias("bulge")))

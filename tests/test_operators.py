@@ -253,6 +253,20 @@ def test_drawing_source(spark, tmp_path):
     assert (round(line["p1"]["x"], 9), round(line["p1"]["y"], 9)) == (10.0, 7.0)
 
 
+def test_deep_inserts(spark):
+    def drawing(n, last):
+        insert = lambda i, block, name: ("d", 0, block, i, f"H{i}", "INSERT", "0", name, "", 0, 0, False, (1.0, 0.0), None, None, None, None, 0.0, 1.0, 1.0, None, None)
+        rows = [insert(0, None, "B1"), *(insert(i, f"B{i}", f"B{i + 1}") for i in range(1, n))]
+        line = ("d", 0, f"B{n}", n, "L", "LINE", "0", "", "", 0, 0, False, (0.0, 0.0), (1.0, 1.0), None, None, None, 0.0, 1.0, 1.0, None, None)
+        return spark.createDataFrame([*rows, line, *([insert(n + 1, f"B{n}", last)] if last else [])], dxf.SCHEMA)
+
+    (line,) = dxf.explode_inserts(drawing(6, None)).collect()
+    assert (line["insert_id"], line["p0"]["x"], line["p1"]["x"]) == ("H0", 6.0, 7.0)
+    for kept in (lambda: dxf.explode_inserts(drawing(6, None), depth=4), lambda: dxf.explode_inserts(drawing(3, "B2"))):
+        with pytest.raises(ValueError):
+            kept()
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("INSERT", "PLANNER", "Chair", 2.0, None), ("LAYER", "WALL", "OPEN", 1.0, 3.5)], "entity_type string, category string, boq_name string, qty_value double, length double")
     detail, layers = sinks.split_classes(rows)
