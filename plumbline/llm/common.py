@@ -19,10 +19,24 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
+#: Bytes of an Arrow batch on its way to a worker: several workers share an executor's memory.
+BATCH_BYTES = 6 << 20
 #: Texts of one Arrow batch are worked on in runs of at most this many bytes (a longer text is a run of its own).
 RUN_BYTES = 24 << 20
 
 
+# ---------------------------------------------------------------- session
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable on executors, and bound Arrow batches by bytes, as texts differ in length."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 # ---------------------------------------------------------------- storage
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.

@@ -1,44 +1,49 @@
 """Language-model scores from an n-gram trie in Elias-Fano form.
 
-Level 1 holds every training token's hash, in order, with its exact count. Level k
-holds the n-grams of k words that occur `least` times or more, grouped by their first
-k - 1 words: monotone pointers give a context's range, and inside it the last words'
-codes ascend, so the level is one monotone sequence of (context, code), and a word is
-sought by successor search relative to its context. Beside it lie probabilities and
-backoff weights, quantised to 16 bits.
-
-The trie is cut into shards by the first word. Each is built by one task from packed
-counts and written to the shared folder as plain arrays, which scoring tasks map into
-memory; a lookup decodes only the chunks that it touches.
-
-Probabilities are interpolated: max(count - DISCOUNT, 0) / context count, for n-grams
-that are kept, plus the mass left times the probability after a shorter context; the
-shortest is (c + 0.1) / (N + 0.1 (V + 1)).
+Level 1 holds the hashes of all training tokens in order, and running sums of their
+counts; a token's rank is its code on the levels above. Levels 2 and 3 hold every
+n-gram of two and three tokens: monotone pointers give a context's range, inside it
+the followers' codes ascend, so a level is one monotone sequence of (context, code),
+and a token is sought by successor search relative to its context. Beside it lie
+probabilities quantised to 16 bits; backoff weights follow from the pointers.
+
+The levels are cut into shards of SHARD_TOKENS training tokens, however large the
+corpus: a pair of tokens belongs to a place among all training tokens, which the
+first one's running sum gives, and inside the first one's stretch a hash of the
+second one. So a frequent word's pairs are dealt over as many shards as it has
+stretches of that size. One pass over the texts counts all pairs and triples, as a
+pair's count is the sum of its triples'. A shard is built by one task and written to
+the shared folder; scoring tasks map it into memory, or where the folder isn't local
+read pages of it.
+
+Probabilities are interpolated by absolute discounting: (count - DISCOUNT) / context
+count for n-grams that are there, plus DISCOUNT * followers / context count times the
+probability after a shorter context; the shortest is (c + 0.1) / (N + 0.1 (V + 1)).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, filesystem, fold_table, mix, plain, releasing, runs, shared_folder, shuffle_width, stored
-from .elias_fano import Sequence, _steps, encode
-from .near_duplicates import _bucket_keys
+from .common import Words, filesystem, fold_table, mix, plain, releasing, runs, shared_folder, stored
+from .elias_fano import PARTS, Sequence, encode
 
-ORDER = 3
 DISCOUNT = 0.75
-#: n-grams of two words or more that occur fewer times are left to the backoff, unless build() is told another bound; the query keeps all.
-LEAST = 2
 ADDED = 0.1
-RUN = 16 << 20
+RUN = 8 << 20
+#: Training tokens of a shard of levels 2 and 3, and bytes of texts for a shard of level 1.
+SHARD_TOKENS, SHARD_BYTES = 1 << 21, 64 << 20
+#: Bytes of pages that a worker keeps of a store that it can't map.
+PAGES, PAGE = 128 << 20, 1 << 16
 #: The end token's hash.
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
-_STEP = 8192.0  # quantisation steps for a factor of ten
-_CODE = np.uint64(32)
+_STEP = 4096.0  # quantisation steps for a factor of ten
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -52,7 +57,7 @@ def restored(q: np.ndarray) -> np.ndarray:
 
 
 def token_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, scrambled; whole buffers at a time."""
+    """A 63-bit hash of each word: a polynomial of its bytes, scrambled; whole buffers at a time."""
     words = plain(words)
     if not len(words):
         return np.zeros(0, np.uint64)
@@ -65,20 +70,19 @@ def token_hashes(words: pa.Array) -> np.ndarray:
     with np.errstate(over="ignore"):
         factor = np.cumprod(factor)
         value = mix(np.arange(1, 257, dtype=np.uint64))[raw] * factor[np.arange(len(raw)) - np.repeat(ends[:-1], size)]
-        return mix(np.add.reduceat(np.append(value, np.uint64(0)), ends[:-1]) + size.astype(np.uint64))  # an empty string's sum is arbitrary; no token has it
-
-
-def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    return (((hashes >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
+        return mix(np.add.reduceat(np.append(value, np.uint64(0)), ends[:-1]) + size.astype(np.uint64)) >> np.uint64(1)  # an empty string's sum is arbitrary; no token has it
 
 
 # ---------------------------------------------------------------- files
 def _save(folder: str, name: str, parts: dict[str, np.ndarray]) -> None:
-    """Arrays one after the other, each at a multiple of 8 bytes, and a table of contents at the end."""
+    """Arrays one after the other, each at a multiple of 8 bytes, and a table of contents at the end.
+
+    The file gets its name when it is whole: a task that runs twice writes it twice alike.
+    """
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    at, contents = 0, []
-    with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+    at, contents, draft = 0, [], f"{root}/draft-{uuid.uuid4().hex}"
+    with fs.open_output_stream(draft, compression=None) as out:
         for key, x in parts.items():
             raw = np.ascontiguousarray(x)
             contents.append(f"{key},{raw.dtype.str},{at},{raw.size}")
@@ -87,95 +91,198 @@ def _save(folder: str, name: str, parts: dict[str, np.ndarray]) -> None:
             at += len(data) + -len(data) % 8
         tail = ";".join(contents).encode()
         out.write(tail + len(tail).to_bytes(8, "little"))
+    from pyarrow import fs as pafs
+
+    if fs.type_name != "local" and fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+        fs.delete_file(f"{root}/{name}")
+    fs.move(draft, f"{root}/{name}")
+
+
+_HELD: OrderedDict[tuple, np.ndarray] = OrderedDict()  # pages, those used last at the end
+
+
+class Paged:
+    """An array of a file in a store: places are read by the page."""
+
+    def __init__(self, file, name: str, kind: np.dtype, at: int, n: int):
+        self.file, self.name, self.kind, self.at, self.n = file, name, kind, at, n
+        self.each = PAGE // kind.itemsize
 
+    def __len__(self) -> int:
+        return self.n
 
-def _load(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file: views of a memory map where the folder is local, else of its bytes."""
+    def _page(self, i: int) -> np.ndarray:
+        key = (self.name, self.at, i)
+        if key not in _HELD:
+            n = min(self.each, self.n - i * self.each)
+            _HELD[key] = np.frombuffer(self.file.read_at(n * self.kind.itemsize, self.at + i * PAGE), self.kind)
+            if len(_HELD) > PAGES // PAGE:
+                _HELD.popitem(last=False)
+        _HELD.move_to_end(key)
+        return _HELD[key]
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        out = np.empty(len(places), self.kind)
+        order = np.argsort(places, kind="stable")
+        page = places[order] // self.each
+        cut = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1]))) if len(page) else np.zeros(0, np.int64)
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(page)]):
+            out[order[s:e]] = self._page(int(page[s]))[places[order[s:e]] % self.each]
+        return out
+
+
+def _load(folder: str, name: str, paged: bool | None = None) -> dict:
+    """The arrays of a file: views of a memory map where the folder is local, else paged."""
     fs, root = filesystem(folder)
-    raw = np.memmap(f"{root}/{name}", np.uint8, "r") if fs.type_name == "local" else np.frombuffer(fs.open_input_file(f"{root}/{name}").read(), np.uint8)
-    size = int.from_bytes(raw[-8:].tobytes(), "little")
+    path = f"{root}/{name}"
+    if paged is None:
+        paged = fs.type_name != "local"
+    if paged:
+        file = fs.open_input_file(path)
+        end = file.size()
+        size = int.from_bytes(file.read_at(8, end - 8), "little")
+        contents = file.read_at(size, end - 8 - size).decode()
+    else:
+        raw = np.memmap(path, np.uint8, "r")
+        size = int.from_bytes(raw[-8:].tobytes(), "little")
+        contents = raw[-8 - size : -8].tobytes().decode()
     out = {}
-    for entry in raw[-8 - size : -8].tobytes().decode().split(";"):
+    for entry in contents.split(";"):
         key, kind, at, n = entry.split(",")
-        out[key] = np.ndarray((int(n),), np.dtype(kind), raw, int(at))
+        kind = np.dtype(kind)
+        if not paged:
+            out[key] = np.ndarray((int(n),), kind, raw, int(at))
+        elif key.endswith(("tops", "shape", "base")):  # small: read at once
+            out[key] = np.frombuffer(file.read_at(int(n) * kind.itemsize, int(at)), kind)
+        else:
+            out[key] = Paged(file, path, kind, int(at), int(n))
     return out
 
 
-class Level:
-    """One shard of one level."""
+def _sequence(parts: dict, prefix: str) -> Sequence:
+    return Sequence({k: parts[f"{prefix}_{k}"] for k in PARTS})
 
-    def __init__(self, parts: dict[str, np.ndarray]):
-        pick = lambda p: Sequence({k: parts[f"{p}_{k}"] for k in ("heads", "high", "low", "shape")})
-        self.keys = pick("keys")
-        self.value = parts["value"]  # counts on level 1, quantised probabilities above
-        self.pointers = pick("pointers") if "pointers_shape" in parts else None
-        self.backoff = parts.get("backoff")  # of the contexts
 
-    def find(self, contexts: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Places of the children of contexts with these codes (pairs ascending), -1 where there is none."""
-        out = np.full(len(contexts), -1, np.int64)
-        own, at = _steps(contexts)
-        occupied = (self.pointers.get(own + 1) > self.pointers.get(own))[at]
-        asked = np.flatnonzero(occupied)
-        out[asked] = self.keys.find((contexts[asked].astype(np.uint64) << _CODE) | codes[asked].astype(np.uint64))
-        return out
+def _parts(prefix: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"{prefix}_{k}": x for k, x in encode(values).items()}
 
 
-def _prefixed(prefix: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    return {f"{prefix}_{k}": x for k, x in parts.items()}
+def _ranges(which: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(value, places) for each distinct value."""
+    order = np.argsort(which, kind="stable")
+    ranked = which[order]
+    cut = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(which) else np.zeros(0, np.int64)
+    return [(int(ranked[s]), order[s:e]) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(which)])]
 
 
 class Trie:
-    """All levels that are built, over the shared folder; shards are opened when first asked for."""
+    """All levels, over the shared folder; a worker opens a shard when it is first asked for it.
 
-    def __init__(self, folder: str, shards: int, names: list[dict[int, str]], tokens: int, kinds: int):
-        self.folder, self.shards, self.names, self.tokens, self.kinds = folder, shards, names, tokens, kinds
-        self.open: dict[tuple[int, int], Level | None] = {}
+    What travels with it has a few numbers for each shard.
+    """
+
+    def __init__(self, folder: str, discount: float, shard_tokens: int, ranks: np.ndarray, sums: np.ndarray):
+        self.folder, self.discount, self.each = folder, discount, shard_tokens
+        #: Of each shard of level 1, and behind the last: the first rank, and the count of all tokens before it.
+        self.ranks, self.sums = ranks, sums
+        self.kinds, self.tokens = int(ranks[-1]), int(sums[-1])
+        #: Bits of a code.
+        self.bits = max(1, self.kinds.bit_length())
+        self.shards = -(-self.tokens // shard_tokens)
+        self.there = np.zeros(self.shards, bool)
+        #: Words whose pairs may lie in more than one shard, and the numbers of their followers.
+        self.split, self.followers = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.open: dict[tuple[str, int], dict] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "open": {}}
 
-    def level(self, k: int, shard: int) -> Level | None:
-        if (k, shard) not in self.open:
-            name = self.names[k - 1].get(shard)
-            self.open[k, shard] = Level(_load(self.folder, name)) if name else None
-        return self.open[k, shard]
+    def shard(self, level: str, i: int) -> dict:
+        """The sequences and arrays of a shard."""
+        if (level, i) not in self.open:
+            parts = _load(self.folder, f"{level}-{i:08d}")
+            names = ("keys", "sums") if level == "one" else ("keys2", "pointers2", "keys3", "pointers3")
+            self.open[level, i] = {**{k: v for k, v in parts.items() if k in ("prob2", "prob3", "base")}, **{k: _sequence(parts, k) for k in names}}
+        return self.open[level, i]
 
     def first(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shard, place or -1, count) of each token hash on level 1."""
-        shard, place, count = shard_of(hashes, self.shards), np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        order = np.argsort(hashes)  # shards are ranges of hashes
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            own = order[cut[s] : cut[s + 1]]
-            if (level := self.level(1, s)) is not None:
-                found = level.keys.find(hashes[own])
-                place[own] = found
-                count[own[found >= 0]] = level.value[found[found >= 0]]
-        return shard, place, count
-
-    def children(self, k: int, shard: np.ndarray, context: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place or -1, probability, backoff weight) on level k for these contexts and last words."""
-        place, prob, weight = np.full(len(shard), -1, np.int64), np.zeros(len(shard)), np.ones(len(shard))
-        pair = (context.astype(np.uint64) << _CODE) | code.astype(np.uint64)
-        order = np.argsort(pair)
-        order = order[np.argsort(shard[order].astype(np.uint16 if self.shards <= 1 << 16 else np.int64), kind="stable")]
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            own = order[cut[s] : cut[s + 1]]
-            if (level := self.level(k, s)) is None:
+        """(rank or -1, count, tokens before it) of each token hash on level 1."""
+        rank, count, before = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for s, own in _ranges(level1_shard(hashes, len(self.ranks) - 1)):
+            if self.ranks[s + 1] == self.ranks[s]:
                 continue
-            parents = (pair[own] >> _CODE).astype(np.int64)
-            found = level.find(parents, (pair[own] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            hit = found >= 0
-            place[own] = found
-            prob[own[hit]] = restored(level.value[found[hit]])
-            weight[own] = restored(level.backoff[parents])
-        return place, prob, weight
-
-
+            level = self.shard("one", s)
+            own = own[np.argsort(hashes[own])]
+            found = level["keys"].find(hashes[own])
+            own, found = own[found >= 0], found[found >= 0]
+            here, step = level["sums"].steps(found)
+            rank[own], before[own], count[own] = found + self.ranks[s], here.astype(np.int64) + self.sums[s], step
+        return rank, count, before
+
+    def counts(self, low: int, high: int) -> np.ndarray:
+        """The counts of the tokens of these ranks."""
+        out = []
+        for s in range(int(np.searchsorted(self.ranks, low, side="right")) - 1, len(self.ranks) - 1):
+            a, b = max(low, int(self.ranks[s])), min(high, int(self.ranks[s + 1]))
+            if a >= high:
+                break
+            if a < b:
+                out.append(np.diff(self.shard("one", s)["sums"].get(np.arange(a, b + 1) - int(self.ranks[s])).astype(np.int64)))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def shard_of(self, before: np.ndarray, count: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The shard of pairs, from the first token's sum and count and the second one's rank."""
+        part = mix(second.astype(np.uint64) + np.uint64(1)) >> np.uint64(40)  # 24 bits
+        return (before + (part * count.astype(np.uint64) >> np.uint64(24)).astype(np.int64)) // self.each
+
+    def pairs(self, shard: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place or -1, probability, followers of the first token in its shard) of pairs of ranks."""
+        place, prob, count = np.full(len(shard), -1, np.int64), np.zeros(len(shard)), np.zeros(len(shard), np.int64)
+        for s, own in _ranges(shard):
+            if not self.there[s]:
+                continue
+            level = self.shard("more", s)
+            context = first[own] - int(np.asarray(level["base"])[0])
+            inside = (context >= 0) & (context < level["pointers2"].size - 1)
+            own, context = own[inside], context[inside]
+            at, which = _steps(context)
+            count[own] = level["pointers2"].steps(at)[1][which]
+            asked = count[own] > 0
+            own, context = own[asked], context[asked]
+            found = level["keys2"].find(context.astype(np.uint64) << np.uint64(self.bits) | second[own].astype(np.uint64))
+            own, found = own[found >= 0], found[found >= 0]
+            place[own], prob[own] = found, restored(level["prob2"].take(found))
+        return place, prob, count
+
+    def triples(self, shard: np.ndarray, pair: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability, followers of the pair) of triples: a place of level 2 and a rank, or -1 for a token that isn't there."""
+        prob, count = np.zeros(len(shard)), np.zeros(len(shard), np.int64)
+        for s, own in _ranges(shard):
+            level = self.shard("more", s)
+            at, which = _steps(pair[own])
+            count[own] = level["pointers3"].steps(at)[1][which]
+            own = own[(count[own] > 0) & (third[own] >= 0)]
+            found = level["keys3"].find(pair[own].astype(np.uint64) << np.uint64(self.bits) | third[own].astype(np.uint64))
+            own, found = own[found >= 0], found[found >= 0]
+            prob[own] = restored(level["prob3"].take(found))
+        return prob, count
+
+
+def level1_shard(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (((hashes >> np.uint64(39)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, which one each is) of values of which equal ones are neighbours."""
+    if not len(x):
+        return x, np.zeros(0, np.int64)
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    return x[new], np.cumsum(new) - 1
+
+
+# ---------------------------------------------------------------- tokens
 class Tokens:
-    """The tokens of a run of texts, an end token after each, as hashes by code and places."""
+    """The tokens of a run of texts, an end token after each, as codes into hashes; the end's code is the last."""
 
     def __init__(self, texts: pa.Array):
         words = Words(texts, fold_table())
@@ -184,153 +291,226 @@ class Tokens:
         self.counts = words.counts + 1
         self.ends = np.cumsum(self.counts)
         self.codes = np.empty(len(words.codes) + n, np.int32)
-        last = np.zeros(len(self.codes), bool)
-        last[self.ends - 1] = True
-        self.codes[last], self.codes[~last] = len(self.hashes) - 1, words.codes
-        self.place = np.arange(len(self.codes), dtype=np.int32) - np.repeat((self.ends - self.counts).astype(np.int32), self.counts)  # in the document
+        self.last = np.zeros(len(self.codes), bool)
+        self.last[self.ends - 1] = True
+        self.codes[self.last], self.codes[~self.last] = len(self.hashes) - 1, words.codes
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each distinct key, which one each key is), by one unstable sort, which is the fastest."""
-    order = np.argsort(key)
-    ranked = key[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(key) else np.zeros(0, bool)
+class Ranked:
+    """The tokens of a run with codes in the order of their ranks: `code` by token; rank, count, before by code. Unknown tokens have code 0."""
+
+    def __init__(self, trie: Trie, tokens: Tokens):
+        rank, count, before = trie.first(tokens.hashes)
+        known = np.flatnonzero(rank >= 0)
+        known = known[np.argsort(rank[known])]
+        code = np.zeros(len(rank), np.int64)
+        code[known] = np.arange(1, len(known) + 1)
+        self.by_word = count
+        self.code = code[tokens.codes]
+        self.rank, self.count, self.before = (np.concatenate(([x], y[known])) for x, y in ((-1, rank), (0, count), (0, before)))
+        self.bits = max(1, len(known).bit_length())
+        #: Places with a token behind them.
+        self.starts = np.flatnonzero(~tokens.last)
+        #: Of these, whether two tokens stand behind them.
+        self.long = ~tokens.last[self.starts + 1]
+
+
+def _grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, which one each key is), ascending; a sort of keys and places packed in one word where both fit, as that is the fastest."""
+    at = max(1, len(key).bit_length())
+    if bits + at <= 64:
+        packed = np.sort(key.astype(np.uint64) << np.uint64(at) | np.arange(len(key), dtype=np.uint64))
+        order = (packed & np.uint64((1 << at) - 1)).astype(np.int64)
+        ranked = packed >> np.uint64(at)
+    else:
+        order = np.argsort(key)
+        ranked = key[order]
+    found, number = _steps(ranked)
     which = np.empty(len(key), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
-
+    which[order] = number
+    return found.astype(np.int64), which
+
+
+def _counted(a: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int, times: np.ndarray | None = None, first_bits: int | None = None) -> tuple[np.ndarray, ...]:
+    """(a, b, c, count) of distinct triples of non-negative numbers below 2**bits, ascending."""
+    if (first_bits or bits) + 2 * bits <= 64:
+        shift, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+        key = (a.astype(np.uint64) << shift | b.astype(np.uint64)) << shift | c.astype(np.uint64)
+        key = np.sort(key if times is None else np.repeat(key, times))
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        one = key[new]
+        return (one >> np.uint64(2 * bits)).astype(np.int64), (one >> shift & mask).astype(np.int64), (one & mask).astype(np.int64), np.diff(np.append(new, len(key)))
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))) if len(a) else np.zeros(0, np.int64)
+    n = np.diff(np.append(new, len(a))) if times is None else np.add.reduceat(times[order], new) if len(new) else new
+    return a[new].astype(np.int64), b[new].astype(np.int64), c[new].astype(np.int64), n
 
-class Walk:
-    """The n-grams of a run, level by level: after level k, node[i] is the place of the k-gram that ends at token i, or -1.
 
-    Each distinct n-gram of the run is asked for once. With probabilities, p[i] is
-    the interpolated probability of token i with the levels so far.
-    """
+# ---------------------------------------------------------------- building
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers below 256**width byte plane by byte plane, which compresses well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def __init__(self, trie: Trie, tokens: Tokens, probabilities: bool = False):
-        self.trie, self.tokens, self.level = trie, tokens, 1
-        self.shard_of_code, place, self.count = trie.first(tokens.hashes)
-        self.code = (tokens.hashes >> _CODE).astype(np.int64)
-        self.node = place[tokens.codes].astype(np.int32)
-        self.local = tokens.codes  # which distinct n-gram of the run ends here
-        self.p = ((self.count + ADDED) / (trie.tokens + ADDED * (trie.kinds + 1)))[tokens.codes] if probabilities else None
-
-    def extensions(self) -> tuple[np.ndarray, ...]:
-        """(places, which, shard, context, code): the next level's distinct n-grams, and which of them ends at each place."""
-        t, k = self.tokens, self.level + 1
-        at = np.flatnonzero((t.place[1:] >= k - 1) & (self.node[:-1] >= 0)) + 1 if len(self.node) else np.zeros(0, np.int64)
-        key = self.local[at - 1].astype(np.int64) * len(t.hashes) + t.codes[at]
-        first, which = _distinct(key)
-        one = at[first]
-        return at, which, self.shard_of_code[t.codes[one - k + 1]], self.node[one - 1].astype(np.int64), self.code[t.codes[one]]
-
-    def step(self) -> None:
-        at, which, shard, context, code = self.extensions()
-        self.level += 1
-        found, prob, weight = self.trie.children(self.level, shard, context, code)
-        self.node = np.full(len(self.node), -1, np.int32)
-        self.node[at] = found[which]
-        self.local = np.zeros(len(self.node), np.int32)
-        self.local[at] = which
-        if self.p is not None:
-            self.p[at] = prob[which] + weight[which] * self.p[at]
 
+def _unplaned(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel().astype(np.int64)
 
-# ---------------------------------------------------------------- building
-def _merge(table: pa.Table, folder: str, level: int, trie: Trie | None, least: int, discount: float, shards: dict[int, int]) -> pa.Table:
-    """One shard of a level from its packed counts."""
-    shard = shards[table.column("bucket")[0].as_py()]
-    cat = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    count = cat("counts", np.uint32).astype(np.int64)
-    name = f"level{level}-{shard:06d}-{uuid.uuid4().hex}"
-    if level == 1:
-        keys, at = np.unique(cat("keys", np.uint64), return_inverse=True)
-        total = np.bincount(at, count, len(keys)).astype(np.int64)
-        _save(folder, name, {**_prefixed("keys", encode(keys)), "value": total.astype(np.uint32 if total.max() < 1 << 32 else np.uint64)})
-        return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "kinds": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64())})
-    parents = np.repeat(cat("keys", np.uint32), cat("sizes", np.uint32)).astype(np.uint64)
-    keys, at = np.unique((parents << _CODE) | cat("codes", np.uint32).astype(np.uint64), return_inverse=True)
-    total = np.bincount(at, count, len(keys))
-    size = trie.level(level - 1, shard).keys.size
-    context = (keys >> _CODE).astype(np.int64)
-    seen = np.bincount(context, total, size)
-    keep = total >= least
-    prob = np.maximum(total[keep] - discount, 0) / seen[context[keep]]
-    left = 1 - np.bincount(context[keep], prob, size)
-    pointers = np.concatenate(([0], np.cumsum(np.bincount(context[keep], minlength=size)))).astype(np.uint64)
-    # a context that was never followed backs off with its whole weight
-    weight = np.where(seen > 0, np.maximum(left, 0), 1.0)
-    _save(folder, name, {**_prefixed("keys", encode(keys[keep])), **_prefixed("pointers", encode(pointers)), "value": quantised(prob), "backoff": quantised(weight)})
-    return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "kinds": pa.array([int(keep.sum())], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64())})
-
-
-def _merger(folder: str, level: int, known, least: int, discount: float, shards: dict[int, int]):
-    def merge(table: pa.Table) -> pa.Table:
-        return _merge(table, folder, level, known.value, least, discount, shards)
 
-    return merge
+def _level_one(docs: DataFrame, folder: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Write level 1; (first ranks, sums) of its shards."""
 
+    def count(batches):
+        for batch in batches:
+            for run in runs(batch, "text", RUN):
+                tokens = Tokens(run.column("text"))
+                total = np.bincount(tokens.codes, minlength=len(tokens.hashes))
+                live = np.flatnonzero(total)
+                own = tokens.hashes[live]
+                out = [(s, own[at].tobytes(), total[live[at]].astype(np.uint32).tobytes()) for s, at in _ranges(level1_shard(own, n))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
 
-def build(docs: DataFrame, order: int = ORDER, least: int = LEAST, discount: float = DISCOUNT, learn: Column | None = None, text_col: str = "text") -> Trie:
+    def merge(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys, at = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64), return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32), len(keys)).astype(np.int64)
+        _save(folder, f"one-{shard:08d}", {**_parts("keys", keys), **_parts("sums", np.concatenate(([0], np.cumsum(total))).astype(np.uint64))})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "kinds": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64())})
+
+    packed = docs.mapInArrow(releasing(count), "shard int, keys binary, counts binary")
+    kinds, tokens = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for r in stored(packed.groupBy("shard").applyInArrow(merge, "shard int, kinds long, tokens long"), "level").collect():  # a row for each shard
+        kinds[r["shard"] + 1], tokens[r["shard"] + 1] = r["kinds"], r["tokens"]
+    return np.cumsum(kinds), np.cumsum(tokens)
+
+
+def _shard(trie: Trie, shard: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, times: np.ndarray, end: int) -> tuple:
+    """Write a shard of levels 2 and 3 from packed triples; its row for the driver."""
+    base = int(a.min())
+    words = int(a.max()) - base + 1
+    a, b, c, n3 = _counted(a - base, b, c, trie.bits, times, max(1, words.bit_length()))
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    pair = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    n2 = np.add.reduceat(n3, new)
+    a2, b2 = a[new], b[new]
+    whole = trie.counts(base, base + words)
+    prob2 = (n2 - trie.discount) / whole[a2]
+    followers = np.bincount(a2, minlength=words)
+    on = b != end
+    prob3 = (n3[on] - trie.discount) / n2[pair[on]]
+    shift, ends = np.uint64(trie.bits), lambda n: np.concatenate(([0], np.cumsum(n))).astype(np.uint64)
+    _save(trie.folder, f"more-{shard:08d}", {
+        "base": np.array([base], np.int64),
+        **_parts("keys2", a2.astype(np.uint64) << shift | b2.astype(np.uint64)),
+        **_parts("pointers2", ends(followers)),
+        "prob2": quantised(prob2),
+        **_parts("keys3", pair[on].astype(np.uint64) << shift | c[on].astype(np.uint64)),
+        **_parts("pointers3", ends(np.bincount(pair[on], minlength=len(new)))),
+        "prob3": quantised(prob3),
+    })
+    return shard, base, base + words - 1, int(followers[0]), int(followers[-1])
+
+
+def build(docs: DataFrame, discount: float = DISCOUNT, learn: Column | None = None, text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> Trie:
     """The trie of all texts of docs for which `learn` holds (a null text is an empty one).
 
     Counts cover every such text whole. An empty table gives a trie without tokens.
     """
+    if not 0 < discount < 1:
+        raise ValueError("the discount must lie between 0 and 1")
     spark = docs.sparkSession
-    folder, n = shared_folder(spark, "trie"), shuffle_width(spark)
-    keys = _bucket_keys(docs, n)
-    shards = {k: i for i, k in enumerate(keys)}
+    folder = shared_folder(spark, "trie")
     source = docs.where(learn) if learn is not None else docs
     source = source.select(F.col(text_col).alias("text"))
-    trie = Trie(folder, n, [], 0, 0)
-    for level in range(1, order + 1):
-        known = spark.sparkContext.broadcast(trie)  # names of shards, no counts
-
-        def count(batches, level=level, known=known):
-            t = known.value
-            for batch in batches:
-                for run in runs(batch, "text", RUN):
-                    tokens = Tokens(run.column("text"))
-                    if level == 1:
-                        own, total = tokens.hashes, np.bincount(tokens.codes, minlength=len(tokens.hashes))
-                        by = np.argsort(own)
-                        by = by[total[by] > 0]
-                        own, total = own[by], total[by]
-                        shard = shard_of(own, n)
-                        size = code = None
-                    else:
-                        walk = Walk(t, tokens)
-                        for _ in range(level - 2):
-                            walk.step()
-                        _, which, shard, own, code = walk.extensions()
-                        total = np.bincount(which, minlength=len(own))
-                        by = np.argsort(own << np.int64(32) | code)
-                        by = by[np.argsort(shard[by].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
-                        shard, own, code, total = shard[by], own[by], code[by], total[by]
-                        size = True
-                    cut = np.searchsorted(shard, np.arange(n + 1))
-                    out = []
-                    for s in np.flatnonzero(np.diff(cut)).tolist():
-                        a, b = cut[s], cut[s + 1]
-                        if size is None:
-                            out.append((keys[s], own[a:b].tobytes(), b"", b"", total[a:b].astype(np.uint32).tobytes()))
-                        else:
-                            heads, times = np.unique(own[a:b], return_counts=True)
-                            out.append((keys[s], heads.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes(), code[a:b].astype(np.uint32).tobytes(), total[a:b].astype(np.uint32).tobytes()))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "keys", "sizes", "codes", "counts"])
-
-        merge = _merger(folder, level, known, least, discount, shards)
-        packed = source.mapInArrow(releasing(count), "bucket int, keys binary, sizes binary, codes binary, counts binary")
-        made = stored(packed.groupBy("bucket").applyInArrow(merge, "shard int, name string, kinds long, tokens long"), "level").collect()  # a row for each shard
-        names = [*trie.names, {r["shard"]: r["name"] for r in made}]
-        trie = Trie(folder, n, names, sum(r["tokens"] for r in made), sum(r["kinds"] for r in made)) if level == 1 else Trie(folder, n, names, trie.tokens, trie.kinds)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    trie = Trie(folder, discount, shard_tokens, *_level_one(source, folder, max(1, -(-size // SHARD_BYTES))))
+    if not trie.tokens:
+        return trie
+    if 2 * trie.bits > 62 or int(np.diff(trie.sums).max()) >= 1 << 40:
+        raise ValueError("too many tokens for this coding")
+    width = -(-trie.bits // 8)
+    end = int(trie.first(np.array([END]))[0][0])
+    known = spark.sparkContext.broadcast(trie)
+
+    def count(batches):
+        t = known.value
+        for batch in batches:
+            for run in runs(batch, "text", RUN):
+                tokens = Tokens(run.column("text"))
+                own = Ranked(t, tokens)
+                at = own.starts
+                a, b, c, n = _counted(own.code[at], own.code[at + 1], np.where(own.long, own.code[np.minimum(at + 2, len(own.code) - 1)], 0), own.bits)
+                del tokens
+                shard = t.shard_of(own.before[a], own.count[a], own.rank[b])
+                out = []
+                for s, at in _ranges(shard):
+                    heads, sizes = _steps(a[at])
+                    sizes = np.bincount(sizes)
+                    wide = max(1, -(-int(max(n[at].max(), sizes.max())).bit_length() // 8))
+                    out.append((s, wide, _planes(own.rank[heads], width), _planes(sizes, wide), _planes(own.rank[b[at]], width), _planes(np.maximum(own.rank[c[at]], 0), width), _planes(n[at], wide)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 5))], ["shard", "wide", "heads", "sizes", "seconds", "thirds", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        t = known.value
+        wide = table.column("wide").to_pylist()
+        parts = {k: table.column(k).to_pylist() for k in ("heads", "sizes", "seconds", "thirds", "counts")}
+        shard = table.column("shard")[0].as_py()
+        same = lambda k: np.concatenate([_unplaned(x, width) for x in parts.pop(k)])
+        own = lambda k: np.concatenate([_unplaned(x, w) for x, w in zip(parts.pop(k), wide)])
+        row = _shard(t, shard, np.repeat(same("heads"), own("sizes")), same("seconds"), same("thirds"), own("counts"), end)
+        t.open.clear()
+        return pa.table({k: pa.array([x], f) for (k, f), x in zip((("shard", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("of_low", pa.int64()), ("of_high", pa.int64())), row)})
+
+    packed = source.mapInArrow(releasing(count), "shard int, wide int, heads binary, sizes binary, seconds binary, thirds binary, counts binary")
+    made = stored(packed.groupBy("shard").applyInArrow(merge, "shard int, low long, high long, of_low long, of_high long"), "level").collect()  # a row for each shard
+    followers: dict[int, int] = {}
+    for r in made:  # only a shard's first and last word can reach into others
+        trie.there[r["shard"]] = True
+        for word, n in {r["low"]: r["of_low"], r["high"]: r["of_high"]}.items():
+            followers[word] = followers.get(word, 0) + n
+    trie.split = np.array(sorted(followers), np.int64)
+    trie.followers = np.array([followers[w] for w in trie.split.tolist()], np.int64)
     return trie
 
 
+# ---------------------------------------------------------------- scoring
+def probabilities(t: Trie, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each token, training count by code): each distinct n-gram of the run is asked for once."""
+    own = Ranked(t, tokens)
+    single = (own.count + ADDED) / (t.tokens + ADDED * (t.kinds + 1))
+    p = single[own.code]
+    at, long = own.starts, own.long
+    context = own.rank[own.code[at]] >= 0
+    at, long = at[context], long[context]
+    if not len(at) or not t.there.any():
+        return p, own.by_word
+    pairs, which = _grouped(own.code[at] << own.bits | own.code[at + 1], 2 * own.bits)
+    a, b = pairs >> own.bits, pairs & ((1 << own.bits) - 1)
+    shard = t.shard_of(own.before[a], own.count[a], np.maximum(own.rank[b], 0))
+    place, prob, followers = t.pairs(shard, own.rank[a], own.rank[b])
+    if len(t.split):
+        near = np.minimum(np.searchsorted(t.split, own.rank[a]), len(t.split) - 1)
+        followers = np.where(t.split[near] == own.rank[a], t.followers[near], followers)
+    count = own.count[a].astype(np.float64)
+    p[at + 1] = (prob + t.discount * followers / count * single[b])[which]
+    deep = long & (place[which] >= 0)
+    at, which = at[deep], which[deep]
+    if len(at):
+        triples, third = _grouped(which << own.bits | own.code[at + 2], own.bits + max(1, len(pairs).bit_length()))
+        pair = triples >> own.bits
+        prob3, followers3 = t.triples(shard[pair], place[pair], own.rank[triples & ((1 << own.bits) - 1)])
+        total = np.maximum(np.round(prob[pair] * count[pair] + t.discount), 1)  # the pair's count
+        p[at + 2] = prob3[third] + (t.discount * followers3 / total)[third] * p[at + 2]
+    return p, own.by_word
+
+
 def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, in one pass without a shuffle.
 
@@ -347,15 +527,12 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for run in runs(batch, "text", RUN):
                 tokens = Tokens(run.column("text"))
-                walk = Walk(t, tokens, True)
-                for _ in range(len(t.names) - 1):
-                    walk.step()
-                count1, p = walk.count, walk.p
-                base = np.log10((count1 + ADDED) / (t.tokens + ADDED * (t.kinds + 1)))[tokens.codes]
+                p, count = probabilities(t, tokens)
+                base = np.log10((count + ADDED) / (t.tokens + ADDED * (t.kinds + 1)))[tokens.codes]
                 rows, n = tokens.rows(), run.num_rows
                 total = lambda x: np.bincount(rows, x, n)
                 yield pa.RecordBatch.from_arrays(
-                    [run.column("id"), pa.array(tokens.counts, pa.int64()), pa.array(total(count1[tokens.codes] > 0).astype(np.int64)), pa.array(np.full(n, t.tokens, np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)))],
+                    [run.column("id"), pa.array(tokens.counts, pa.int64()), pa.array(total(count[tokens.codes] > 0).astype(np.int64)), pa.array(np.full(n, t.tokens, np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)))],
                     ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, table
-from .common import shared_folder
+from ..session import table
+from .common import prepare, shared_folder
 
 
 def _tokenizer(name: str) -> str:
@@ -89,7 +89,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id")) == 0
-    return score(docs, build(docs, least=1, learn=~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, build(docs, learn=~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 _QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_secret_scan, op9_jaccard_join, op10_lm_scoring]
@@ -97,7 +97,7 @@ _QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token
 
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     run.__name__, run.__doc__ = query.__name__, query.__doc__

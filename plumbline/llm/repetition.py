@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, plain, releasing, runs
+from .common import Words, mix, plain, release, releasing, runs
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = bytes([32, *range(9, 14)])
-RUN = 6 << 20
+RUN = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -89,21 +89,6 @@ def suffix_order(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return array, lcp
 
 
-def lcp_intervals(array: np.ndarray, lcp: np.ndarray, least: int = 1) -> list[tuple[int, int, int]]:
-    """(length, first, last): the LCP intervals of at least this length, as ranges of the suffix array."""
-    out, stack = [], [(0, 0)]
-    for j in range(1, len(array) + 1):
-        value = int(lcp[j]) if j < len(array) else 0
-        left = j - 1
-        while stack[-1][0] > value:
-            length, left = stack.pop()
-            if length >= least:
-                out.append((length, left, j - 1))
-        if value > stack[-1][0]:
-            stack.append((value, left))
-    return out
-
-
 def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n places lie in a span."""
     step = np.zeros(n + 1, np.int64)
@@ -215,9 +200,11 @@ def quality_report(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
 
-    def good(batches):
-        for batch in batches:
-            for run in runs(batch, text_col, RUN):
-                yield run.filter(pa.array(judge(run.column(text_col), rules)["kept"]))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        batch = pa.record_batch([texts], ["text"])
+        out = [pa.array(judge(run.column("text"), rules)["kept"]) for run in runs(batch, "text", RUN)]
+        release()
+        return pa.concat_arrays(out) if out else pa.array([], pa.bool_())
 
-    return docs.mapInArrow(releasing(good), docs.schema)
+    return docs.where(good(F.col(text_col)))

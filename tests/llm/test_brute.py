@@ -161,14 +161,21 @@ def test_repetition(spark, texts):
     assert quality_report(docs.limit(0)).count() == 0
 
 
-def test_lcp_intervals():
-    from plumbline.llm.repetition import lcp_intervals, suffix_order
-
-    codes = np.array([1, 2, 3, 1, 2, 3, 1], np.int32)
-    array, lcp = suffix_order(codes, np.full(7, 7))
-    assert array.tolist() == sorted(range(7), key=lambda i: codes[i:].tolist())
-    assert max(length for length, _, _ in lcp_intervals(array, lcp)) == 4
-    assert (3, 3, 4) in lcp_intervals(array, lcp) or (3, 4, 5) in lcp_intervals(array, lcp)
+def test_suffix_array_and_prefixes():
+    from plumbline.llm.repetition import suffix_order
+
+    rng = random.Random(4)
+    for _ in range(30):
+        sizes = [rng.randint(1, 25) for _ in range(3)]
+        codes = np.array([rng.randint(1, 3) for _ in range(sum(sizes))], np.int32)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        array, lcp = suffix_order(codes, ends)
+        tail = [(int(ends[i]), codes[i : ends[i]].tolist()) for i in range(len(codes))]
+        assert array.tolist() == sorted(range(len(codes)), key=lambda i: tail[i])
+        for j in range(1, len(codes)):
+            x, y = tail[array[j - 1]], tail[array[j]]
+            both = next((k for k, (p, q) in enumerate(zip(x[1], y[1])) if p != q), min(len(x[1]), len(y[1])))
+            assert lcp[j] == (both if x[0] == y[0] else 0)
 
 
 # ---------------------------------------------------------------- 5
@@ -399,50 +406,105 @@ def test_similar_sets_share_a_signature():
 def test_elias_fano():
     from plumbline.llm.elias_fano import Sequence, encode
 
-    rng = np.random.default_rng(1)
-    for n, most in ((0, 10), (1, 10), (256, 1000), (257, 2**63), (3000, 2**62)):
-        v = np.unique(rng.integers(0, most, n, dtype=np.uint64))
-        s = Sequence(encode(v))
-        if len(v):
-            at = np.sort(rng.integers(0, len(v), 100))
-            assert (s.get(at) == v[at]).all()
-        asked = np.unique(np.concatenate((v[:50], rng.integers(0, most, 200, dtype=np.uint64))))
-        place = {x: i for i, x in enumerate(v.tolist())}
-        assert s.find(asked).tolist() == [place.get(x, -1) for x in asked.tolist()]
+    class Taken:  # as an array that is paged in
+        def __init__(self, held):
+            self.held = held
 
+        def __len__(self):
+            return len(self.held)
 
-def test_language_model(spark, texts):
-    from plumbline.llm.lm import DISCOUNT, build, score
+        def take(self, at):
+            return self.held[at]
 
-    docs = documents(spark, texts)
-    train = [i for i in range(len(texts)) if i % 4]
-    got = {r["doc_id"]: r for r in score(docs, build(docs, learn=docs["doc_id"] % 4 != 0)).collect()}
-    tokens = {i: [*WORD.findall((t or "").translate(LOW)), None] for i, t in enumerate(texts)}
+    rng = np.random.default_rng(1)
+    for n, most in ((0, 10), (1, 10), (5, 2**64 - 1), (64, 64), (256, 1000), (257, 2**63), (3000, 2**62), (70_000, 2**40)):
+        v = np.unique(rng.integers(0, most, n, dtype=np.uint64))
+        parts = encode(v)
+        place = {x: i for i, x in enumerate(v.tolist())}
+        for s in (Sequence(parts), Sequence({k: Taken(x) if k in ("heads", "high", "low") else x for k, x in parts.items()})):
+            at = rng.integers(0, max(len(v), 1), 100)[: 100 * bool(len(v))]
+            assert (s.get(at) == v[at]).all()
+            asked = np.concatenate((v[:50], rng.integers(0, most, 200, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)))
+            assert s.find(asked).tolist() == [place.get(x, -1) for x in asked.tolist()]
+    steps = np.cumsum(rng.integers(0, 3, 5000)).astype(np.uint64)
+    assert (Sequence(encode(steps)).get(np.arange(5000)) == steps).all()
+    here, gap = Sequence(encode(steps)).steps(np.arange(4999))
+    assert (here == steps[:-1]).all() and (gap == np.diff(steps)).all()
+    dense = np.unique(np.concatenate([np.arange(1000, dtype=np.uint64) + np.uint64(k << 40) for k in range(5)]))  # long stretches of one high part
+    assert (Sequence(encode(dense)).find(dense) == np.arange(len(dense))).all()
+
+
+def brute_scores(tokens, train):
+    """(tokens, known, N, base, full) of each text, by plain dictionaries."""
     count = {k: Counter(tuple(tokens[i][a : a + k]) for i in train for a in range(len(tokens[i]) - k + 1)) for k in (1, 2, 3)}
-    n, kinds, kept = sum(count[1].values()), len(count[1]), {1: set(count[1])}
-    total, left = {}, {}
+    total, kinds = {k: Counter() for k in (2, 3)}, {k: Counter() for k in (2, 3)}
     for k in (2, 3):
-        own = {g: c for g, c in count[k].items() if g[:-1] in kept[k - 1]}
-        total[k] = Counter()
-        for g, c in own.items():
+        for g, c in count[k].items():
             total[k][g[:-1]] += c
-        kept[k] = {g for g, c in own.items() if c >= 2}
-        left[k] = {h: 1 - sum((own[g] - DISCOUNT) / total[k][h] for g in kept[k] if g[:-1] == h) for h in total[k]}
-    for i, t in tokens.items():
+            kinds[k][g[:-1]] += 1
+    n, out = sum(count[1].values()), []
+    for t in tokens:
         base = full = 0.0
         for a, w in enumerate(t):
-            p = (count[1][w,] + 0.1) / (n + 0.1 * (kinds + 1))
+            p = (count[1][w,] + 0.1) / (n + 0.1 * (len(count[1]) + 1))
             base += math.log10(p)
             for k in (2, 3):
-                h, g = tuple(t[a - k + 1 : a]), tuple(t[a - k + 1 : a + 1])
-                if a >= k - 1 and h in kept[k - 1]:
-                    p = ((count[k][g] - DISCOUNT) / total[k][h] if g in kept[k] else 0) + left[k].get(h, 1) * p
+                h = tuple(t[a - k + 1 : a])
+                if a >= k - 1 and total[k][h]:
+                    p = max(count[k][*h, w] - 0.75, 0) / total[k][h] + 0.75 * kinds[k][h] / total[k][h] * p
             full += math.log10(p)
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(count[1][w,] > 0 for w in t), n)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert abs(r["score"] - full) <= 2e-4 * len(t)
-    assert score(docs, build(docs.limit(0))).count() == len(texts)
+        out.append((len(t), sum(count[1][w,] > 0 for w in t), n, base, full))
+    return out
+
+
+@pytest.mark.parametrize("size", [40, 1 << 21])
+def test_language_model(spark, texts, size):
+    """Whole texts, nulls, repeated rows and ids, extra columns; small shards split frequent words."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import lm
+
+    docs = documents(spark, texts).withColumn("shard", F.lit("clash")).withColumn("id", F.lit(1)).withColumn("keys", F.lit(None).cast("string"))
+    docs = docs.unionByName(docs.where("doc_id = 4")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    all_texts = [*texts, texts[4], texts[5]]
+    tokens = [[*WORD.findall((t or "").translate(LOW)), None] for t in all_texts]
+    ids = [*range(len(texts)), 4, None]
+    trie = lm.build(docs, learn=F.coalesce(F.col("doc_id") % 4 != 0, F.lit(True)), shard_tokens=size)
+    want = brute_scores(tokens, [i for i, k in enumerate(ids) if k is None or k % 4])
+    got = lm.score(docs, trie).collect()
+    assert len(got) == len(all_texts)
+    by = {k: w for k, w in zip(ids, want)}
+    for r in got:
+        w = by[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3]
+        assert r["base_score"] == pytest.approx(w[3], rel=1e-9)
+        assert abs(r["score"] - w[4]) <= 2e-4 * w[0]
+    assert trie.shards == -(-trie.tokens // size)
+
+
+def test_levels_read_by_the_page(spark, texts, monkeypatch):
+    """A folder that can't be mapped gives the same probabilities, by pages that are dropped and read again."""
+    from plumbline.llm import lm
+
+    trie = lm.build(documents(spark, texts), shard_tokens=100)
+    tokens = lm.Tokens(pa.array([t or "" for t in texts]))
+    mapped = lm.probabilities(trie, tokens)[0]
+    trie.open.clear()
+    load = lm._load
+    monkeypatch.setattr(lm, "_load", lambda folder, name: load(folder, name, True))
+    monkeypatch.setattr(lm, "PAGE", 64)
+    monkeypatch.setattr(lm, "PAGES", 64 * 20)
+    assert (lm.probabilities(trie, tokens)[0] == mapped).all() and len(lm._HELD) <= 20
+    lm._HELD.clear()
+
+
+def test_language_model_without_texts(spark, texts):
+    from plumbline.llm.lm import build, score
+
+    docs = documents(spark, texts)
+    rows = score(docs, build(docs.limit(0))).collect()
+    assert len(rows) == len(texts) and all(r["n_known"] == 0 and r["score"] == 0 for r in rows)
+    assert score(docs.limit(0), build(docs)).count() == 0
 
 
 def test_scores_count_every_ngram(spark, tmp_path):
@@ -455,24 +517,9 @@ def test_scores_count_every_ngram(spark, tmp_path):
     got = {r["doc_id"]: r for r in queries.queries()["op10_lm_scoring"](spark, str(tmp_path)).collect()}
     tokens = [[*t.split(), None] for t in texts]
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
-    count = {k: Counter(tuple(tokens[i][a : a + k]) for i in train for a in range(len(tokens[i]) - k + 1)) for k in (1, 2, 3)}
-    assert 0 < sum(c == 1 for c in count[3].values()) and len(train) < len(texts)
-    total, kinds = {k: Counter() for k in (2, 3)}, {k: Counter() for k in (2, 3)}
-    for k in (2, 3):
-        for g, c in count[k].items():
-            total[k][g[:-1]] += c
-            kinds[k][g[:-1]] += 1
-    n = sum(count[1].values())
-    for i, t in enumerate(tokens):
-        full = 0.0
-        for a, w in enumerate(t):
-            p = (count[1][w,] + 0.1) / (n + 0.1 * (len(count[1]) + 1))
-            for k in (2, 3):
-                h = tuple(t[a - k + 1 : a])
-                if a >= k - 1 and total[k][h]:
-                    p = max(count[k][*h, w] - 0.75, 0) / total[k][h] + 0.75 * kinds[k][h] / total[k][h] * p
-            full += math.log10(p)
-        assert abs(got[i]["score"] - full) <= 2e-4 * len(t)
+    assert len(train) < len(texts)
+    for i, w in enumerate(brute_scores(tokens, train)):
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == w[:3] and abs(got[i]["score"] - w[4]) <= 2e-4 * w[0]
 
 
 # ---------------------------------------------------------------- pipeline and SQL
