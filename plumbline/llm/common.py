@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
 
@@ -47,6 +48,8 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plumbline-shared-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -62,7 +65,31 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() returned and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def text_bytes(docs: DataFrame, column: str) -> int:
+    """Bytes of all texts of a column."""
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning deals to n different partitions where n is small; with many, chance evens them out."""
+    if n > 4096:
+        return list(range(n))
+    found = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("k").alias("k"))
+    return [r["k"] for r in found.orderBy("p").collect()]
 
 
 def filesystem(uri: str):

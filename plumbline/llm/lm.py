@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, filesystem, fold_table, mix, plain, releasing, runs, shared_folder, stored
+from .common import Words, discard, filesystem, fold_table, mix, partition_keys, plain, releasing, runs, shared_folder, stored, text_bytes
 from .elias_fano import PARTS, Sequence, encode
 
 DISCOUNT = 0.75
@@ -428,8 +428,7 @@ def build(docs: DataFrame, discount: float = DISCOUNT, learn: Column | None = No
     folder = shared_folder(spark, "trie")
     source = docs.where(learn) if learn is not None else docs
     source = source.select(F.col(text_col).alias("text"))
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    trie = Trie(folder, discount, shard_tokens, *_level_one(source, folder, max(1, -(-size // SHARD_BYTES))))
+    trie = Trie(folder, discount, shard_tokens, *_level_one(source, folder, max(1, -(-text_bytes(source, "text") // SHARD_BYTES))))
     if not trie.tokens:
         return trie
     if 2 * trie.bits > 62 or int(np.diff(trie.sums).max()) >= 1 << 40:
@@ -437,6 +436,7 @@ def build(docs: DataFrame, discount: float = DISCOUNT, learn: Column | None = No
     width = -(-trie.bits // 8)
     end = int(trie.first(np.array([END]))[0][0])
     known = spark.sparkContext.broadcast(trie)
+    keys = partition_keys(spark, trie.shards)
 
     def count(batches):
         t = known.value
@@ -453,9 +453,9 @@ def build(docs: DataFrame, discount: float = DISCOUNT, learn: Column | None = No
                     heads, sizes = _steps(a[at])
                     sizes = np.bincount(sizes)
                     wide = max(1, -(-int(max(n[at].max(), sizes.max())).bit_length() // 8))
-                    out.append((s, wide, _planes(own.rank[heads], width), _planes(sizes, wide), _planes(own.rank[b[at]], width), _planes(np.maximum(own.rank[c[at]], 0), width), _planes(n[at], wide)))
+                    out.append((keys[s], s, wide, _planes(own.rank[heads], width), _planes(sizes, wide), _planes(own.rank[b[at]], width), _planes(np.maximum(own.rank[c[at]], 0), width), _planes(n[at], wide)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 5))], ["shard", "wide", "heads", "sizes", "seconds", "thirds", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (*[pa.int32()] * 3, *[pa.binary()] * 5))], ["bucket", "shard", "wide", "heads", "sizes", "seconds", "thirds", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
         t = known.value
@@ -468,8 +468,10 @@ def build(docs: DataFrame, discount: float = DISCOUNT, learn: Column | None = No
         t.open.clear()
         return pa.table({k: pa.array([x], f) for (k, f), x in zip((("shard", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("of_low", pa.int64()), ("of_high", pa.int64())), row)})
 
-    packed = source.mapInArrow(releasing(count), "shard int, wide int, heads binary, sizes binary, seconds binary, thirds binary, counts binary")
-    made = stored(packed.groupBy("shard").applyInArrow(merge, "shard int, low long, high long, of_low long, of_high long"), "level").collect()  # a row for each shard
+    packed = source.mapInArrow(releasing(count), "bucket int, shard int, wide int, heads binary, sizes binary, seconds binary, thirds binary, counts binary")
+    table = stored(packed.repartition(trie.shards, "bucket").groupBy("bucket").applyInArrow(merge, "shard int, low long, high long, of_low long, of_high long"), "level")
+    made = table.collect()  # a row for each shard
+    discard(table)
     followers: dict[int, int] = {}
     for r in made:  # only a shard's first and last word can reach into others
         trie.there[r["shard"]] = True
