@@ -1,14 +1,16 @@
 """Secret spans in texts, by DataFrame functions alone.
 
-Three patterns find base spans; character Markov models add runs that look drawn
-at random. The models are first-order transition tables over one alphabet, one
-for random strings and one for ordinary identifiers, counted by a query over
-labelled samples; a run is random where its log-likelihood ratio, for each
-character, exceeds a threshold.
+Three patterns find base spans; character Markov models add stretches that look drawn
+at random. The models are first-order transition tables over one alphabet: one for
+ordinary identifiers and words, and one for each kind of random strings, counted by a
+query over labelled samples. In a run of at least 12 characters, the stretch whose
+summed log-likelihood ratio is highest, for the kind that suits it best, is a secret
+where the sum exceeds a threshold; it is widened to whole letters-and-digits. So a key
+behind an ordinary path is found, and a long word adds up to nothing.
 
 Spark has no function for the places of matches. Splitting a text by the pattern
 gives the gaps between matches, and running sums of gap and match lengths give
-the places, in code points.
+the places, in code points. All work is linear in a text's length and its spans.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+RUN = r"[A-Za-z0-9+/_.-]{12,}={0,2}"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 # Words of ordinary identifiers.
 WORDS = (
     "account active agent allow answer attribute author balance batch begin body branch button call category channel child client clone close code column "
@@ -38,71 +40,124 @@ WORDS = (
     "should simple size source space stack start station storage string style subject support symbol table target task template test thread title token "
     "trace transaction transform tree type union unique update user value vector version view volume weight width with without word world writer"
 ).split()
+# Common words of other languages that texts are written in.
+OTHER_WORDS = (
+    "aber alle andere arbeit auch ausschuss bedeutung beziehung deutsch durch einheit entscheidung entwicklung erfahrung freiheit gegen gesellschaft "
+    "geschwindigkeit gleich heute keine leben menschlich nicht schule sein sprache staat unter verbindung verschieden wirtschaft wissenschaft zwischen "
+    "dampf kampf kopf pferd pflanze pflegen pflicht pfund zuerst zugang zukunft zusammen platz schutz gesetz netz aufbau bezug "
+    "ainsi alors autre avant avec beaucoup bureau chercher comme connaissance dans depuis encore faire gouvernement heureux jour lettre maintenant monde "
+    "notre nouveau parce peut pour quelque question raison rien seulement tableau temps toujours travail vieux voiture "
+    "adem algo antes aunque ciudad como conocimiento cuando desarrollo desde donde ejemplo entre espacio estado forma general gobierno hacer hasta lugar "
+    "manera mientras mundo mucho nosotros para porque problema pueblo siempre sobre tiempo trabajo universidad vida ejemplar jamas lejos pareja"
+).split()
 #: Labelled samples of each kind that the models are trained on.
 SAMPLES = 4000
-#: Nats a character by which a run must look more random than ordinary.
-THRESHOLD = 0.9
+#: Characters of the shortest stretch, and nats by which it must look more random than ordinary.
+LEAST, THRESHOLD = 12, 16.0
+ORDINARY = "ordinary"
 
 
 # ---------------------------------------------------------------- models
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(text, random): n random strings and n ordinary identifiers, from a rule without chance.
+    """(text, kind): n random strings of kind "mixed", n of kind "upper" and 3 n ordinary strings, from a rule without chance.
 
-    Random strings are Base64 and hexadecimal digests; identifiers join two to
-    four words by case, underscores, hyphens, or nothing, some with a number.
+    Mixed ones are Base64, URL-safe Base64, Base62, lower-case hexadecimal, and
+    lower-case letters with digits; upper ones are Base32, upper-case hexadecimal, and
+    upper-case letters with digits. Ordinary ones join one to four words of several
+    languages by case, underscores, hyphens, points, slashes or nothing, some with a
+    number, and some are numbers or dates.
     """
-    words = F.split(F.lit(" ".join(WORDS)), " ")
-    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
-    some = spark.range(n)
+    pool = [*WORDS, *WORDS, *OTHER_WORDS]
+    words = F.split(F.lit(" ".join(pool)), " ")
+    draw = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))
+    pick = lambda k: F.element_at(words, (draw(k, len(pool)) + 1).cast("int"))
+    some, more = spark.range(n), spark.range(3 * n)
     digest = F.sha2(F.col("id").cast("string"), 256)
-    kind = F.pmod(F.col("id"), F.lit(4))
-    noise = some.select(F.when(kind < 3, F.base64(F.unhex(F.substring(digest, 1, 60)))).otherwise(F.substring(digest, 1, 40)).alias("text"), F.lit(True).alias("random"))
-    parts = F.slice(F.array(*(pick(k) for k in range(4))), 1, (F.pmod(F.xxhash64("id"), F.lit(3)) + 2).cast("int"))
-    style = F.pmod(F.xxhash64("id", F.lit("style")), F.lit(6))
+    base64 = F.base64(F.unhex(F.substring(digest, 1, 60)))
+    base62 = F.regexp_replace(base64, "[+/=]", "")
+    kind = F.pmod(F.col("id"), F.lit(5))
+    mixed = F.when(kind == 0, base64).when(kind == 1, F.translate(base64, "+/", "-_")).when(kind == 2, base62).when(kind == 3, F.substring(digest, 1, 40)).otherwise(F.lower(base62))
+    kind = F.pmod(F.col("id"), F.lit(3))
+    upper = F.when(kind == 0, F.translate(F.upper(base62), "0189", "")).when(kind == 1, F.upper(F.substring(digest, 1, 40))).otherwise(F.upper(base62))
+    parts = F.slice(F.array(*(pick(k) for k in range(4))), 1, (draw("parts", 4) + 1).cast("int"))
+    style = draw("style", 12)
+    number = draw("number", 100_000).cast("string")
     joined = (
         F.when(style == 0, F.array_join(parts, "_"))
         .when(style == 1, F.array_join(parts, "-"))
         .when(style == 2, F.upper(F.array_join(parts, "_")))
         .when(style == 3, F.array_join(F.transform(parts, F.initcap), ""))
-        .when(style == 4, F.concat(F.array_join(parts, "_"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("string")))
+        .when(style == 4, F.concat(F.array_join(parts, "_"), number))
+        .when(style == 5, F.upper(F.array_join(parts, "")))
+        .when(style == 6, F.concat(F.lit("/"), F.array_join(parts, "/"), F.lit(".html")))
+        .when(style == 7, F.concat(F.lit("www."), F.array_join(parts, "."), F.lit(".com")))
+        .when(style == 8, F.concat_ws("-", F.lit(2000) + draw("y", 30), F.lpad((draw("m", 12) + 1).cast("string"), 2, "0"), F.lpad((draw("d", 28) + 1).cast("string"), 2, "0"), pick(9)))
+        .when(style == 9, F.concat(number, number))
         .otherwise(F.array_join(parts, ""))
     )
-    return noise.unionByName(some.select(joined.alias("text"), F.lit(False).alias("random")))
+    return some.select(mixed.alias("text"), F.lit("mixed").alias("kind")).unionByName(some.select(upper.alias("text"), F.lit("upper").alias("kind"))).unionByName(more.select(joined.alias("text"), F.lit(ORDINARY).alias("kind")))
 
 
-def train(samples: DataFrame) -> list[float]:
-    """The table of log-ratios: entry (a + 1) * (K + 1) + b + 1 for characters a, b of the alphabet, 0 for any other.
+def train(samples: DataFrame) -> list[list[float]]:
+    """A table of log-ratios for each kind but ORDINARY, in the kinds' order: entry a * (K + 1) + b for the places a, b (from 1) of two characters in the alphabet, 0 for any other.
 
-    samples has (text, random); null texts and characters outside the alphabet are
-    passed over. What is gathered has a row for each pair of characters at most.
+    samples has (text, kind); null texts and characters outside the alphabet are
+    passed over. What is gathered has a row for each kind and pair of characters at most.
     """
     size = len(ALPHABET)
     at = lambda c: F.instr(F.lit(ALPHABET), c)
     chars = F.split("text", "")
-    pairs = samples.where(F.length("text") > 1).select("random", F.explode(F.zip_with(F.slice(chars, 1, F.length("text") - 1), F.slice(chars, 2, F.length("text")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    counts = pairs.select("random", at(F.col("p.a")).alias("a"), at(F.col("p.b")).alias("b")).where("a > 0 and b > 0").groupBy("a", "b").agg(F.sum(F.col("random").cast("long")).alias("r"), F.sum((~F.col("random")).cast("long")).alias("o"))
-    grid = [[[0.5, 0.5] for _ in range(size + 1)] for _ in range(size + 1)]
-    for row in counts.collect():  # at most len(ALPHABET) ** 2
-        grid[row["a"]][row["b"]][0] += row["r"]
-        grid[row["a"]][row["b"]][1] += row["o"]
-    out = [0.0] * (size + 1) ** 2
-    for a in range(1, size + 1):
-        totals = [sum(grid[a][b][k] for b in range(1, size + 1)) for k in (0, 1)]
-        for b in range(1, size + 1):
-            r, o = grid[a][b]
-            out[a * (size + 1) + b] = math.log(r / totals[0]) - math.log(o / totals[1])
+    pairs = samples.where(F.length("text") > 1).select("kind", F.explode(F.zip_with(F.slice(chars, 1, F.length("text") - 1), F.slice(chars, 2, F.length("text")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    counts = pairs.select("kind", at(F.col("p.a")).alias("a"), at(F.col("p.b")).alias("b")).where("a > 0 and b > 0").groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    grids: dict[str, list[list[float]]] = {}
+    for row in counts.collect():  # at most kinds * len(ALPHABET) ** 2
+        grids.setdefault(row["kind"], [[0.5] * (size + 1) for _ in range(size + 1)])[row["a"]][row["b"]] += row["n"]
+    plain = grids.pop(ORDINARY, [[0.5] * (size + 1) for _ in range(size + 1)])
+    out = []
+    for kind in sorted(grids):
+        table = [0.0] * (size + 1) ** 2
+        for a in range(1, size + 1):
+            r, o = grids[kind][a], plain[a]
+            both = sum(r[1:]), sum(o[1:])
+            for b in range(1, size + 1):
+                table[a * (size + 1) + b] = math.log(r[b] / both[0]) - math.log(o[b] / both[1])
+        out.append(table)
     return out
 
 
-def log_ratio(run: Column, model: Column) -> Column:
-    """Mean log-ratio of a run's transitions; model is the table as an array."""
-    size = len(ALPHABET)
+_STRETCH = "struct<best:double,s:int,e:int>"
+
+
+def stretch(run: Column, model: list[Column]) -> Column:
+    """(best, s, e): the characters [s, e) of a run whose transitions' log-ratios have the highest sum, and that sum, over all kinds.
+
+    Of equal sums the earliest kind's, and in it the first to end, counts; without a
+    positive sum best is 0.
+    """
+    size = len(ALPHABET) + 1
+    start = F.struct(*(F.lit(x).cast(t).alias(k) for k, t, x in (("cur", "double", 0), ("at", "int", 0), ("best", "double", 0), ("s", "int", 0), ("e", "int", 0), ("i", "int", 0))))
+
+    def step(t: Column, x: Column) -> Column:
+        on = t["cur"] > 0
+        cur, at = F.when(on, t["cur"] + x).otherwise(x), F.when(on, t["at"]).otherwise(t["i"])
+        better = cur > t["best"]
+        return F.struct(cur.alias("cur"), at.alias("at"), F.when(better, cur).otherwise(t["best"]).alias("best"), F.when(better, at).otherwise(t["s"]).alias("s"), F.when(better, t["i"] + 2).otherwise(t["e"]).alias("e"), (t["i"] + 1).alias("i"))
+
+    def one(codes: Column, table: Column) -> Column:
+        steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(table, a * size + b + 1))
+        return F.aggregate(steps, start, step, lambda t: F.struct(t["best"], t["s"], t["e"]))
 
-    def score(codes: Column) -> Column:
-        steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(model, a * (size + 1) + b + 1))
-        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(codes) - 1, F.lit(1))
+    def best(codes: Column) -> Column:
+        return F.aggregate(F.array(*(one(codes, t) for t in model)), F.lit(None).cast(_STRETCH), lambda a, b: F.when(a.isNull() | (b["best"] > a["best"]), b).otherwise(a))
 
-    return _let(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c)), score)
+    return _let(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c)), best)
+
+
+def widened(run: Column, found: Column) -> Column:
+    """(s, e) of a stretch with the letters and digits that touch it."""
+    before = F.length(F.regexp_extract(F.substring(run, F.lit(1), found["s"]), "[A-Za-z0-9]*$", 0))
+    after = F.length(F.regexp_extract(F.substring(run, found["e"] + 1, F.length(run)), "^[A-Za-z0-9]*=*", 0))
+    return F.struct((found["s"] - before).alias("s"), (found["e"] + after).alias("e"))
 
 
 def model_column(table: list[float]) -> Column:
@@ -116,48 +171,77 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _running(steps: Column) -> Column:
-    """Inclusive running sums, block by block so that long arrays aren't copied once for each entry."""
-    block = 256
+def _scan(steps: Column, op) -> Column:
+    """Inclusive running results of op over non-negative numbers, block by block so that long arrays aren't copied once for each entry."""
+    block, none = 256, F.array().cast("array<long>")
 
     def small(a: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<long>").alias("o"))
-        return F.aggregate(a, start, lambda t, x: F.struct((t["s"] + x).alias("s"), F.concat(t["o"], F.array(t["s"] + x)).alias("o")), lambda t: t["o"])
+        start = F.struct(F.lit(0).cast("long").alias("s"), none.alias("o"))
+        return F.aggregate(a, start, lambda t, x: F.struct(op(t["s"], x).alias("s"), F.concat(t["o"], F.array(op(t["s"], x))).alias("o")), lambda t: t["o"])
 
     def whole(blocks: Column) -> Column:
-        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x))
-        return F.flatten(F.zip_with(F.transform(blocks, small), F.concat(F.array(F.lit(0).cast("long")), small(sums)), lambda b, base: F.transform(F.coalesce(b, F.array().cast("array<long>")), lambda x: x + base)))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), op))
+        return F.flatten(F.zip_with(F.transform(blocks, small), F.concat(F.array(F.lit(0).cast("long")), small(totals)), lambda b, base: F.transform(F.coalesce(b, none), lambda x: op(base, x))))
 
     cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block))
-    return _let(steps, lambda v: _let(cut(v), whole))
+    return F.when(F.size(steps) > 0, _let(steps, lambda v: _let(cut(v), whole))).otherwise(none)
+
+
+def _sums(steps: Column) -> Column:
+    return _scan(steps, lambda a, b: a + b)
+
+
+def _peaks(values: Column) -> Column:
+    return _scan(values, lambda a, b: F.greatest(a, b))
 
 
 _SPAN = "array<struct<start:long,ord:int,end:long,kind:string>>"
 
 
-def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int, keep=None) -> Column:
-    """The kind's spans in a text, in order; keep filters on the matched string."""
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """(s, m, h) of each match: where it ends, the match, and what the group holds."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = matches if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.zip_with(F.split(text, pattern, -1), F.concat(F.array(F.lit("")), matches), lambda gap, m: (F.length(gap) + F.length(m)).cast("long"))
-    both = F.zip_with(_running(steps), F.zip_with(matches, held, lambda m, h: F.struct(m.alias("m"), h.alias("h"))), lambda s, x: F.struct(s.alias("s"), x["m"].alias("m"), x["h"].alias("h")))
-    good = F.filter(both, lambda x: (F.length(x["h"]) >= least) & (F.lit(True) if keep is None else keep(x["m"])))
+    return F.zip_with(_sums(steps), F.zip_with(matches, held, lambda m, h: F.struct(m.alias("m"), h.alias("h"))), lambda s, x: F.struct(s.alias("s"), x["m"].alias("m"), x["h"].alias("h")))
+
+
+def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
+    """The kind's base spans in a text, in order."""
+    good = F.filter(_matches(text, pattern, group), lambda x: F.length(x["h"]) >= least)
     spans = F.transform(good, lambda x: F.struct(x["s"].alias("start"), F.lit(order).alias("ord"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind")))
     return F.when(text.rlike(pattern), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
-def with_spans(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text", base_col: str = "base_spans", all_col: str = "spans") -> DataFrame:
+def _random_spans(text: Column, model: list[Column], threshold: float) -> Column:
+    """Spans of stretches that look random, one for each run at most, in order."""
+
+    def judged(x: Column) -> Column:
+        run = x["m"]
+        return _let(stretch(run, model), lambda f: F.when(f["best"] > threshold, _let(widened(run, f), lambda w: F.struct((x["s"] + w["s"]).alias("start"), F.lit(len(BASE)).alias("ord"), (x["s"] + w["e"]).alias("end"), F.lit("random").alias("kind")))))
+
+    found = F.filter(F.transform(_matches(text, RUN, 0), judged), lambda s: s["end"] - s["start"] >= LEAST)
+    return F.when(text.rlike(RUN), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+
+
+def with_spans(docs: DataFrame, model: list[list[float]], threshold: float = THRESHOLD, text_col: str = "text", base_col: str = "base_spans", all_col: str = "spans") -> DataFrame:
     """docs with two arrays of (start, ord, end, kind): base spans, and those with the models' spans, each in order.
 
     A null or empty text has none. Other columns stay as they are; base_col and
-    all_col must be new names. A run that lies in a base span adds nothing.
+    all_col must be new names. A stretch that lies in a base span adds nothing.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    table = model_column(model)
+    if {base_col, all_col} & set(docs.columns):
+        raise ValueError(f"{base_col} and {all_col} must be new names")
     one = docs.withColumn(base_col, F.array_sort(F.concat(*(_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE)))))
-    found = _spans(text, "random", len(BASE), RUN, 0, 1, lambda m: log_ratio(m, table) > threshold)
-    fresh = _let(F.struct(F.col(base_col).alias("b"), found.alias("f")), lambda x: F.filter(x["f"], lambda s: ~F.exists(x["b"], lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))))
-    return one.withColumn(all_col, F.array_sort(F.concat(F.col(base_col), fresh)))
+    found = _random_spans(text, [model_column(t) for t in model], threshold) if model else F.array().cast(_SPAN)
+
+    def fresh(every: Column) -> Column:  # a base span that begins no later stands before a stretch
+        reach = _peaks(F.transform(every, lambda s: F.when(s["ord"] < len(BASE), s["end"]).otherwise(F.lit(0).cast("long"))))
+        both = F.zip_with(every, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r")))
+        return F.transform(F.filter(both, lambda x: (x["s"]["ord"] < len(BASE)) | (x["r"] < x["s"]["end"])), lambda x: x["s"])
+
+    return one.withColumn(all_col, _let(found, lambda f: F.when(F.size(f) > 0, _let(F.array_sort(F.concat(F.col(base_col), f)), fresh)).otherwise(F.col(base_col))))
 
 
 def joined(spans: Column) -> Column:
@@ -165,20 +249,33 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]", threshold: float = THRESHOLD, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with each stretch of spans replaced by a mark; all other columns stay, but for a text's new length in chars_col."""
+def _pieces(text: Column, spans: Column) -> Column:
+    """What a text holds between its spans, which are in order; those that touch or overlap count as one."""
+    block = 4096
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:  # a text is cut into blocks once, as each substring reads from the start
+        own = lambda k: F.substring(F.element_at(blocks, (k + 1).cast("int")), (F.greatest(a - k * block, F.lit(0)) + 1).cast("int"), (F.least(b - k * block, F.lit(block)) - F.greatest(a - k * block, F.lit(0))).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / block).cast("int"), F.floor((b - 1) / block).cast("int")), own), "")).otherwise("")
+
+    def cut(x: Column) -> Column:
+        reach = F.concat(F.array(F.lit(-1).cast("long")), _peaks(F.transform(spans, lambda s: s["end"])))
+        starts = F.filter(F.zip_with(F.transform(spans, lambda s: s["start"]), reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda g: g["s"] > g["r"])
+        gaps = F.concat(starts, F.array(F.struct(F.length(text).cast("long").alias("s"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("r"))))
+        return F.transform(gaps, lambda g: between(x, F.greatest(g["r"], F.lit(0)), g["s"]))
+
+    return _let(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / block).cast("int")), lambda b: F.substring(text, b * block + 1, F.lit(block))), cut)
+
+
+def redact(docs: DataFrame, model: list[list[float]], mark: str = "[SECRET]", threshold: float = THRESHOLD, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with each stretch of spans replaced by a mark; all other columns stay, but for a text's new length in chars_col.
+
+    Null and empty texts stay as they are; repeated rows are kept.
+    """
     columns = docs.columns
     base, every = "_base_spans", "_every_span"
     while base in columns or every in columns:
         base, every = base + "_", every + "_"
-    merged = F.aggregate(
-        every,
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda t, s: F.when((F.size(t) > 0) & (F.try_element_at(t, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(t, 1, F.size(t) - 1), F.array(F.struct(F.try_element_at(t, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(t, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(t, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    zero = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))
-    gaps = _let(F.struct(merged.alias("m"), F.col(text_col).alias("t")), lambda x: F.array_join(F.zip_with(F.concat(zero, x["m"]), F.concat(x["m"], F.array(F.struct(F.length(x["t"]).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))), lambda a, b: F.substring(x["t"], (a["end"] + 1).cast("int"), (b["start"] - a["end"]).cast("int"))), mark))
-    out = with_spans(docs, model, threshold, text_col, base, every).withColumn(text_col, F.when(F.size(every) > 0, gaps).otherwise(F.col(text_col)))
+    out = with_spans(docs, model, threshold, text_col, base, every).withColumn(text_col, F.when(F.size(every) > 0, F.array_join(_pieces(F.col(text_col), F.col(every)), mark)).otherwise(F.col(text_col)))
     if chars_col in columns:
         kind = docs.schema[chars_col].dataType
         out = out.withColumn(chars_col, F.when(F.size(every) > 0, F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
