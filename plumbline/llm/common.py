@@ -79,6 +79,17 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(wanted: list[str], taken: list[str]) -> list[str]:
+    """The wanted column names, with underscores added where a table has them already (names don't tell case apart)."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(docs: DataFrame, column: str) -> int:
     """Bytes of all texts of a column."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

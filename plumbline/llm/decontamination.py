@@ -158,7 +158,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_co
                             last = place[b - 1][1]
                         texts[row] = b" ".join(x for x in [*parts, raw[last:].lstrip()] if x).decode()
                         if chars is not None:
-                            chars[row] = len(texts[row])
+                            chars[row] = pa.scalar(len(texts[row])).cast(run.schema.field(chars_col).type).as_py()
                     columns = list(run.columns)
                     columns[at] = pa.array(texts, run.schema.field(at).type)
                     if chars is not None:

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import runs, stored
+from .common import free_names, runs, stored
 from .tokens import RUN, binaries, encoder, with_end
 
 CAPACITY = 4096
@@ -173,12 +174,15 @@ def plan_table(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, n
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """pieces with sequence_id and offset: gapless places in sequences of at most `capacity`.
 
-    pieces may have any other columns, but for sequence_id and offset. It is
-    written to the shared folder once. An empty table gives an empty table; ties
+    pieces may have any other columns; sequence_id and offset that it has already are
+    replaced. It is written to the shared folder once. An empty table gives an empty table; ties
     take any order among equal lengths, and each row has one place.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
-    schema = pieces.schema.simpleString()[7:-1]
+    part_col, rank_col, size_col, kind_col, from_col, shift_col, place_col = free_names(["_part", "_rank", "_n", "_length", "_from", "_shift", "_place"], names)
+    schema = T.StructType(pieces.schema.fields + [T.StructField(part_col, T.LongType()), T.StructField(rank_col, T.LongType())])
+    result = T.StructType(pieces.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def ranked(batches):
         seen = np.zeros(capacity + 1, np.int64)
@@ -192,24 +196,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             rank = np.empty(len(length), np.int64)
             rank[order] = np.arange(len(length)) - np.repeat(first, n) + np.repeat(seen[kinds], n)
             seen[kinds] += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int64)), pa.array(rank)], [*batch.schema.names, "_part", "_rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int64)), pa.array(rank)], [*batch.schema.names, part_col, rank_col])
 
-    held = stored(pieces.mapInArrow(ranked, f"{schema}, _part long, _rank long"), "pieces")
-    sizes = held.groupBy(F.col(length_col).alias("_length"), "_part").agg((F.max("_rank") + 1).alias("_n"))
-    counts = {r["_length"]: r["n"] for r in sizes.groupBy("_length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    held = stored(pieces.mapInArrow(ranked, schema), "pieces")
+    sizes = stored(held.groupBy(F.col(length_col).alias(kind_col), F.col(part_col).alias(from_col)).agg((F.max(rank_col) + 1).alias(size_col)), "sizes")
+    counts = {r[kind_col]: r["n"] for r in sizes.groupBy(kind_col).agg(F.sum(size_col).alias("n")).collect()}  # at most `capacity` rows
     table = pieces.sparkSession.sparkContext.broadcast(plan_table(plan(counts, capacity)))
-    before = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_length", F.col("_part").alias("_from"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    joined = held.join(shift, (held[length_col] == shift["_length"]) & (held["_part"] == shift["_from"]))
+    before = Window.partitionBy(kind_col).orderBy(from_col).rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(kind_col, from_col, F.coalesce(F.sum(size_col).over(before), F.lit(0)).alias(shift_col))
+    joined = held.join(shift, (F.col(length_col) == F.col(kind_col)) & (F.col(part_col) == F.col(from_col)))
 
     def placed(batches):
         t = table.value
         for batch in batches:
             length = np.asarray(batch.column(length_col), np.int64)
-            rank = np.asarray(batch.column("_global"), np.int64)
+            rank = np.asarray(batch.column(place_col), np.int64)
             at = np.searchsorted(t["key"], length << _RANK_BITS | rank, side="right") - 1
             nth = rank - (t["key"][at] & ((1 << _RANK_BITS) - 1))
             sequence, slot = t["base"][at] + nth // t["times"][at], nth % t["times"][at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(t["offset"][at] + slot * length)], [*names, "sequence_id", "offset"])
 
-    return joined.select(*names, (F.col("_rank") + F.col("_shift")).alias("_global")).mapInArrow(placed, f"{schema}, sequence_id long, offset long")
+    return joined.select(*(F.col(f"`{c}`") for c in names), (F.col(rank_col) + F.col(shift_col)).alias(place_col)).mapInArrow(placed, result)

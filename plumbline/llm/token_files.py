@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, runs, shuffle_width, stored
+from .common import filesystem, runs, stored, text_bytes
 from .tokens import RUN, binaries, encoder, with_end
 
 SEQUENCE = 2048
 ROWS = 512  # sequences in a record batch
+#: Bytes of texts for each file, and tokens of a batch that is read back.
+FILE_BYTES, BATCH_TOKENS = 32 << 20, 1 << 20
 
 
 def file_schema(width: str, sequence: int) -> pa.Schema:
@@ -62,7 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Write docs in ascending id order; returns the manifest: (part, name, n_docs, n_tokens, start).
 
     A null text is an empty one and gives its end id alone; rows of one id are
-    ordered by their texts, null ids come first, an empty table gives no file.
+    ordered by their texts' hashes and then the texts, null ids come first, an empty table gives no file.
     A file is written under a name of its own try and then renamed, so a task that
     runs again replaces it by the same bytes. The manifest has a row for each file.
     """
@@ -101,7 +103,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": pa.array([done], pa.int64()), "n_tokens": pa.array([held], pa.int64())})
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    dealt = source.repartitionByRange(files or shuffle_width(spark), "id").sortWithinPartitions("id", "text")
+    n = files or max(1, -(-text_bytes(source, "text") // FILE_BYTES))
+    # the hash splits many rows of one id over files
+    dealt = source.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
     manifest = stored(dealt.mapInArrow(write, "part int, name string, n_docs long, n_tokens long"), "manifest")
     starts, at = [], 0
     for r in manifest.orderBy("part").collect():  # a row for each file
@@ -140,11 +144,14 @@ def read_token_files(manifest: DataFrame, folder: str, id_col: str = "doc_id") -
                 for i in range(index.num_record_batches):
                     rows = index.get_batch(i)
                     start, n = (np.asarray(rows.column(k), np.int64) for k in (1, 2))
-                    for lo in range(0, len(start), 2048):
-                        some = slice(lo, lo + 2048)
+                    after, lo = np.cumsum(n), 0
+                    while lo < len(start):  # documents of BATCH_TOKENS together, or one
+                        hi = max(lo + 1, int(np.searchsorted(after, after[lo] - n[lo] + BATCH_TOKENS, side="right")))
+                        some = slice(lo, hi)
                         ends = np.concatenate((start[some], [start[some][-1] + n[some][-1]]))
                         ids = span(ends[0], ends[-1])
-                        yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, 2048), pa.array(start[some] + base), pa.array(n[some]), binaries(ids, ends - ends[0]).cast(pa.binary())], ["id", "start", "n_tokens", "ids"])
+                        yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, hi - lo), pa.array(start[some] + base), pa.array(n[some]), binaries(ids, ends - ends[0]).cast(pa.binary())], ["id", "start", "n_tokens", "ids"])
+                        lo = hi
 
     files = max(manifest.count(), 1)
     dealt = spark.createDataFrame(manifest.select("name", "start").collect(), "name string, start long").repartition(files)

@@ -25,6 +25,8 @@ from .common import filesystem, stored
 FRAME_BYTES = 256 << 10
 #: Payloads below this size are never deduplicated.
 LEAST_PAYLOAD = 100
+#: Digests of 64 letters and ids that are broadcast at most, some 20 MB.
+MOST_BROADCAST = 200_000
 # Fixed values of the seekable format: the magic of a skippable frame, and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,8 +138,9 @@ def with_roles(pages: DataFrame, id_col: str, html_col: str, least: int = LEAST_
     """(id, url, payload, size, digest, refers_to): refers_to is null for a response."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     keyed = pages.withColumn("payload", payload).withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    firsts = keyed.where(F.col("size") >= least).groupBy("digest").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    joined = keyed.join(firsts, "digest", "left")
+    # narrow rows find the payloads that occur twice; payloads themselves travel only where those are very many, and then adaptive execution can split a hot one
+    firsts = stored(keyed.where(F.col("size") >= least).groupBy("digest").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "copies")
+    joined = keyed.join(F.broadcast(firsts) if firsts.count() <= MOST_BROADCAST else firsts, "digest", "left")
     other = F.col("first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first"))
     return joined.select(id_col, "url", F.when(~other, F.col("payload")).alias("payload"), "size", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
