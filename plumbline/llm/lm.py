@@ -38,7 +38,7 @@ DISCOUNT = 0.75
 ADDED = 0.1
 RUN = 8 << 20
 #: Training tokens of a shard of levels 2 and 3, and bytes of texts for a shard of level 1.
-SHARD_TOKENS, SHARD_BYTES = 1 << 21, 64 << 20
+SHARD_TOKENS, SHARD_BYTES = 1 << 21, 16 << 20
 #: Bytes of pages that a worker keeps of a store that it can't map.
 PAGES, PAGE = 128 << 20, 1 << 16
 #: The end token's hash.
@@ -364,6 +364,7 @@ def _unplaned(raw: bytes, width: int) -> np.ndarray:
 
 def _level_one(docs: DataFrame, folder: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Write level 1; (first ranks, sums) of its shards."""
+    buckets = partition_keys(docs.sparkSession, n)
 
     def count(batches):
         for batch in batches:
@@ -372,9 +373,9 @@ def _level_one(docs: DataFrame, folder: str, n: int) -> tuple[np.ndarray, np.nda
                 total = np.bincount(tokens.codes, minlength=len(tokens.hashes))
                 live = np.flatnonzero(total)
                 own = tokens.hashes[live]
-                out = [(s, own[at].tobytes(), total[live[at]].astype(np.uint32).tobytes()) for s, at in _ranges(level1_shard(own, n))]
+                out = [(buckets[s], s, own[at].tobytes(), total[live[at]].astype(np.uint32).tobytes()) for s, at in _ranges(level1_shard(own, n))]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "shard", "keys", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -383,10 +384,12 @@ def _level_one(docs: DataFrame, folder: str, n: int) -> tuple[np.ndarray, np.nda
         _save(folder, f"one-{shard:08d}", {**_parts("keys", keys), **_parts("sums", np.concatenate(([0], np.cumsum(total))).astype(np.uint64))})
         return pa.table({"shard": pa.array([shard], pa.int32()), "kinds": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64())})
 
-    packed = docs.mapInArrow(releasing(count), "shard int, keys binary, counts binary")
+    packed = docs.mapInArrow(releasing(count), "bucket int, shard int, keys binary, counts binary")
     kinds, tokens = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    for r in stored(packed.groupBy("shard").applyInArrow(merge, "shard int, kinds long, tokens long"), "level").collect():  # a row for each shard
+    table = stored(packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(merge, "shard int, kinds long, tokens long"), "level")
+    for r in table.collect():  # a row for each shard
         kinds[r["shard"] + 1], tokens[r["shard"] + 1] = r["kinds"], r["tokens"]
+    discard(table)
     return np.cumsum(kinds), np.cumsum(tokens)
 
 
