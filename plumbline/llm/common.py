@@ -123,10 +123,21 @@ def release() -> None:
         pass
 
 
+#: What empties caches that a worker keeps between tasks of one kind.
+CACHES: list = []
+
+
+def forget() -> None:
+    """Drop what tasks of another kind have left in this worker."""
+    for empty in CACHES:
+        empty()
+
+
 def releasing(work):
-    """A mapInArrow function that releases memory when its task's batches are done."""
+    """A mapInArrow function that drops other tasks' caches first and releases memory when its task's batches are done."""
 
     def run(batches):
+        forget()
         try:
             yield from work(batches)
         finally:

@@ -175,7 +175,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     """pieces with sequence_id and offset: gapless places in sequences of at most `capacity`.
 
     pieces may have any other columns; sequence_id and offset that it has already are
-    replaced. It is written to the shared folder once. An empty table gives an empty table; ties
+    replaced. The rows are written to the shared folder, and again with their ranks. An empty table gives an empty table; ties
     take any order among equal lengths, and each row has one place.
     """
     pieces = pieces.drop("sequence_id", "offset")
@@ -198,7 +198,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             seen[kinds] += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int64)), pa.array(rank)], [*batch.schema.names, part_col, rank_col])
 
-    held = stored(pieces.mapInArrow(ranked, schema), "pieces")
+    # written first, so that a task needs one worker and not another one for whatever makes the pieces
+    held = stored(stored(pieces, "cut").mapInArrow(ranked, schema), "pieces")
     sizes = stored(held.groupBy(F.col(length_col).alias(kind_col), F.col(part_col).alias(from_col)).agg((F.max(rank_col) + 1).alias(size_col)), "sizes")
     counts = {r[kind_col]: r["n"] for r in sizes.groupBy(kind_col).agg(F.sum(size_col).alias("n")).collect()}  # at most `capacity` rows
     table = pieces.sparkSession.sparkContext.broadcast(plan_table(plan(counts, capacity)))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, plain, release, releasing, runs
+from .common import Words, forget, mix, plain, release, releasing, runs
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = bytes([32, *range(9, 14)])
@@ -202,6 +202,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
+        forget()
         batch = pa.record_batch([texts], ["text"])
         out = [pa.array(judge(run.column("text"), rules)["kept"]) for run in runs(batch, "text", RUN)]
         release()

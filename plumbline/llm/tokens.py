@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import plain, release
+from .common import CACHES, plain, release
 
 #: Words that a worker's cache holds at most, and of them the first, mostly frequent ones, that outlive a task.
 CACHE_WORDS, KEPT_WORDS = 600_000, 250_000
@@ -34,6 +34,7 @@ _SPACED = re.compile(r" (?!.*<\|)\S+")
 RUN = 6 << 20
 
 _OPEN: dict[str, "Encoder"] = {}
+CACHES.append(_OPEN.clear)
 
 
 def encoder(path: str) -> "Encoder":
