@@ -17,7 +17,7 @@ def ring_issues(rings: DataFrame, near: float = 1e-4, bend: float = 0.5) -> Data
     Rings below three vertices and open ones have that one issue. Others: vertices
     that nearly coincide with the next, vertices where the direction changes by less
     than `bend` degrees, crossings of edges that aren't neighbours, and clockwise
-    order. The same issue at the same place (to six decimals) counts once.
+    order. The same issue at the same place (to four decimals) counts once.
     """
     n = F.size("verts")
     first = F.col("verts")[0]

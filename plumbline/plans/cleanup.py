@@ -18,7 +18,7 @@ def q_ring_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_issue_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One marker for each place, with its messages."""
-    return P.messages(P.ring_issues(V.rings(spark, sf_dir)).where("kind IN ('open', 'near_duplicate', 'self_intersection')"))
+    return P.messages(P.ring_issues(V.rings(spark, sf_dir)))
 
 
 def q_dedup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _seg(px: str, py: str, s: str) -> str:
 _HAUS = "greatest(" + ", ".join([_seg("p.ax", "p.ay", "q"), _seg("p.bx", "p.by_", "q"), _seg("q.ax", "q.ay", "p"), _seg("q.bx", "q.by_", "p")]) + ")"
 SQL = {
     "q_ring_issues": f"WITH {V.VERTS}, {_ISSUES} SELECT ring_id, kind, count(*) AS n FROM iss GROUP BY ring_id, kind",
-    "q_issue_markers": f"WITH {V.VERTS}, {_ISSUES} SELECT ring_id, x, y, string_agg(DISTINCT kind, '; ' ORDER BY kind) AS message FROM iss WHERE kind IN ('open', 'near_duplicate', 'self_intersection') GROUP BY ring_id, x, y",
+    "q_issue_markers": f"WITH {V.VERTS}, {_ISSUES} SELECT ring_id, x, y, string_agg(DISTINCT kind, '; ' ORDER BY kind) AS message FROM iss GROUP BY ring_id, x, y",
     "q_dedup_paths": f"""WITH {V.VERTS}, p AS (SELECT ring_id, floor(ax / 10)::BIGINT::VARCHAR || ',' || floor(ay / 10)::BIGINT::VARCHAR AS a, floor(bx / 10)::BIGINT::VARCHAR || ',' || floor(by_ / 10)::BIGINT::VARCHAR AS b FROM edge WHERE NOT closed AND NOT closing)
 SELECT least(a || ' ' || b, b || ' ' || a) AS path, min(ring_id) AS first, count(*) AS copies FROM p GROUP BY least(a || ' ' || b, b || ' ' || a)""",
     "q_near_twin_pairs": f"""WITH {V.VERTS}, {_PIECES} SELECT p.piece_id AS a, q.piece_id AS b, {r4(_HAUS)} AS gap FROM pc p JOIN pc q ON p.style = q.style AND p.piece_id < q.piece_id

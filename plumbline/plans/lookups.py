@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions import similarity as C
 from ..functions import strings as S
 from ..operators import lookups as L
+from ..operators import matching as O
 from ..session import table
 from . import matching as M
 from . import views as V
@@ -33,10 +33,9 @@ def q_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_nearest_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two nearest descriptors of the first twenty, by differing bits."""
+    """The two nearest descriptors of the work items, by differing bits."""
     h = V.hashes(spark, sf_dir)
-    q = F.broadcast(h.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("word").alias("qw")))  # the stated work items
-    return L.nearest_k(q, h.where("vec_id >= 20"), "query", "vec_id", C.hamming(F.col("qw"), F.col("word")).cast("int"))
+    return O.nearest_bits(h.where(F.col("vec_id") % M.EVERY == 0), h, 2).withColumnRenamed("candidate", "vec_id")
 
 
 def q_ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +64,7 @@ QUERIES = [q_block_resolution, q_keep_best, q_nearest_two, q_ratio_matches, q_ma
 _KEY = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 _SAFE = lambda c: f"regexp_replace({c}, '[<>:\"/\\\\|?*]+', '_', 'g')"
 _STEM = "regexp_replace(name, '__[0-9]{2,}$', '')"
-_NEAR = f"""WITH {V.HASHES}, p AS (SELECT q.vec_id AS query, h.vec_id, bit_count(xor(q.word, h.word))::INTEGER AS bits FROM hs q JOIN hs h ON q.vec_id < 20 AND h.vec_id >= 20),
+_NEAR = f"""WITH {V.HASHES}, p AS (SELECT q.vec_id AS query, h.vec_id, bit_count(xor(q.word, h.word))::INTEGER AS bits FROM hs q JOIN hs h ON q.vec_id % {M.EVERY} = 0 AND h.vec_id <> q.vec_id),
 k AS (SELECT query, vec_id, bits, row_number() OVER (PARTITION BY query ORDER BY bits, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 2)"""
 SQL = {
     "q_block_resolution": f"""WITH d AS (SELECT DISTINCT p_name AS definition FROM part),

@@ -12,8 +12,8 @@ from ..operators import matching as M
 from . import views as V
 from .views import r4
 
-#: Owners below this are the work items; the rest are the catalogue.
-QUERY_OWNERS = 10
+#: Ids that this divides are the work items, held against all rows.
+EVERY = 100
 
 
 def _pick(df: DataFrame, prefix: str) -> DataFrame:
@@ -21,18 +21,14 @@ def _pick(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def q_hash_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the first forty hashes the five nearest others, by bits and then number."""
+    """For the work items' hashes the five nearest others, by bits and then number."""
     h = V.hashes(spark, sf_dir)
-    q = h.where("vec_id < 40").select(F.col("vec_id").alias("query"), F.col("word").alias("qw"))  # the stated work items
-    pairs = h.crossJoin(F.broadcast(q)).where("vec_id <> query")
-    scored = pairs.select("query", F.col("vec_id").alias("candidate"), C.hamming(F.col("qw"), F.col("word")).cast("int").alias("bits"))
-    best = M.top_k(scored, "query", [F.col("bits"), F.col("candidate")], 5)
-    return best.select("query", "candidate", "bits", G.rounded(C.hash_similarity(F.col("bits"), F.col("bits"))).alias("similarity"), "rank")
+    return M.nearest_bits(h.where(F.col("vec_id") % EVERY == 0), h, 5).select("query", "candidate", "bits", G.rounded(C.hash_similarity(F.col("bits"), F.col("bits"))).alias("similarity"), "rank")
 
 
 def q_prefilter_top80(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.embeddings(spark, sf_dir)
-    best = M.prefilter(e.where(F.col("owner") < QUERY_OWNERS), e, 80)
+    best = M.prefilter(e.where(F.col("owner") % EVERY == 0), e, 80)
     return best.select("query", "owner", G.rounded(F.col("sim"), 5).alias("sim"))
 
 
@@ -89,7 +85,7 @@ def q_fallback_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work items against prefiltered catalogue entries, with the features that image tools would give."""
     e = V.embeddings(spark, sf_dir)
-    top = M.prefilter(e.where(F.col("owner") < QUERY_OWNERS), e, 80)
+    top = M.prefilter(e.where(F.col("owner") % EVERY == 0), e, 80)
     h = V.hashes(spark, sf_dir).where("vec_id % 4 = 0").select(F.floor(F.col("vec_id") / 4).cast("long").alias("o"), "word")
     j = top.join(h.select(F.col("o").alias("query"), F.col("word").alias("qw")), "query").join(h.select(F.col("o").alias("owner"), "word"), "owner")
     mod = lambda a, b, m: ((F.col("query") * a + F.col("owner") * b) % m)
@@ -127,9 +123,9 @@ def q_match_map_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_circular_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best correlation over all turns of each signature with the one after it."""
-    e = V.embeddings(spark, sf_dir).select("vec_id", F.slice("vec", 1, 16).alias("v"))
+    e = V.embeddings(spark, sf_dir).select("vec_id", F.col("vec").alias("v"))
     p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
-    return p.select("vec_id", G.rounded(C.circular_correlation(F.col("v"), F.col("w"), 16), 5).alias("best"))
+    return p.select("vec_id", G.rounded(C.circular_correlation(F.col("v"), F.col("w"), 64), 5).alias("best"))
 
 
 def q_ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +148,7 @@ def q_edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [q_hash_topk, q_prefilter_top80, q_geom_features, q_geom_similarity, q_rank_candidates, q_fallback_rank, q_composite_top5, q_composite_with_fallback, q_match_map_json, q_circular_corr, q_ncc, q_edit_plan]
 
 _DOT = lambda a, b: f"list_sum([p[1] * p[2] for p in list_zip({a}, {b})])"
-_PRE = f"""sims AS (SELECT q.owner AS query, m.owner, max(list_inner_product(q.vec, m.vec)) AS sim FROM emb q JOIN emb m ON q.owner < {QUERY_OWNERS} AND m.owner <> q.owner GROUP BY q.owner, m.owner),
+_PRE = f"""sims AS (SELECT q.owner AS query, m.owner, max(list_inner_product(q.vec, m.vec)) AS sim FROM emb q JOIN emb m ON q.owner % {EVERY} = 0 AND m.owner <> q.owner GROUP BY q.owner, m.owner),
 pre AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, owner) <= 80)"""
 _GAP = lambda c, least: f"abs(greatest(a.{c}, {least}) - greatest(b.{c}, {least})) / greatest(a.{c}, b.{c}, {least})"
 _CHI = " + ".join(f"CASE WHEN a.angles[{i}] + b.angles[{i}] > 0 THEN pow(a.angles[{i}] - b.angles[{i}], 2)::DOUBLE / (a.angles[{i}] + b.angles[{i}]) ELSE 0 END" for i in range(1, 9))
@@ -175,7 +171,7 @@ _TOP5 = "t5 AS (SELECT query, candidate, score, accepted, row_number() OVER (PAR
 _STD = lambda v: f"(SELECT list((x - m) / greatest(s, 1e-9) ORDER BY k) FROM (SELECT x, k, avg(x) OVER () AS m, stddev_pop(x) OVER () AS s FROM (SELECT unnest({v}) AS x, unnest(range(len({v}))) AS k)))"
 
 SQL = {
-    "q_hash_topk": f"""WITH {V.HASHES}, p AS (SELECT q.vec_id AS query, h.vec_id AS candidate, bit_count(xor(q.word, h.word))::INTEGER AS bits FROM hs q JOIN hs h ON q.vec_id < 40 AND h.vec_id <> q.vec_id)
+    "q_hash_topk": f"""WITH {V.HASHES}, p AS (SELECT q.vec_id AS query, h.vec_id AS candidate, bit_count(xor(q.word, h.word))::INTEGER AS bits FROM hs q JOIN hs h ON q.vec_id % {EVERY} = 0 AND h.vec_id <> q.vec_id)
 SELECT query, candidate, bits, {r4('least(greatest(0.6::DOUBLE * (1 - bits / 64.0::DOUBLE) + 0.4::DOUBLE * (1 - bits / 64.0::DOUBLE), 0), 1)')} AS similarity, row_number() OVER (PARTITION BY query ORDER BY bits, candidate)::INTEGER AS rank FROM p QUALIFY rank <= 5""",
     "q_prefilter_top80": f"WITH {V.EMB}, {_PRE} SELECT query, owner, floor(sim * 100000 + 0.50001) / 100000.0::DOUBLE AS sim FROM pre",
     "q_geom_features": f"""WITH {V.VERTS}, b AS (SELECT layer, bulge = 0 AS straight, least(floor((CASE WHEN t < 0 THEN t + pi() WHEN t >= pi() THEN t - pi() ELSE t END) / (pi() / 8) + 1e-9)::INTEGER, 7) AS bin
@@ -196,9 +192,9 @@ SELECT 'insert' AS op, ent_ord AS target, candidate AS block, x, y FROM p UNION
 SELECT query, candidate, score, scorer, row_number() OVER (PARTITION BY query ORDER BY score, candidate)::INTEGER AS rank FROM both_ QUALIFY rank <= 5""",
     "q_match_map_json": f"""WITH {V.EMB}, {_PRE}, {V.HASHES}, {_IMG}, {_TOP5}
 SELECT 'H' || query::VARCHAR AS key, '[' || string_agg('{{"master_block":"' || candidate::VARCHAR || '","rank":' || rank::VARCHAR || '}}', ',' ORDER BY rank) || ']' AS topk, min(score) AS best FROM t5 GROUP BY query""",
-    "q_circular_corr": """WITH e AS (SELECT vec_id, k, embedding[k]::DOUBLE AS x FROM embeddings, range(1, 17) t(k)),
+    "q_circular_corr": """WITH e AS (SELECT vec_id, k, embedding[k]::DOUBLE AS x FROM embeddings, range(1, 65) t(k)),
 z AS (SELECT vec_id, k, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-9) AS x FROM e WINDOW w AS (PARTITION BY vec_id)),
-c AS (SELECT a.vec_id, s.k AS turn, sum(a.x * b.x) / 16 AS r FROM z a JOIN z b ON b.vec_id = a.vec_id + 1 JOIN range(0, 16) s(k) ON (a.k - 1 + s.k) % 16 = b.k - 1 GROUP BY a.vec_id, s.k)
+c AS (SELECT a.vec_id, s.k AS turn, sum(a.x * b.x) / 64 AS r FROM z a JOIN z b ON b.vec_id = a.vec_id + 1 JOIN range(0, 64) s(k) ON (a.k - 1 + s.k) % 64 = b.k - 1 GROUP BY a.vec_id, s.k)
 SELECT vec_id, floor(max(r) * 100000 + 0.50001) / 100000.0::DOUBLE AS best FROM c GROUP BY vec_id""",
     "q_ncc": """WITH e AS (SELECT vec_id, k, embedding[k]::DOUBLE AS x FROM embeddings, range(1, 65) t(k)),
 z AS (SELECT vec_id, k, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-9) AS x FROM e WINDOW w AS (PARTITION BY vec_id))

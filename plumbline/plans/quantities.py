@@ -124,8 +124,8 @@ def q_layer_color_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_preview_first_per_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each name's first insert gives its preview; inserts per name carry it along."""
     i = V.inserts(spark, sf_dir)
-    first = i.groupBy("block_name").agg(F.min("ent_ord").alias("preview_of"), F.count(F.lit(1)).alias("n"))
-    return first.select("block_name", "preview_of", "n")
+    first = i.groupBy("block_name").agg(F.min("ent_ord").alias("preview_of"))
+    return i.join(first, "block_name", "left").select("ent_ord", "block_name", "preview_of")
 
 
 def q_seq_per_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def q_seq_per_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of 25 rows within each block's rows, with their sizes."""
+    """Slices of two rows within each drawing's rows, with their sizes."""
     n = F.row_number().over(Window.partitionBy("drawing").orderBy("ent_ord"))
     b = V.inserts(spark, sf_dir).select("drawing", F.floor((n - 1) / 2).alias("batch"), "ent_ord")
     return b.groupBy("drawing", "batch").agg(F.count(F.lit(1)).alias("rows"), F.min("ent_ord").alias("first"))
@@ -199,7 +199,7 @@ SELECT *, {r4('greatest(maxx - minx, maxy - miny)')} AS longer, {r4('least(maxx
     "q_dominant_color": f"""WITH {V.INSERTS}, w AS (SELECT layer, colour, sum(CASE WHEN length > 0 THEN length ELSE 1 END) AS weight, min(ent_ord) AS first FROM ins GROUP BY layer, colour)
 SELECT layer, colour, weight FROM w QUALIFY row_number() OVER (PARTITION BY layer ORDER BY weight DESC, first) = 1""",
     "q_layer_color_lookup": f"""WITH {V.INSERTS} SELECT layer, count(*) AS n, CASE layer WHEN 'AF' THEN '#FF0000' WHEN 'NO' THEN '#0080FF' WHEN 'RF' THEN '#10C807' ELSE '#C8C8C8' END AS preview_hex FROM ins GROUP BY layer""",
-    "q_preview_first_per_name": f"WITH {V.INSERTS} SELECT block_name, min(ent_ord) AS preview_of, count(*) AS n FROM ins GROUP BY block_name",
+    "q_preview_first_per_name": f"WITH {V.INSERTS} SELECT ent_ord, block_name, min(ent_ord) OVER (PARTITION BY block_name) AS preview_of FROM ins",
     "q_seq_per_name": f"""WITH {V.INSERTS}, s AS (SELECT ent_ord, drawing, regexp_replace(block_name, '[<>:"/\\\\|?*]+', '_', 'g') AS safe FROM ins), n AS (SELECT *, row_number() OVER (PARTITION BY drawing, safe ORDER BY ent_ord) AS k FROM s)
 SELECT ent_ord, safe || '__' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS file_stem FROM n""",
     "q_batches": f"""WITH {V.INSERTS}, b AS (SELECT drawing, (row_number() OVER (PARTITION BY drawing ORDER BY ent_ord) - 1) // 2 AS batch, ent_ord FROM ins)

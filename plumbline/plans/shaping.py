@@ -74,7 +74,7 @@ def q_name_match_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     The prefix tier meets on the keys' first eight characters, which both must share.
     """
     rows = table(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("row_name"), S.key(F.col("p_name")).alias("k"), S.base_key(F.col("p_name")).alias("b"))
-    names = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("__"), F.col("p_partkey").cast("string"))).otherwise(F.concat("p_name", F.lit(" extra"))).alias("item_name"))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("__"), F.col("p_partkey").cast("string"))).otherwise(F.concat("p_name", F.lit(" extra"))).alias("item_name"))
     items = names.select("item", S.key(F.col("item_name")).alias("ik"), S.base_key(F.col("item_name")).alias("ib"))
     exact = items.join(rows, F.col("ik") == F.col("k")).select("item", "row_name", F.lit(1).alias("tier"))
     base = items.join(rows, F.col("ib") == F.col("b")).select("item", "row_name", F.lit(2).alias("tier"))
@@ -139,7 +139,7 @@ h AS (SELECT *, upper(coalesce(nullif(regexp_extract(name, '(?i)H([0-9A-F]{4,})'
 SELECT c_custkey, name, handle, CASE WHEN regexp_matches(handle, '^[0-9A-Fa-f]{1,15}$') THEN ('0x' || handle)::BIGINT ELSE 9223372036854775807 END AS number, regexp_replace(upper(name), '^H', '') AS key FROM h""",
     "q_name_match_tiered": """WITH r AS (SELECT DISTINCT p_name AS row_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k FROM part),
 r2 AS (SELECT *, regexp_replace(k, '[0-9]+$', '') AS b FROM r),
-i AS (SELECT p_partkey AS item, regexp_replace(lower(CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '__' || p_partkey::VARCHAR ELSE p_name || ' extra' END), '[^a-z0-9]', '', 'g') AS ik FROM part WHERE p_partkey % 10 = 0),
+i AS (SELECT p_partkey AS item, regexp_replace(lower(CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '__' || p_partkey::VARCHAR ELSE p_name || ' extra' END), '[^a-z0-9]', '', 'g') AS ik FROM part),
 i2 AS (SELECT *, regexp_replace(ik, '[0-9]+$', '') AS ib FROM i),
 every AS (SELECT item, row_name, 1 AS tier FROM i2 JOIN r2 ON ik = k UNION ALL SELECT item, row_name, 2 FROM i2 JOIN r2 ON ib = b
   UNION ALL SELECT item, row_name, 3 FROM i2 JOIN r2 ON length(ik) >= 8 AND length(k) >= 8 AND (starts_with(ik, k) OR starts_with(k, ik)))

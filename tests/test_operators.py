@@ -394,3 +394,43 @@ def test_preview_files(spark):
     )
     got = {r["item"]: (r["path"], r["tier"]) for r in L.preview_files(items, files, "item", "name").collect()}
     assert got == {0: ("i/1", 1), 1: ("i/3", 2), 2: ("c/1", 3), 3: ("c/2", 4), 4: ("c/3", 5)}
+
+
+def _dxf(*parts):
+    return "\n".join(str(x) for p in parts for x in p) + "\n"
+
+
+def test_report_of_a_drawing(spark, tmp_path):
+    """From a file to the bill of quantities: extents of nested geometry, zones, six types, colours."""
+    from plumbline.operators import drawing as D
+    from plumbline.sources.dxf import read_drawings
+
+    box = lambda layer, a, b, *more: (0, "LWPOLYLINE", 8, layer, 70, 1, *more, *(x for p in ((a, a), (b, a), (b, b), (a, b)) for x in (10, p[0], 20, p[1])))
+    insert = lambda handle, name, x, y, layer="A": (0, "INSERT", 5, handle, 8, layer, 2, name, 10, x, 20, y)
+    text = _dxf(
+        (0, "SECTION", 2, "HEADER", 9, "$INSUNITS", 70, 6, 0, "ENDSEC", 0, "SECTION", 2, "BLOCKS"),
+        (0, "BLOCK", 2, "ROUND", 10, 0, 20, 0), (0, "CIRCLE", 8, "0", 10, 0, 20, 0, 40, 5), (0, "ENDBLK",),
+        (0, "BLOCK", 2, "AREA", 10, 0, 20, 0), box("0", -10, 10), (0, "ENDBLK",),
+        (0, "ENDSEC", 0, "SECTION", 2, "ENTITIES"),
+        insert("1", "ROUND", 1, 1), insert("2", "ROUND", 2, 2), insert("3", "ROUND", 500, 500), insert("4", "X|Y", 0, 0), insert("5", "AREA", 0, 0, "PLANNER"),
+        (0, "LINE", 8, "L", 62, 1, 10, 0, 20, 0, 11, 3, 21, 4), (0, "CIRCLE", 8, "L", 62, 3, 10, 0, 20, 0, 40, 1), (0, "ARC", 8, "L", 62, 1, 10, 0, 20, 0, 40, 5, 50, 350, 51, 10), box("P", 0, 4),
+        (0, "ENDSEC", 0, "EOF"),
+    )
+    (tmp_path / "a.dxf").write_text(text)
+    e = read_drawings(spark, str(tmp_path))
+    zones = D.planner_zones(e).collect()
+    assert [(z["zone"], len(z["poly"])) for z in zones] == [("AREA", 4)]
+    rows = {(r["entity_type"], r["boq_name"], r["zone"]): r for r in D.report(e, "m").collect()}
+    assert set(rows) == {("INSERT", "ROUND", "AREA"), ("INSERT", "ROUND", ""), ("LAYER", "L", ""), ("LAYER", "P", "")}
+    one = rows["INSERT", "ROUND", "AREA"]
+    assert (one["qty_value"], one["length"], one["width"]) == (2.0, 10.0, 10.0)
+    line = rows["LAYER", "L", ""]
+    assert line["length"] == pytest.approx(5 + 2 * 3.14159265 * 5 * 20 / 360, abs=1e-3) and line["perimeter"] == pytest.approx(6.2832, abs=1e-3) and line["area"] == pytest.approx(3.1416, abs=1e-3)
+    assert line["preview"] == "#FF0000" and (rows["LAYER", "P", ""]["perimeter"], rows["LAYER", "P", ""]["area"]) == (16.0, 16.0)
+
+
+def test_palette_follows_its_rule():
+    from plumbline.operators.drawing import palette
+
+    p = palette()
+    assert len(p) == 256 and p[1] == (255, 0, 0) and p[10] == (255, 0, 0) and p[11] == (255, 127, 127) and p[20] == (255, 63, 0) and p[255] == (255, 255, 255)
