@@ -206,3 +206,17 @@ def densified(verts: Column, most: float) -> Column:
 def moved_to_pivot(x: Column, y: Column, old_pivot: Column, new_pivot: Column) -> Column:
     """A position shifted so that the new pivot falls on the old one."""
     return F.struct((x + old_pivot["x"] - new_pivot["x"]).alias("x"), (y + old_pivot["y"] - new_pivot["y"]).alias("y"))
+
+
+def circle_samples(cx: Column, cy: Column, r: Column, n: int = 64) -> Column:
+    """n points around a circle, the first one not repeated."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _on_circle(cx, cy, r, i * (2 * math.pi / n)))
+
+
+def arc_samples(cx: Column, cy: Column, r: Column, start: Column, end: Column, n: int = 32) -> Column:
+    """n + 1 points from start to end, in radians; an end before the start goes backwards."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: _on_circle(cx, cy, r, start + (end - start) * (i / F.lit(float(n)))))
+
+
+def _on_circle(cx: Column, cy: Column, r: Column, angle: Column) -> Column:
+    return F.struct((cx + r * F.cos(angle)).alias("x"), (cy + r * F.sin(angle)).alias("y"))

@@ -106,3 +106,63 @@ def spline_points(verts: Column, sag: float = 0.05, chord: float = 5.0, bend: fl
         return pd.Series(out)
 
     return run(verts)
+
+
+def sampled(points: list[tuple[float, float]], most: float, bend: float = 30.0, depth: int = 16) -> list[tuple[float, float]]:
+    """A path by its length: spans of at most `most`, then halved where the middle is off the chord by an eighth of it or turns by more than `bend` degrees.
+
+    A sharp corner turns at any scale, so a span is halved `depth` times at most.
+    """
+    p = np.array(points, float)
+    run = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))))
+    total = float(run[-1])
+    if total <= 0:
+        return []
+    at = lambda d: (float(np.interp(d, run, p[:, 0])), float(np.interp(d, run, p[:, 1])))
+    steps, off = max(2, math.ceil(total / max(1e-9, most))), max(1e-6, most / 8)
+    out = [at(0.0)]
+
+    def span(a: float, b: float, left: int) -> None:
+        m = (a + b) / 2
+        u, v, w = at(a), at(m), at(b)
+        d1, d2, d = (v[0] - u[0], v[1] - u[1]), (w[0] - v[0], w[1] - v[1]), (w[0] - u[0], w[1] - u[1])
+        size = d[0] ** 2 + d[1] ** 2
+        t = min(max((d1[0] * d[0] + d1[1] * d[1]) / size, 0.0), 1.0) if size else 0.0
+        turn = abs(math.degrees(math.atan2(d1[0] * d2[1] - d1[1] * d2[0], d1[0] * d2[0] + d1[1] * d2[1])))
+        if left and (math.dist(v, (u[0] + t * d[0], u[1] + t * d[1])) > off or turn > bend):
+            span(a, m, left - 1)
+            span(m, b, left - 1)
+        else:
+            out.append(w)
+
+    for k in range(steps):
+        span(total * k / steps, total * (k + 1) / steps, depth)
+    return out
+
+
+def samples_by_length(verts: Column, most: float, bend: float = 30.0) -> Column:
+    """sampled() over a column of paths; paths below two points or without length are empty."""
+
+    @F.pandas_udf(_PATH)
+    def run(paths: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": x, "y": y} for x, y in sampled([(v["x"], v["y"]) for v in p], most, bend)] if len(p) > 1 else [] for p in paths])
+
+    return run(verts)
+
+
+def spline_samples(verts: Column, n: int = 64, near: float = 1e-4) -> Column:
+    """n + 1 points of the B-spline of control points, without the last where it meets the first; fewer than two points stay as they are."""
+
+    @F.pandas_udf(_PATH)
+    def run(paths: pd.Series) -> pd.Series:
+        out = []
+        for p in paths:
+            pts = [(v["x"], v["y"]) for v in p]
+            if len(pts) > 1:
+                at = spline(pts)
+                pts = [at(i / n) for i in range(n + 1)]
+                pts = pts[:-1] if math.dist(pts[0], pts[-1]) < near else pts
+            out.append([{"x": x, "y": y} for x, y in pts])
+        return pd.Series(out)
+
+    return run(verts)

@@ -136,3 +136,17 @@ def image_formula(url: Column) -> Column:
 def first_of(*columns: Column) -> Column:
     """The first that is neither null nor blank."""
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
+
+
+def as_base64(content: Column) -> Column:
+    """Binary content as text on one line."""
+    return F.regexp_replace(F.base64(content), r"\s", "")
+
+
+def from_base64(text: Column) -> Column:
+    return F.unbase64(text)
+
+
+def run_id() -> Column:
+    """An r, the session's local time to the minute and six hexadecimal digits; another one for each row."""
+    return F.concat(F.date_format(F.current_timestamp(), "'r'yyyyMMdd-HHmm"), F.lit("-"), F.substring(F.uuid(), 1, 6))

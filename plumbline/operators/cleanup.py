@@ -100,13 +100,32 @@ def without_twins(pieces: DataFrame, tolerance: float, share: float = 0.01) -> D
     return pieces.join(gone, "piece_id", "left_anti").select(*pieces.columns)
 
 
-def join_chains(pieces: DataFrame, tolerance: float) -> DataFrame:
+def run_counters(pieces: DataFrame, tolerance: float, least: float = 0.0, digits: int = 2) -> DataFrame:
+    """One row (created, duplicates, twins, short): what becomes of open pieces.
+
+    Pieces no longer than `least` are short; of equal paths of one style, from either
+    end, the first stays; of the rest, those near one that stays are twins.
+    """
+    length = G.path_length(F.col("verts"), F.lit(False))
+    long = pieces.where(length > least).withColumn("path", canonical_path(F.col("verts"), digits))
+    firsts = long.groupBy("style", "path").agg(F.min("piece_id").alias("piece_id"))
+    kept = without_twins(long.join(firsts.select("piece_id"), "piece_id", "left_semi").drop("path"), tolerance)
+    steps = None
+    for k, df in enumerate((pieces, long, firsts, kept)):
+        one = df.agg(*(F.count(F.lit(1) if j == k else F.lit(None)).alias(f"n{j}") for j in range(4)))
+        steps = one if steps is None else steps.unionByName(one)
+    total = steps.agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4)))
+    return total.select(F.col("n3").alias("created"), F.expr("n1 - n2").alias("duplicates"), F.expr("n2 - n3").alias("twins"), F.expr("n0 - n1").alias("short"))
+
+
+def join_chains(pieces: DataFrame, tolerance: float, own_cell: bool = False) -> DataFrame:
     """Open pieces of one drawing and style joined end to end: (drawing, style, chain, n_pieces, points, closed).
 
     In order of piece_id, a chain grows at its tail and then at its head by the nearest
     end within the tolerance; a piece is turned so that its near end comes first. The
     order of joining matters, so a style of a drawing is worked on as a whole, as the
-    drawing it belongs to would be. Closed pieces pass as they are.
+    drawing it belongs to would be. Closed pieces pass as they are. With `own_cell` only
+    ends whose coordinates round to the same cell meet, so near ends of two cells do not.
     """
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +134,9 @@ def join_chains(pieces: DataFrame, tolerance: float) -> DataFrame:
         paths = [[(p["x"], p["y"]) for p in v] for v in part["verts"]]
         shut = part["closed"].tolist()
         ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        cell = lambda p: (math.floor(p[0] / tolerance), math.floor(p[1] / tolerance))
+        whole = round if own_cell else math.floor
+        reach = (0,) if own_cell else (-1, 0, 1)
+        cell = lambda p: (whole(p[0] / tolerance), whole(p[1] / tolerance))
         for i, path in enumerate(paths):
             if not shut[i]:
                 for side in (0, -1):
@@ -124,7 +145,7 @@ def join_chains(pieces: DataFrame, tolerance: float) -> DataFrame:
 
         def nearest(p: tuple[float, float]) -> tuple[int, int] | None:
             cx, cy = cell(p)
-            found = [(math.dist(p, paths[i][side]), ids[i], i, side) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for i, side in ends.get((cx + dx, cy + dy), ()) if free[i]]
+            found = [(math.dist(p, paths[i][side]), ids[i], i, side) for dx in reach for dy in reach for i, side in ends.get((cx + dx, cy + dy), ()) if free[i]]
             found = [f for f in found if f[0] <= tolerance]
             return min(found)[2:] if found else None
 

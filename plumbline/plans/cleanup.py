@@ -47,7 +47,13 @@ def q_smart_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.join_chains(_pieces(spark, sf_dir), 0.5)
 
 
-QUERIES = [q_ring_issues, q_issue_markers, q_dedup_paths, q_near_twin_pairs, q_smart_join]
+def q_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pieces stay, and how many are too short, duplicates or near twins."""
+    p = _pieces(spark, sf_dir).withColumn("style", F.concat_ws("/", F.col("drawing").cast("string"), "style"))
+    return P.run_counters(p, 1.5, 2.0)
+
+
+QUERIES = [q_ring_issues, q_issue_markers, q_dedup_paths, q_near_twin_pairs, q_smart_join, q_run_counters]
 
 _DIST = lambda a, b: f"sqrt(pow({a}x - {b}x, 2) + pow({a}y - {b}y, 2))"
 _ISSUES = f"""ve AS (SELECT v.ring_id, v.i, v.n, v.x, v.y, r.closed FROM vert v JOIN ring r USING (ring_id)),

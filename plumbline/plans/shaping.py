@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import strings as S
+from ..operators import selection as E
 from ..operators.banding import anchor, filled_bands, islands, strict_bands
 from ..session import table
 from . import views as V
@@ -108,7 +110,31 @@ def q_attr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("up", upper).select("event_id", *merged)
 
 
-QUERIES = [q_band_strict, q_band_fill, q_band_nested, q_misc_last, q_norm_strings, q_handle_extract, q_name_match_tiered, q_name_similarity_top5, q_props_json, q_attr_merge]
+def q_round_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as circles of 64 points and as arcs of 33, which run backwards where they end before their start."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("r"), (F.col("p_partkey") % 7).cast("double").alias("a"), (F.col("p_partkey") % 5).cast("double").alias("b"))
+    zero = F.lit(0.0)
+    both = p.select("p_partkey", F.explode(F.array(F.struct(F.lit("circle").alias("kind"), G.circle_samples(zero, zero, F.col("r")).alias("v")), F.struct(F.lit("arc").alias("kind"), G.arc_samples(zero, zero, F.col("r"), F.col("a"), F.col("b")).alias("v")))).alias("s"))
+    points = both.select("p_partkey", "s.kind", F.posexplode("s.v").alias("i", "p"))
+    return points.select("p_partkey", "kind", "i", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+# Types that stand for line numbers, from 1, in q_entity_filters.
+_TYPES = ["LINE", "TEXT", "HATCH", "DIMENSION", "ARC", "INSERT", "LEADER"]
+
+
+def q_entity_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by type: drawn ones, ones that give features, and selected ones."""
+    e = table(spark, sf_dir, "lineitem").select(F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("l_linenumber") % 7 + 1).cast("int")).alias("etype"), F.when(F.col("l_returnflag") == "R", F.lit("DIM")).otherwise(F.lit("WALL")).alias("layer"))
+    parts = [("drawn", E.drawn(e)), ("featured", E.featured(e)), ("selected", E.selected(e, ["LINE", "ARC"]))]
+    out = None
+    for name, df in parts:
+        one = df.groupBy("etype").agg(F.count(F.lit(1)).alias("n")).withColumn("filter", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = [q_band_strict, q_band_fill, q_band_nested, q_misc_last, q_norm_strings, q_handle_extract, q_name_match_tiered, q_name_similarity_top5, q_props_json, q_attr_merge, q_round_samples, q_entity_filters]
 
 
 def _band_sql(source: str, value: str) -> str:
@@ -119,6 +145,9 @@ SELECT user_id, {value} AS value, min(row_ord) AS first, max(row_ord) AS last, c
 
 
 _FORBIDDEN = "[<>:\"/\\\\|?*]"
+# Three places, without a negative zero.
+_THREE = lambda x: f"CASE WHEN abs({x}) < 0.0005 THEN 0.0::DOUBLE ELSE round({x}, 3) END"
+
 SQL = {
     "q_band_strict": _band_sql("SELECT *, event_type AS label FROM ev", "label"),
     "q_band_fill": _band_sql("SELECT * FROM (SELECT user_id, row_ord, last_value(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY row_ord) AS label FROM ev) WHERE label IS NOT NULL", "label"),
@@ -151,4 +180,11 @@ s AS (SELECT name, other, least(greatest(points / 200.0::DOUBLE, 0), 1) AS simil
 SELECT name, other, similarity, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, other)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
     "q_props_json": "SELECT event_type, count(CAST(props->>'k' AS BIGINT)) AS n, sum(CAST(props->>'k' AS BIGINT))::BIGINT AS total, max(CAST(props->>'k' AS BIGINT)) AS largest FROM events GROUP BY event_type",
     "q_attr_merge": "SELECT event_id, coalesce(nullif(props->>'k', ''), '0') AS k, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE coalesce(nullif(event_type, ''), 'none') END AS kind, 'matt' AS finish FROM events",
+    "q_round_samples": f"""SELECT p_partkey, kind, i, {_THREE("p_size * cos(t)")} AS x, {_THREE("p_size * sin(t)")} AS y FROM (
+  SELECT p_partkey, p_size, 'circle' AS kind, i::INTEGER AS i, i * (2 * pi() / 64) AS t FROM part, range(64) c(i)
+  UNION ALL SELECT p_partkey, p_size, 'arc', i::INTEGER, p_partkey % 7 + (p_partkey % 5 - p_partkey % 7) * (i / 32.0::DOUBLE) FROM part, range(33) a(i))""",
+    "q_entity_filters": f"""WITH e AS (SELECT ({_TYPES!r})[l_linenumber % 7 + 1] AS etype, CASE WHEN l_returnflag = 'R' THEN 'DIM' ELSE 'WALL' END AS layer FROM lineitem)
+SELECT etype, count(*) AS n, 'drawn' AS filter FROM e WHERE etype NOT IN ('TEXT', 'MTEXT', 'DIMENSION') AND layer <> 'DIM' GROUP BY etype
+UNION ALL SELECT etype, count(*), 'featured' FROM e WHERE etype NOT IN ('TEXT', 'HATCH', 'DIMENSION', 'LEADER') GROUP BY etype
+UNION ALL SELECT etype, count(*), 'selected' FROM e WHERE etype IN ('LINE', 'ARC') GROUP BY etype""",
 }

@@ -25,7 +25,15 @@ def report(rows: DataFrame, columns: list[str] = DETAIL, places: int = 2) -> Dat
     return rows.select(*((text(c) if c in kinds else F.lit("")).alias(c) for c in columns))
 
 
-def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows with the columns that readers know, by another name; names that rows lacks are passed over."""
+    return rows.withColumnsRenamed({k: v for k, v in names.items() if k in rows.columns})
+
+
+def write_csv(rows: DataFrame, path: str, mode: str = "overwrite", mark: bool = False) -> None:
+    """CSV files with a header; with `mark` each begins with a byte-order mark, as its header does."""
+    if mark:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
     rows.write.mode(mode).option("header", True).option("encoding", "UTF-8").option("emptyValue", "").csv(path)
 
 
@@ -50,3 +58,16 @@ def drop_columns(rows: DataFrame, *names: str) -> DataFrame:
     plain = lambda s: " ".join(s.lower().split())
     gone = {plain(n) for n in names}
     return rows.drop(*(c for c in rows.columns if plain(c) in gone))
+
+
+def write_csv_by_drawing(rows: DataFrame, path: str, drawing: str = "drawing") -> None:
+    """A folder of CSV for each drawing, file=<stem>_raw_extract; a large drawing may have several files."""
+    stem = F.regexp_extract(drawing, r"([^/]*?)(\.[^./]*)?$", 1)
+    rows.withColumn("file", F.concat(stem, F.lit("_raw_extract"))).write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+
+
+def write_tabs(rows: DataFrame, path: str, replace: bool = True) -> None:
+    """Two tabs: detail rows replace the first or are appended to it, layer rows overwrite the second."""
+    detail, summary = split_classes(rows)
+    write_sheet(detail, f"{path}/detail", replace)
+    write_sheet(summary, f"{path}/summary")
