@@ -598,6 +598,17 @@ def test_pipeline(spark, tmp_path):
     assert sum("[SECRET]" in t for t in kept["secret_scan"].values()) == 1 and not any("0123456789abcdef" in t for t in kept["secret_scan"].values())
     rows = cp.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} == set(kept["secret_scan"])
+    from tokenizers import Tokenizer
+
+    ref, places = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for r in rows:  # all of them are shorter than a sequence, so each is one piece
+        ids = np.array([*ref.encode(kept["secret_scan"][r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+        assert (r["piece"], r["start"], r["length"], r["ids_crc32"]) == (0, 0, len(ids), zlib.crc32(ids.tobytes()))
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        ends = [0, *np.cumsum([length for _, length in sorted(held)])]
+        assert [offset for offset, _ in sorted(held)] == ends[:-1] and ends[-1] <= 4096
+    assert len(places) == -(-sum(r["length"] for r in rows) // 4096)
 
 
 @pytest.mark.parametrize("name", ["op1_warc_bundles", "op3_quality_rules", "op5_benchmark_decontamination", "op6_chat_formatting", "op9_jaccard_join"])
