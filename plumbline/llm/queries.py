@@ -92,7 +92,27 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, build(docs, learn=~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-_QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_secret_scan, op9_jaccard_join, op10_lm_scoring]
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge, write_array
+
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    array = write_array(spark.createDataFrame(rules, "host string, path string, verdict string"), shared_folder(spark, "urls"))
+    return judge(table(spark, sf_dir, "pages"), array)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import report
+
+    return report(table(spark, sf_dir, "embeddings"), most=8)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, report
+
+    return report(damaged(table(spark, sf_dir, "conversations")))
+
+
+_QUERIES = [op1_warc_bundles, op2_best_fit_packing, op3_quality_rules, op4_token_files, op5_benchmark_decontamination, op6_chat_formatting, op7_toxicity, op8_secret_scan, op9_jaccard_join, op10_lm_scoring, op11_url_filter, op12_embedding_whitening, op13_conversation_repair]
 
 
 def _shipped(query):
