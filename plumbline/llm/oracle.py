@@ -83,4 +83,49 @@ r AS (SELECT doc_id, doc_id AS component FROM w UNION SELECT e.b, r.component FR
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(component) FROM r WHERE r.doc_id = w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
-SQL = {"op9_jaccard_join": _OP9, "op1_warc_bundles": _OP1, "op6_chat_formatting": _OP6, "op3_quality_rules": _OP3, "op5_benchmark_decontamination": _OP5}
+_OP11 = r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+r AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT k, max_by(rules.host || rules.path, length(rules.host || rules.path)) AS rule, max_by(verdict, length(rules.host || rules.path)) AS verdict
+  FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.k = f.k
+"""
+
+#: States: 0 start, 1 after system, 2 after user, 3 after assistant. Costs and strings are kept together, the least for each state after each row.
+_OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: list_reduce(range(8), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS h
+  FROM conversations),
+e AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended FROM e),
+r AS (SELECT *, left(role, 1) AS c, CASE WHEN ended = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+fill(q, k, q2) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+edit(q, letter, needs, cost, q2) AS (VALUES (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 2), (1, 'K', 'u', 0, 2), (2, 'K', 'a', 0, 3), (3, 'K', 'u', 0, 2), (0, 'R', '', 1, 2), (1, 'R', '', 1, 2), (2, 'R', '', 1, 3), (3, 'R', '', 1, 2), (0, 'D', '', 2, 0), (1, 'D', '', 2, 1), (2, 'D', '', 2, 2), (3, 'D', '', 2, 3)),
+move AS (SELECT f.q, repeat('I', k) || letter AS letters, letter, needs, 5 * k + cost AS cost, e.q2 AS to_q FROM fill f JOIN edit e ON f.q2 = e.q),
+step AS (
+  SELECT DISTINCT conv_id, 1::BIGINT AS i, 0 AS q, {'c': 0::BIGINT, 'a': ''} AS best FROM conversations
+  UNION ALL
+  SELECT s.conv_id, s.i + 1, m.to_q, min({'c': s.best.c + m.cost + CASE WHEN m.letter <> 'D' AND r.fault = 'truncated' THEN 5 ELSE 0 END, 'a': s.best.a || m.letters})
+  FROM step s JOIN r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.i = r.i JOIN move m ON m.q = s.q AND (m.needs = '' OR m.needs = r.c) AND (m.letter = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY s.conv_id, s.i, m.to_q),
+ends AS (SELECT conv_id, max(i) AS i FROM step GROUP BY conv_id),
+best AS (SELECT s.conv_id, min({'c': best.c + 5 * k, 'a': best.a || repeat('I', k)}) AS b FROM step s JOIN ends ON s.conv_id IS NOT DISTINCT FROM ends.conv_id AND s.i = ends.i JOIN fill f ON f.q = s.q WHERE f.q2 IN (0, 3) GROUP BY s.conv_id),
+letters AS (SELECT conv_id, b.a AS a, unnest(range(1, length(b.a) + 1)) AS j FROM best),
+walk AS (SELECT conv_id, j, substr(a, j, 1) AS letter, length(replace(left(a, j), 'I', '')) AS i FROM letters),
+said AS (SELECT w.conv_id, j, letter, r.role, r.c, r.text, row_number() OVER (PARTITION BY w.conv_id ORDER BY j) AS n FROM walk w LEFT JOIN r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = r.i WHERE letter <> 'D'),
+first AS (SELECT conv_id, bool_or(n = 1 AND letter = 'K' AND c = 's') AS led FROM said GROUP BY conv_id),
+lines AS (SELECT s.conv_id, n, CASE WHEN letter = 'K' THEN role WHEN (n + led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END AS line FROM said s JOIN first f ON s.conv_id IS NOT DISTINCT FROM f.conv_id),
+whole AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY n)) AS sha FROM lines GROUP BY conv_id),
+pairs AS (SELECT conv_id, c || coalesce(lead(c) OVER (PARTITION BY conv_id ORDER BY i), '-') AS p, i, max(i) OVER (PARTITION BY conv_id) AS n FROM r),
+illegal AS (SELECT conv_id, count(*) FILTER (i < n AND p NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM r GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  b.b.c::BIGINT AS cost, b.b.a AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN illegal x ON b.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN whole w ON b.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+SQL = {"op9_jaccard_join": _OP9, "op1_warc_bundles": _OP1, "op6_chat_formatting": _OP6, "op3_quality_rules": _OP3, "op5_benchmark_decontamination": _OP5, "op11_url_filter": _OP11, "op13_conversation_repair": _OP13}

@@ -27,8 +27,8 @@ from .common import releasing, shuffle_width, stored
 
 #: Vectors in a block, and bits of a slice: twice the bits and those of the block's size are within a double's 53.
 BLOCK, SLICE = 1024, 21
-#: Slices of a centred value: 63 bits below the largest of its dimension in the block.
-SLICES = 3
+#: Slices of a centred value: 105 bits below the largest of its dimension in the block.
+SLICES = 5
 #: Entries that 1024 * c + 100000 takes out of 63 bits count as not finite.
 LARGEST = 2.0**52
 
@@ -64,14 +64,15 @@ class Products:
         for i in range(1, SLICES + 1):
             grain = 2.0 ** (SLICE * i - 1)
             part = np.rint(rest * grain) / grain
-            rest = rest - part
-            if i == SLICES - 1:
-                rest = rest + tail  # what is left of high has few bits here
+            rest, tail = two_sum(rest - part, tail)
             slices.append(part)
         grid = scale[:, None] * scale[None, :]
         for i, a in enumerate(slices):
-            for j, b in enumerate(slices[: SLICES - i]):
-                self.high, self.low = add(self.high, self.low, (a.T @ b) * grid)
+            for j in range(i, SLICES - i):
+                exact = (a.T @ slices[j]) * grid
+                self.high, self.low = add(self.high, self.low, exact)
+                if j > i:
+                    self.high, self.low = add(self.high, self.low, exact.T)
 
 
 # ---------------------------------------------------------------- passes
@@ -179,7 +180,7 @@ def quantised(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     double = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     sound = F.forall(double, lambda c: c.isNotNull() & (F.abs(c * 1024) <= LARGEST) & ~F.isnan(c))
-    whole = F.transform(double, lambda c: F.floor(c * 1024) + 100000)
+    whole = F.transform(double, lambda c: F.floor(F.when(F.abs(c * 1024) <= LARGEST, c * 1024)) + 100000)
     return embeddings.where(F.col(vector_col).isNotNull() & sound).select(F.col(id_col).alias("id"), whole.alias("vector"))
 
 
