@@ -3,10 +3,10 @@
 Three patterns find base spans; character Markov models add stretches that look drawn
 at random. The models are first-order transition tables over one alphabet: one for
 ordinary identifiers and words, and one for each kind of random strings, counted by a
-query over labelled samples. In a run of at least 12 characters, the stretch whose
-summed log-likelihood ratio is highest, for the kind that suits it best, is a secret
-where the sum exceeds a threshold; it is widened to whole letters-and-digits. So a key
-behind an ordinary path is found, and a long word adds up to nothing.
+query over labelled samples. A run of at least 12 characters is cut at its separators
+into parts, each with the summed log-likelihood ratio of the kind that suits it best.
+All stretches of parts whose sum exceeds a threshold are secrets. So each key in a
+path is found, the words between keys stay, and a long word adds up to nothing.
 
 Spark has no function for the places of matches. Splitting a text by the pattern
 gives the gaps between matches, and running sums of gap and match lengths give
@@ -52,8 +52,12 @@ OTHER_WORDS = (
 ).split()
 #: Labelled samples of each kind that the models are trained on.
 SAMPLES = 4000
-#: Characters of the shortest stretch, and nats by which it must look more random than ordinary.
-LEAST, THRESHOLD = 12, 16.0
+#: Characters of the shortest stretch, separators at its ends aside.
+LEAST = 10
+#: Nats by which a stretch must look more random than ordinary: one with a digit, a capital behind a small letter or a part of capitals, and any other, as ordinary words are written.
+THRESHOLD, LETTERS = 9.0, 16.0
+#: Nats that a stretch's sum may fall below its best before it is closed; less than either threshold.
+CLOSING = 8.0
 ORDINARY = "ordinary"
 
 
@@ -125,39 +129,68 @@ def train(samples: DataFrame) -> list[list[float]]:
     return out
 
 
-_STRETCH = "struct<best:double,s:int,e:int>"
-
-
-def stretch(run: Column, model: list[Column]) -> Column:
-    """(best, s, e): the characters [s, e) of a run whose transitions' log-ratios have the highest sum, and that sum, over all kinds.
-
-    Of equal sums the earliest kind's, and in it the first to end, counts; without a
-    positive sum best is 0.
-    """
+def part_value(part: Column, model: list[Column], threshold: Column) -> Column:
+    """How much more random than ordinary letters and digits look: the sum of their transitions' log-ratios, for the kind that suits best; where a stretch inside exceeds the threshold, that stretch's sum if it is more."""
     size = len(ALPHABET) + 1
-    start = F.struct(*(F.lit(x).cast(t).alias(k) for k, t, x in (("cur", "double", 0), ("at", "int", 0), ("best", "double", 0), ("s", "int", 0), ("e", "int", 0), ("i", "int", 0))))
+    start = F.struct(*(F.lit(0.0).alias(k) for k in ("all", "cur", "best")))
 
     def step(t: Column, x: Column) -> Column:
-        on = t["cur"] > 0
-        cur, at = F.when(on, t["cur"] + x).otherwise(x), F.when(on, t["at"]).otherwise(t["i"])
-        better = cur > t["best"]
-        return F.struct(cur.alias("cur"), at.alias("at"), F.when(better, cur).otherwise(t["best"]).alias("best"), F.when(better, at).otherwise(t["s"]).alias("s"), F.when(better, t["i"] + 2).otherwise(t["e"]).alias("e"), (t["i"] + 1).alias("i"))
+        cur = F.greatest(t["cur"], F.lit(0.0)) + x
+        return F.struct((t["all"] + x).alias("all"), cur.alias("cur"), F.greatest(t["best"], cur).alias("best"))
 
-    def one(codes: Column, table: Column) -> Column:
-        steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(table, a * size + b + 1))
-        return F.aggregate(steps, start, step, lambda t: F.struct(t["best"], t["s"], t["e"]))
+    def one(places: Column, table: Column) -> Column:
+        return F.aggregate(F.transform(places, lambda p: F.element_at(table, p)), start, step, lambda t: F.when(t["best"] > threshold, F.greatest(t["all"], t["best"])).otherwise(t["all"]))
 
     def best(codes: Column) -> Column:
-        return F.aggregate(F.array(*(one(codes, t) for t in model)), F.lit(None).cast(_STRETCH), lambda a, b: F.when(a.isNull() | (b["best"] > a["best"]), b).otherwise(a))
+        places = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: a * size + b + 1)
+        return _let(places, lambda p: F.array_max(F.array(*(one(p, t) for t in model))))
+
+    return F.when(F.length(part) < 2, F.lit(0.0)).otherwise(_let(F.transform(F.split(part, ""), lambda c: F.instr(F.lit(ALPHABET), c)), best))
+
+
+_PLACES = "array<struct<s:int,e:int>>"
 
-    return _let(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c)), best)
 
+def stretches(run: Column, model: list[Column], threshold: float = THRESHOLD, letters: float = LETTERS) -> Column:
+    """All stretches (s, e) of a run's characters that look random, in order.
+
+    A run is letters and digits with separators between. A stretch begins and ends
+    with parts that add to its sum, so ordinary words at its ends stay outside. It is
+    closed where its sum has fallen by CLOSING below its best, as that is less than
+    the threshold, nothing that exceeds it is passed over. A part of hexadecimal
+    digits beside a hyphen adds nothing but isn't ordinary: identifiers in groups stay
+    whole. Equals signs behind a stretch belong to it.
+    """
+    limit = lambda mix: F.when(mix, F.lit(float(threshold))).otherwise(F.lit(float(letters)))
+    mixed = "[0-9]|[a-z][A-Z]|^[A-Z]+$"
+    digits = "^[0-9a-f]*[0-9][0-9a-f]*$|^[0-9A-F]*[0-9][0-9A-F]*$"
+
+    def valued(items: Column) -> Column:
+        beside = lambda i: F.coalesce(F.get(items, i - 1) == "-", F.lit(False)) | F.coalesce(F.get(items, i + 1) == "-", F.lit(False))
+        value = lambda x, i: _let(part_value(x, model, limit(x.rlike(mixed))), lambda v: F.when(x.rlike(digits) & beside(i), F.greatest(v, F.lit(0.01))).otherwise(v))
+        return F.transform(items, lambda x, i: F.struct(F.length(x).alias("n"), F.when(x.rlike("^[A-Za-z0-9]"), value(x, i)).alias("v"), x.rlike(mixed).alias("mix")))
+
+    none, nothing = F.array().cast(_PLACES), F.array().cast(f"array<{_PLACES}>")
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0.0).alias("cur"), F.lit(0).alias("at"), F.lit(0.0).alias("best"), F.lit(0).alias("e"), F.lit(False).alias("mix"), F.lit(False).alias("held"), none.alias("out"), nothing.alias("full"))
+
+    def added(t: Column) -> Column:
+        good = (t["best"] > limit(t["held"])) & (t["e"] - t["at"] >= LEAST)
+        return F.when(good, F.concat(t["out"], F.array(F.struct(t["at"].alias("s"), t["e"].alias("e"))))).otherwise(t["out"])
+
+    def step(t: Column, x: Column) -> Column:
+        sum_, pos = t["cur"] + x["v"], t["pos"] + x["n"]
+        on = t["cur"] > 0
+        close = on & ((sum_ <= 0) | (sum_ < t["best"] - CLOSING))
+        idle = F.struct(pos.alias("pos"), *(t[k].alias(k) for k in ("cur", "at", "best", "e", "mix", "held", "out", "full")))
+        many = F.size(t["out"]) >= 256  # full lists are set aside, so that they aren't copied for each new entry
+        shut = F.struct(pos.alias("pos"), F.lit(0.0).alias("cur"), pos.alias("at"), F.lit(0.0).alias("best"), pos.alias("e"), F.lit(False).alias("mix"), F.lit(False).alias("held"), F.when(many, none).otherwise(added(t)).alias("out"), F.when(many, F.concat(t["full"], F.array(added(t)))).otherwise(t["full"]).alias("full"))
+        fresh = F.struct(pos.alias("pos"), x["v"].alias("cur"), t["pos"].alias("at"), F.greatest(x["v"], F.lit(0.0)).alias("best"), pos.alias("e"), x["mix"].alias("mix"), x["mix"].alias("held"), t["out"].alias("out"), t["full"].alias("full"))
+        more = F.struct(pos.alias("pos"), sum_.alias("cur"), t["at"].alias("at"), F.greatest(sum_, t["best"]).alias("best"), F.when(sum_ > t["best"], pos).otherwise(t["e"]).alias("e"), (t["mix"] | x["mix"]).alias("mix"), F.when(sum_ > t["best"], t["mix"] | x["mix"]).otherwise(t["held"]).alias("held"), t["out"].alias("out"), t["full"].alias("full"))
+        return F.when(x["v"].isNull(), idle).when(close, shut).when(on, more).otherwise(fresh)
 
-def widened(run: Column, found: Column) -> Column:
-    """(s, e) of a stretch with the letters and digits that touch it."""
-    before = F.length(F.regexp_extract(F.substring(run, F.lit(1), found["s"]), "[A-Za-z0-9]*$", 0))
-    after = F.length(F.regexp_extract(F.substring(run, found["e"] + 1, F.length(run)), "^[A-Za-z0-9]*=*", 0))
-    return F.struct((found["s"] - before).alias("s"), (found["e"] + after).alias("e"))
+    found = F.aggregate(_let(F.regexp_extract_all(run, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0)), valued), start, step, lambda t: F.concat(F.flatten(t["full"]), added(t)))
+    tail = lambda f: F.length(F.regexp_extract(F.substring(run, f["e"] + 1, F.length(run)), "^=*", 0))
+    return F.transform(found, lambda f: F.struct(f["s"].alias("s"), (f["e"] + tail(f)).alias("e")))
 
 
 def model_column(table: list[float]) -> Column:
@@ -213,18 +246,18 @@ def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
     return F.when(text.rlike(pattern), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
-def _random_spans(text: Column, model: list[Column], threshold: float) -> Column:
-    """Spans of stretches that look random, one for each run at most, in order."""
+def _random_spans(text: Column, model: list[Column], threshold: float, letters: float) -> Column:
+    """Spans of all stretches that look random, in order."""
 
     def judged(x: Column) -> Column:
-        run = x["m"]
-        return _let(stretch(run, model), lambda f: F.when(f["best"] > threshold, _let(widened(run, f), lambda w: F.struct((x["s"] + w["s"]).alias("start"), F.lit(len(BASE)).alias("ord"), (x["s"] + w["e"]).alias("end"), F.lit("random").alias("kind")))))
+        span = lambda f: F.struct((x["s"] + f["s"]).alias("start"), F.lit(len(BASE)).alias("ord"), (x["s"] + f["e"]).alias("end"), F.lit("random").alias("kind"))
+        return F.transform(stretches(x["m"], model, threshold, letters), span)
 
-    found = F.filter(F.transform(_matches(text, RUN, 0), judged), lambda s: s["end"] - s["start"] >= LEAST)
+    found = F.flatten(F.transform(F.filter(_matches(text, RUN, 0), lambda x: x["m"].isNotNull()), judged))
     return F.when(text.rlike(RUN), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
-def with_spans(docs: DataFrame, model: list[list[float]], threshold: float = THRESHOLD, text_col: str = "text", base_col: str = "base_spans", all_col: str = "spans") -> DataFrame:
+def with_spans(docs: DataFrame, model: list[list[float]], threshold: float = THRESHOLD, letters: float = LETTERS, text_col: str = "text", base_col: str = "base_spans", all_col: str = "spans") -> DataFrame:
     """docs with two arrays of (start, ord, end, kind): base spans, and those with the models' spans, each in order.
 
     A null or empty text has none. Other columns stay as they are; base_col and
@@ -234,7 +267,7 @@ def with_spans(docs: DataFrame, model: list[list[float]], threshold: float = THR
     if {base_col, all_col} & set(docs.columns):
         raise ValueError(f"{base_col} and {all_col} must be new names")
     one = docs.withColumn(base_col, F.array_sort(F.concat(*(_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE)))))
-    found = _random_spans(text, [model_column(t) for t in model], threshold) if model else F.array().cast(_SPAN)
+    found = _random_spans(text, [model_column(t) for t in model], threshold, letters) if model else F.array().cast(_SPAN)
 
     def fresh(every: Column) -> Column:  # a base span that begins no later stands before a stretch
         reach = _peaks(F.transform(every, lambda s: F.when(s["ord"] < len(BASE), s["end"]).otherwise(F.lit(0).cast("long"))))
@@ -266,7 +299,7 @@ def _pieces(text: Column, spans: Column) -> Column:
     return _let(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / block).cast("int")), lambda b: F.substring(text, b * block + 1, F.lit(block))), cut)
 
 
-def redact(docs: DataFrame, model: list[list[float]], mark: str = "[SECRET]", threshold: float = THRESHOLD, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, model: list[list[float]], mark: str = "[SECRET]", threshold: float = THRESHOLD, letters: float = LETTERS, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with each stretch of spans replaced by a mark; all other columns stay, but for a text's new length in chars_col.
 
     Null and empty texts stay as they are; repeated rows are kept.
@@ -275,7 +308,7 @@ def redact(docs: DataFrame, model: list[list[float]], mark: str = "[SECRET]", th
     base, every = "_base_spans", "_every_span"
     while base in columns or every in columns:
         base, every = base + "_", every + "_"
-    out = with_spans(docs, model, threshold, text_col, base, every).withColumn(text_col, F.when(F.size(every) > 0, F.array_join(_pieces(F.col(text_col), F.col(every)), mark)).otherwise(F.col(text_col)))
+    out = with_spans(docs, model, threshold, letters, text_col, base, every).withColumn(text_col, F.when(F.size(every) > 0, F.array_join(_pieces(F.col(text_col), F.col(every)), mark)).otherwise(F.col(text_col)))
     if chars_col in columns:
         kind = docs.schema[chars_col].dataType
         out = out.withColumn(chars_col, F.when(F.size(every) > 0, F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))

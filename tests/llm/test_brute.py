@@ -302,27 +302,102 @@ BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x
 RUN8 = re.compile("[A-Za-z0-9+/_.-]{12,}={0,2}")
 
 
+def brute_stretches(run, model, S):
+    """The stretches (s, e) of a run, by plain loops over its parts."""
+    size = len(S.ALPHABET) + 1
+
+    def value(part, limit):
+        found = []
+        for table in model:
+            codes = [S.ALPHABET.find(c) + 1 for c in part]
+            steps = [table[a * size + b] for a, b in zip(codes, codes[1:])]
+            inner = max((sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1)), default=0.0) if len(part) < 100 else 0.0
+            found.append(max(sum(steps), inner) if inner > limit else sum(steps))
+        return max(found) if len(part) > 1 else 0.0
+
+    limit = lambda mix: S.THRESHOLD if mix else S.LETTERS
+    items = [(m.start(), m[0]) for m in re.finditer("[A-Za-z0-9]+|[^A-Za-z0-9]+", run)]
+    out, now = [], []  # now: (start, end, sum up to here, whether mixed) of the parts of an open stretch
+
+    def close():
+        if now:
+            k = max(range(len(now)), key=lambda i: (now[i][2], -i))
+            mix = any(x[3] for x in now[: k + 1])
+            if now[k][2] > limit(mix) and now[k][1] - now[0][0] >= S.LEAST:
+                out.append((now[0][0], now[k][1] + len(re.match("=*", run[now[k][1] :])[0])))
+        now.clear()
+
+    for i, (at, item) in enumerate(items):
+        if not item[0].isalnum():
+            continue
+        mix = bool(re.search("[0-9]|[a-z][A-Z]|^[A-Z]+$", item))
+        v = value(item, limit(mix))
+        if "-" in (items[i - 1][1] if i else "", items[i + 1][1] if i + 1 < len(items) else "") and re.search("^[0-9a-f]*[0-9][0-9a-f]*$|^[0-9A-F]*[0-9][0-9A-F]*$", item):
+            v = max(v, 0.01)
+        total = now[-1][2] + v if now else v
+        if now and (total <= 0 or total < max(x[2] for x in now) - S.CLOSING):
+            close()
+        elif now or v > 0:
+            now.append((at, at + len(item), total, mix))
+    close()
+    return out
+
+
 def brute_spans(text, model, S):
     """(base spans, all spans) of a text as (start, ord, end, kind), by plain loops."""
     base = sorted((m.start(), k, m.end(), name) for k, (name, p, g, least) in enumerate(BASE) for m in p.finditer(text) if len(m.group(g)) >= least)
-    found, size = [], len(S.ALPHABET) + 1
-    for m in RUN8.finditer(text):
-        code, best = [S.ALPHABET.find(c) + 1 for c in m[0]], (0.0, 0, 0)
-        for table in model:
-            own, cur, at = (0.0, 0, 0), 0.0, 0
-            for i, (a, b) in enumerate(zip(code, code[1:])):
-                x = table[a * size + b]
-                cur, at = (cur + x, at) if cur > 0 else (x, i)
-                if cur > own[0]:
-                    own = (cur, at, i + 2)
-            best = own if own[0] > best[0] else best
-        if best[0] > S.THRESHOLD:
-            s = best[1] - len(re.search("[A-Za-z0-9]*$", m[0][: best[1]])[0])
-            e = best[2] + len(re.match("[A-Za-z0-9]*=*", m[0][best[2] :])[0])
-            span = (m.start() + s, 3, m.start() + e, "random")
-            if e - s >= 12 and not any(x[0] <= span[0] and span[2] <= x[2] for x in base):
-                found.append(span)
-    return base, sorted(base + found)
+    found = [(m.start() + s, 3, m.start() + e, "random") for m in RUN8.finditer(text) for s, e in brute_stretches(m[0], model, S)]
+    return base, sorted(base + [x for x in found if not any(y[0] <= x[0] and x[2] <= y[2] for y in base)])
+
+
+K1, K2, K3 = "zQ8kLmX93vBnR7tYpWc2", "hT5wQ9xKd2mVb8RfJ4sN", "pLx7Yc3Vn9Bq2Wk6Tz8M"
+
+
+@pytest.mark.parametrize(
+    "run, found",
+    [
+        (f"{K1}/the/ordinary/path/and/page/{K2}", [K1, K2]),
+        (f"{K1}.customer-account-and-number.{K2}", [K1, K2]),
+        (f"customer/{K1}/orders/reference/customer/account/{K2}", [K1, K2]),
+        (f"{K1}/customer/orders/{K2}/reference/account/{K3}/index.html", [K1, K2, K3]),
+        (f"a/{K1}/{K2}/{K3}/index.html", [f"{K1}/{K2}/{K3}"]),
+        ("550e8400-e29b-41d4-a716-446655440000", ["550e8400-e29b-41d4-a716-446655440000"]),
+        ("/files/00000000-e29b-41d4-a716-446655440000.html", ["00000000-e29b-41d4-a716-446655440000"]),
+        ("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"]),
+        ("Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA==", ["Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA=="]),
+        ("2024-03-12-report-final", []),
+        ("/home/projects/customer/account/readme.html", []),
+        ("/".join([K1, "customer/account/reference"] * 700), [K1] * 700),
+    ],
+)
+def test_every_secret_of_a_run(spark, run, found):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import secrets as S
+
+    model = S.train(S.labelled_samples(spark))
+    row = spark.createDataFrame([(run,)], "t string").select(S.stretches(F.col("t"), [S.model_column(t) for t in model]).alias("s")).first()
+    assert [run[x["s"] : x["e"]] for x in row["s"]] == found
+    assert [(x["s"], x["e"]) for x in row["s"]] == brute_stretches(run, model, S)
+
+
+def test_secret_recall(spark):
+    """At least nine of ten random strings of each alphabet and length, but for twelve small letters alone; no ordinary string."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import secrets as S
+
+    rng = random.Random(1)
+    letters = S.ALPHABET[:26]
+    alphabets = {"upper": letters.upper(), "lower and digits": letters + "0123456789", "upper and digits": letters.upper() + "0123456789", "base62": S.ALPHABET[:62], "base64": S.ALPHABET[:64], "base32": letters.upper() + "234567", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF"}
+    rows = [(f"{a} {n}", "".join(rng.choice(cs) for _ in range(n))) for a, cs in alphabets.items() for n in (12, 16, 24) for _ in range(200)]
+    rows += [(f"lower {n}", "".join(rng.choice(letters) for _ in range(n))) for n in (20, 24) for _ in range(200)]
+    model = [S.model_column(t) for t in S.train(S.labelled_samples(spark))]
+    found = F.size(S.stretches(F.col("t"), model)) > 0
+    recall = {r["k"]: r["r"] for r in spark.createDataFrame(rows, "k string, t string").groupBy("k").agg(F.avg(found.cast("int")).alias("r")).collect()}
+    assert len(recall) == 26 and min(recall.values()) >= 0.9, recall
+    plain = S.labelled_samples(spark).where("kind = 'ordinary'").withColumn("t", F.col("text"))
+    assert plain.where(found).count() == 0
 
 
 def test_secrets(spark):
