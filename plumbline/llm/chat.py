@@ -3,8 +3,9 @@
 A template is any function from a list of (role, text) to a string. Successive
 prefixes of a conversation are rendered; where an output extends the one before,
 the new part is the new turn's span. A template that changes what it has written
-is detected. Inside each span, two probe texts show what stands before and after the
-text. Prefixes are whole, so a template may look at all its history; the work grows
+is detected. Inside each learned span, two probe texts of the text's own length show
+what stands before and after it; where the span disagrees with that, the text itself is
+looked for, and what can't be told is an error. Prefixes are whole, so a template may look at all its history; the work grows
 with the square of a conversation's turns. A template that is declared stateless is
 rendered after its latest turns alone, and a conversation of any length streams.
 """
@@ -38,6 +39,10 @@ class HistoryRewritten(ValueError):
     """The template changed text that it had rendered for earlier turns."""
 
 
+class FrameUnclear(ValueError):
+    """What the template writes around a text depends on the text, and the text isn't found as it stands either."""
+
+
 def escape(text: str) -> str:
     """A backslash before each backslash, number sign and closing mark: what is left bare is the template's own."""
     return _ESCAPE.sub(lambda m: "\\" + m[0], text)
@@ -92,8 +97,8 @@ class Incremental:
         self.turns: list[Turn] = []
         self.last = template([])
 
-    def add(self, role: str, text: str) -> tuple[str, int, int]:
-        """(new text, place in it where the turn's text begins, place where it ends)."""
+    def add(self, role: str, text: str, learned: bool = True) -> tuple[str, int, int]:
+        """(new text, place in it where the turn's text begins, place where it ends); an empty span where the text isn't learned."""
         if self.stateless and len(self.turns) >= self.whole:
             self.turns = self.turns[-self.kept :]
             self.last = self.template(self.turns)
@@ -101,12 +106,29 @@ class Incremental:
         now = self.template([*self.turns, (role, text)])
         if not now.startswith(before):
             raise HistoryRewritten(f"rendered text changes from code point {common_prefix(before, now)} on when turn {len(self.turns)} is added")
-        a, b = (self.template([*self.turns, (role, probe)])[len(before) :] for probe in ("a", "b"))
-        head, tail = common_prefix(a, b), common_prefix(a[::-1], b[::-1])
+        new = now[len(before) :]
+        start, end = self._place(before, role, text, new) if learned else (0, 0)
         self.turns.append((role, text))
         self.last = now
-        new = now[len(before) :]
-        return new, head, len(new) - tail
+        return new, start, end
+
+    def _place(self, before: str, role: str, text: str, new: str) -> tuple[int, int]:
+        """Where a turn's text stands in what the turn adds."""
+        a, b = (self.template([*self.turns, (role, probe * max(1, len(text)))]) for probe in "ab")
+        if a.startswith(before) and b.startswith(before):
+            a, b = a[len(before) :], b[len(before) :]
+            head = common_prefix(a, b)
+            tail = common_prefix(a[head:][::-1], b[head:][::-1])
+            inner = a[head : len(a) - tail], b[head : len(b) - tail]
+            apart = len(inner[0]) == len(inner[1]) and not any(x == y for x, y in zip(*inner))  # else the text is written in pieces
+            if apart and inner[0] and head + tail <= len(new) and new.startswith(a[:head]) and new.endswith(a[len(a) - tail :]):
+                return (head, len(new) - tail) if text else (head, head)
+        if not text:
+            return len(new), len(new)
+        found = new.find(text)
+        if found < 0 or new.find(text, found + 1) >= 0:
+            raise FrameUnclear(f"turn {len(self.turns)}: what stands around the text depends on it")
+        return found, found + len(text)
 
 
 _CHUNK = "chunk int, text string, turns array<struct<role:string,start:long,end:long,loss_start:long,loss_end:long>>, last boolean"
@@ -118,7 +140,8 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, lea
     turns has each turn's span in the chunk, and for roles in `learn` the span of
     its text, which is the loss mask (else an empty span). Rows go by turn, then
     role and text; null roles and texts are empty; a null id is a conversation of
-    its own. An empty table gives nothing. Other columns play no part. stateless is
+    its own. A very long text is rendered whole, three times where it is learned. An
+    empty table gives nothing. Other columns play no part. stateless is
     for templates that Incremental's docstring describes; others see all their history.
     """
     kind = rows.schema[id_col].dataType.simpleString()
@@ -149,9 +172,8 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, lea
                     parts, size = [state.last], len(state.last)  # what stands before the first turn
                 if len(turns) >= CHUNK_TURNS or size >= CHUNK_CHARS:
                     close(False)
-                new, a, b = state.add(role, text)
-                masked = role in learn
-                turns.append({"role": role, "start": size, "end": size + len(new), "loss_start": size + a if masked else size, "loss_end": size + b if masked else size})
+                new, a, b = state.add(role, text, role in learn)
+                turns.append({"role": role, "start": size, "end": size + len(new), "loss_start": size + a, "loss_end": size + b})
                 parts.append(new)
                 size += len(new)
             if out:

@@ -269,6 +269,63 @@ def test_late_rewriting_is_found():
             state.add("user", f"t{i}")
 
 
+def _masks(template, turns, **options):
+    from plumbline.llm.chat import Incremental
+
+    state, out = Incremental(template, **options), []
+    for role, text in turns:
+        new, start, end = state.add(role, text)
+        assert 0 <= start <= end <= len(new)
+        out.append(new[start:end])
+    return out
+
+
+SAID = ["hello world ok", "", "it's", 'say "no"', "a", "b", "aa", "ab" * 40, " lead and trail \n", "x" * 9, "x" * 10, "<end>", "1"]
+
+
+@pytest.mark.parametrize(
+    "write, want",
+    [
+        (lambda r, t: f"<{len(t)}> {t}", lambda t: t),  # by length
+        (lambda r, t: f"<{len(t.split())} words> {t}\n", lambda t: t),
+        (lambda r, t: f"{r}: {t!r}\n", lambda t: repr(t)[1:-1]),  # quotes by content
+        (lambda r, t: f"{r}: {t.strip()}\n", str.strip),  # trims
+        (lambda r, t: f"{r}: {t}\n" if t else "", lambda t: t),  # skips empty turns
+        (lambda r, t: f"{t}<end>", lambda t: t),
+        (lambda r, t: t.upper(), str.upper),
+        (lambda r, t: f"a{t}b", lambda t: t),  # the probes' own letters
+    ],
+)
+def test_masks_of_many_templates(write, want):
+    turns = [("assistant" if i % 2 else "user", t) for i, t in enumerate(SAID * 2)]
+    assert _masks(lambda turns: "".join(write(r, t) for r, t in turns), turns) == [want(t) for _, t in turns]
+
+
+def test_unclear_frames_are_an_error():
+    from plumbline.llm.chat import FrameUnclear
+
+    with pytest.raises(FrameUnclear):  # the text twice
+        _masks(lambda turns: "".join(f"{t}|{t}\n" for _, t in turns), [("user", "hello")])
+    with pytest.raises(FrameUnclear):  # mirrored behind a count of its vowels
+        _masks(lambda turns: "".join(f"<{sum(c in 'eio' for c in t)}>{t[::-1]}" for _, t in turns), [("user", "hello")])
+
+
+def test_stateless_templates_stream():
+    from plumbline.llm.chat import marked_turns
+
+    calls = []
+
+    def template(turns):
+        calls.append(len(turns))
+        return marked_turns(turns)
+
+    turns = [("assistant" if i % 2 else "user", f"said # {i}") for i in range(500)]
+    whole = _masks(marked_turns, turns[:150])
+    assert _masks(template, turns, stateless=True)[:150] == whole and max(calls) <= 65
+    numbered = lambda turns: "".join(f"[{i}] {t}\n" for i, (_, t) in enumerate(turns))
+    assert _masks(numbered, turns) == [t for _, t in turns]
+
+
 # ---------------------------------------------------------------- 7
 def test_toxicity(spark):
     from plumbline.llm.toxicity import fold, score, train
