@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .session import ship_package
 
-_MODULES = ("quantities", "shaping", "matching", "spatial", "cleanup", "lookups", "drawings")
+_MODULES = ("quantities", "shaping", "matching", "spatial", "cleanup", "lookups", "drawings", "previews")
 
 
 def _modules():

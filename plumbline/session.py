@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 
@@ -52,6 +53,24 @@ def ship_package(spark: SparkSession) -> None:
     context._plumbline_shipped = True
 
 
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the folder that spark.checkpoint.dir names: computed once, survives lost executors, cuts lineage.
+
+    Without that setting a local session gets a temporary folder; on a cluster it is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="plumbline-kept-")
+        context.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/plumbline/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
