@@ -255,9 +255,9 @@ def test_drawing_source(spark, tmp_path):
 
 def test_deep_inserts(spark):
     def drawing(n, last):
-        insert = lambda i, block, name: ("d", 0, block, i, f"H{i}", "INSERT", "0", name, "", 0, 0, False, (1.0, 0.0), None, None, None, None, 0.0, 1.0, 1.0, None, None)
+        insert = lambda i, block, name: ("d", 0, block, i, f"H{i}", "INSERT", "0", name, "", 0, 0, False, (1.0, 0.0), None, None, None, None, 0.0, 1.0, 1.0, None, None, *[None] * 9)
         rows = [insert(0, None, "B1"), *(insert(i, f"B{i}", f"B{i + 1}") for i in range(1, n))]
-        line = ("d", 0, f"B{n}", n, "L", "LINE", "0", "", "", 0, 0, False, (0.0, 0.0), (1.0, 1.0), None, None, None, 0.0, 1.0, 1.0, None, None)
+        line = ("d", 0, f"B{n}", n, "L", "LINE", "0", "", "", 0, 0, False, (0.0, 0.0), (1.0, 1.0), None, None, None, 0.0, 1.0, 1.0, None, None, *[None] * 9)
         return spark.createDataFrame([*rows, line, *([insert(n + 1, f"B{n}", last)] if last else [])], dxf.SCHEMA)
 
     (line,) = dxf.explode_inserts(drawing(6, None)).collect()
@@ -419,14 +419,18 @@ def test_report_of_a_drawing(spark, tmp_path):
     (tmp_path / "a.dxf").write_text(text)
     e = read_drawings(spark, str(tmp_path))
     zones = D.planner_zones(e).collect()
-    assert [(z["zone"], len(z["poly"])) for z in zones] == [("AREA", 4)]
-    rows = {(r["entity_type"], r["boq_name"], r["zone"]): r for r in D.report(e, "m").collect()}
-    assert set(rows) == {("INSERT", "ROUND", "AREA"), ("INSERT", "ROUND", ""), ("LAYER", "L", ""), ("LAYER", "P", "")}
-    one = rows["INSERT", "ROUND", "AREA"]
-    assert (one["qty_value"], one["length"], one["width"]) == (2.0, 10.0, 10.0)
-    line = rows["LAYER", "L", ""]
-    assert line["length"] == pytest.approx(5 + 2 * 3.14159265 * 5 * 20 / 360, abs=1e-3) and line["perimeter"] == pytest.approx(6.2832, abs=1e-3) and line["area"] == pytest.approx(3.1416, abs=1e-3)
-    assert line["preview"] == "#FF0000" and (rows["LAYER", "P", ""]["perimeter"], rows["LAYER", "P", ""]["area"]) == (16.0, 16.0)
+    assert [(z["zone"], [(p["x"], p["y"]) for p in z["poly"]]) for z in zones] == [("AREA", [(-10, -10), (10, -10), (10, 10), (-10, 10)])]
+    rows = {(r["entity_type"], r["category"], r["zone"], r["remarks"][:4]): r for r in D.report(e, "m").collect()}
+    assert set(rows) == {("INSERT", "PLANNER", "AREA", "aggr"), ("INSERT", "PLANNER", "", "aggr"), ("LAYER_SUMMARY", "L", "", "OPEN"), ("LAYER_SUMMARY", "L", "", "CLOS"), ("LAYER_SUMMARY", "P", "", "CLOS")}
+    one = rows["INSERT", "PLANNER", "AREA", "aggr"]
+    assert (one["boq_name"], one["category1"], one["qty_value"], one["length"], one["width"], one["remarks"]) == ("ROUND", "a", 2.0, 10.0, 10.0, "aggregated 2 inserts")
+    line, ring = rows["LAYER_SUMMARY", "L", "", "OPEN"], rows["LAYER_SUMMARY", "L", "", "CLOS"]
+    assert line["length"] == pytest.approx(5 + 2 * 3.14159265 * 5 * 20 / 360, abs=1e-3) and ring["perimeter"] == pytest.approx(6.2832, abs=1e-3) and ring["area"] == pytest.approx(3.1416, abs=1e-3)
+    square = rows["LAYER_SUMMARY", "P", "", "CLOS"]
+    assert line["preview"] == "#FF0000" and (square["perimeter"], square["area"], square["length"], square["width"]) == (16.0, 16.0, 4.0, 4.0)
+    by = D.report(e, "m", aggregated=False, combined=True, references=True).collect()
+    assert sorted((r["boq_name"], r["category"], r["zone"]) for r in by if r["entity_type"] == "INSERT") == [("ROUND", "A", ""), ("ROUND", "PLANNER", "AREA"), ("ROUND", "PLANNER", "AREA"), ("X|Y", "A", "")]
+    assert {(r["category"], round(r["length"], 3), r["width"]) for r in by if r["category"] == "P"} == {("P", 16.0, 16.0)}
 
 
 def test_palette_follows_its_rule():
