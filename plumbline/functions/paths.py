@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PATH = "array<struct<x:double,y:double>>"
 
@@ -86,6 +87,80 @@ def spline(points: list[tuple[float, float]], degree: int = 3):
     return at
 
 
+def crossings(x: np.ndarray, y: np.ndarray, edge: float = 1e-9, tiny: float = 1e-12) -> np.ndarray:
+    """Points (a row each) where two edges of a closed ring that aren't neighbours cross strictly inside both.
+
+    A line sweeps over the edges by their least x. Its status are bands of y, as many
+    as the root of the number of edges, each with the edges that it has met and not yet
+    left; an edge meets those in its own bands whose extents it shares. Edges that
+    share two bands meet in the higher one's first. So the work grows with the edges
+    that lie near each other, and not with the square of the ring.
+    """
+    n = len(x)
+    ax, ay, bx, by = x, y, np.roll(x, -1), np.roll(y, -1)
+    left, right, low, high = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
+    bands = max(1, int(n**0.5))
+    tall = float(high.max() - low.min()) or 1.0
+    band = lambda v: np.minimum(((v - low.min()) / tall * bands).astype(int), bands - 1)
+    first, last = band(low).tolist(), band(high).tolist()
+    status: list[list[int]] = [[] for _ in range(bands)]
+    ends = right.tolist()
+    out: list[np.ndarray] = []
+    one: list[int] = []
+    two: list[int] = []
+
+    def test() -> None:
+        i, j = np.array(one, int), np.array(two, int)
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        keep = (low[i] <= high[j]) & (low[j] <= high[i]) & (i + 1 < j) & ~((i == 0) & (j == n - 1))
+        i, j = i[keep], j[keep]
+        rx, ry, sx, sy = bx[i] - ax[i], by[i] - ay[i], bx[j] - ax[j], by[j] - ay[j]
+        den = rx * sy - ry * sx
+        ok = np.abs(den) >= tiny
+        i, j, rx, ry, sx, sy, den = (v[ok] for v in (i, j, rx, ry, sx, sy, den))
+        t = ((ax[j] - ax[i]) * sy - (ay[j] - ay[i]) * sx) / den
+        u = ((ax[j] - ax[i]) * ry - (ay[j] - ay[i]) * rx) / den
+        hit = (t > edge) & (t < 1 - edge) & (u > edge) & (u < 1 - edge)
+        out.append(np.column_stack((ax[i] + t * rx, ay[i] + t * ry))[hit])
+        one.clear()
+        two.clear()
+
+    for k in np.argsort(left, kind="stable").tolist():
+        at = float(left[k])
+        for b in range(first[k], last[k] + 1):
+            held = status[b]
+            if held:
+                held[:] = [m for m in held if ends[m] >= at]
+                near = held if b == first[k] else [m for m in held if first[m] == b]
+                one += [k] * len(near)
+                two += near
+            held.append(k)
+        if len(one) > 1_000_000:
+            test()
+    test()
+    return np.concatenate(out)
+
+
+CROSSINGS = T.ArrayType(T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType()))
+
+
+def ring_crossings(verts: Column) -> Column:
+    """Where a closed ring crosses itself; null rings and those of three edges or fewer never do."""
+
+    @F.pandas_udf(CROSSINGS)
+    def run(rings: pd.Series) -> pd.Series:
+        found = []
+        for ring in rings:
+            if ring is None or len(ring) < 4:
+                found.append([])
+                continue
+            x, y = (np.array([v[k] for v in ring], float) for k in ("x", "y"))
+            found.append([{"x": p, "y": q} for p, q in crossings(x, y).tolist()])
+        return pd.Series(found)
+
+    return run(verts)
+
+
 def clean_vertices(verts: Column, closed: Column) -> Column:
     @F.pandas_udf(_PATH)
     def run(paths: pd.Series, shut: pd.Series) -> pd.Series:

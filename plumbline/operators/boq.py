@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import kept
 
 
 def upper_median(c: str) -> Column:
@@ -14,18 +17,39 @@ def upper_median(c: str) -> Column:
     return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
 
 
+def order_statistics(rows: DataFrame, keys: list[str], asked: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """(keys, one column for each name asked): exact order statistics of each group, however many values it has.
+
+    asked has for each name a numeric column and a function from the number of its
+    values in the group, nulls aside, to the place wanted, from 0. Null keys are a group
+    of their own; groups without any value have no row. Values are counted, sorted over
+    all tasks by ranges and stored; the counts of a group's ranges tell the range that
+    holds a place, and only that range is walked. So a group of any size is spread over
+    as many tasks as it fills ranges, and no row holds a group's values.
+    """
+    columns = sorted({c for c, _ in asked.values()})
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns)))
+    group = [*(f"_k{i}" for i in range(len(keys))), "_c"]
+    melted = rows.select(*(F.col(k).alias(g) for k, g in zip(keys, group)), each.alias("_m")).select(*group[:-1], F.col("_m.c").alias("_c"), F.col("_m.v").alias("_v")).where("_v IS NOT NULL")
+    counted = melted.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = kept(counted.repartitionByRange(*group, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
+    own = Window.partitionBy(*group)
+    so_far = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sizes.withColumns({"_upto": F.sum("_size").over(so_far), "_total": F.sum("_size").over(own)})
+    wanted = F.filter(F.array(*(F.struct(F.lit(name).alias("name"), F.when(F.col("_c") == c, place(F.col("_total"))).cast("long").alias("at")) for name, (c, place) in asked.items())), lambda w: (w["at"] < F.col("_upto")) & (w["at"] >= F.col("_upto") - F.col("_size")))
+    picks = sizes.select(*(F.col(g).alias(f"{g}_") for g in group), F.col("_part").alias("_part_"), (F.col("_upto") - F.col("_size")).alias("_before"), F.explode(wanted).alias("_w"))
+    same = F.col("_part") == F.col("_part_")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_"))
+    walk = Window.partitionBy(*group, "_part", "_w.name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ranges.join(picks, same).withColumn("_run", F.col("_before") + F.sum("_n").over(walk)).where("_run > _w.at AND _run - _n <= _w.at")
+    return found.groupBy(*group[:-1]).agg(*(F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in asked)).withColumnsRenamed(dict(zip(group, keys)))
+
+
 def upper_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Upper medians of several columns by counts of distinct values: no group's values are held in one row."""
-    out = None
-    for c in values:
-        counted = rows.groupBy(*keys, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        listed = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_l"), F.sum("_n").alias("_total"))
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at"))
-        half = F.floor(F.col("_total") / 2)
-        walked = F.aggregate("_l", start, lambda t, e: F.struct((t["seen"] + e["_n"]).alias("seen"), F.coalesce(t["at"], F.when(t["seen"] + e["_n"] > half, e["_v"])).alias("at")))
-        one = listed.select(*keys, walked["at"].alias(c))
-        out = one if out is None else out.join(one, keys)
-    return out
+    """(keys, values): the upper median of each column, element n // 2 of its sorted values; nulls don't count."""
+    return order_statistics(rows, keys, {c: (c, lambda n: F.floor(n / 2)) for c in values})
 
 
 def aggregate_inserts(inserts: DataFrame, zoned: bool = True) -> DataFrame:

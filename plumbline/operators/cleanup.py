@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import paths as P
+
+_ISSUES = "array<struct<kind:string,x:double,y:double>>"
 
 
 def ring_issues(rings: DataFrame, near: float = 1e-4, bend: float = 0.5) -> DataFrame:
@@ -19,26 +22,21 @@ def ring_issues(rings: DataFrame, near: float = 1e-4, bend: float = 0.5) -> Data
     than `bend` degrees, crossings of edges that aren't neighbours, and clockwise
     order. The same issue at the same place (to four decimals) counts once.
     """
-    n = F.size("verts")
-    first = F.col("verts")[0]
-    short = rings.where(n < 3).select("ring_id", F.lit("few").alias("kind"), first["x"].alias("x"), first["y"].alias("y"))
-    open_ = rings.where((n >= 3) & ~F.col("closed")).select("ring_id", F.lit("open").alias("kind"), first["x"].alias("x"), first["y"].alias("y"))
-    full = rings.where((n >= 3) & F.col("closed"))
-    pairs = full.select("ring_id", F.size("verts").alias("n"), F.posexplode(G.closed_pairs(F.col("verts"), F.lit(True))).alias("i", "p"))
-    close = pairs.where(G.distance(F.col("p.a"), F.col("p.b")) <= near).select("ring_id", F.lit("near_duplicate").alias("kind"), F.col("p.a.x").alias("x"), F.col("p.a.y").alias("y"))
-    turn = full.select("ring_id", F.explode(_corners(F.col("verts"))).alias("c"))
-    angle = G.vector_angle(F.col("c.b.x") - F.col("c.a.x"), F.col("c.b.y") - F.col("c.a.y"), F.col("c.c.x") - F.col("c.b.x"), F.col("c.c.y") - F.col("c.b.y"))
-    straight = turn.where((angle <= math.radians(bend)) & (G.distance(F.col("c.a"), F.col("c.b")) > near) & (G.distance(F.col("c.b"), F.col("c.c")) > near)).select("ring_id", F.lit("collinear").alias("kind"), F.col("c.b.x").alias("x"), F.col("c.b.y").alias("y"))
-    e = lambda df, s: df.select("ring_id", F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), F.col("p").alias(f"p{s}"))
-    # edges of one ring: as many pairs as a drawing's ring has, and bounded by it
-    both = e(pairs, "1").join(e(pairs, "2"), "ring_id").where("i1 + 1 < i2 AND NOT (i1 = 0 AND i2 = n1 - 1)")
-    cross = both.select("ring_id", G.crossing(F.col("p1.a"), F.col("p1.b"), F.col("p2.a"), F.col("p2.b")).alias("x")).where("x IS NOT NULL").select("ring_id", F.lit("self_intersection").alias("kind"), F.col("x.x").alias("x"), F.col("x.y").alias("y"))
-    c = G.centroid(F.col("verts"))
-    clockwise = full.where(G.signed_area(F.col("verts")) < 0).select("ring_id", F.lit("clockwise").alias("kind"), c["x"].alias("x"), c["y"].alias("y"))
-    out = short
-    for part in (open_, close, straight, cross, clockwise):
-        out = out.unionByName(part)
-    return out.select("ring_id", "kind", G.rounded(F.col("x")).alias("x"), G.rounded(F.col("y")).alias("y")).distinct()
+    n, first = F.size("verts"), F.col("verts")[0]
+    one = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    close = F.transform(F.filter(G.closed_pairs(F.col("verts"), F.lit(True)), lambda p: G.distance(p["a"], p["b"]) <= near), lambda p: one("near_duplicate", p["a"]["x"], p["a"]["y"]))
+    angle = lambda c: G.vector_angle(c["b"]["x"] - c["a"]["x"], c["b"]["y"] - c["a"]["y"], c["c"]["x"] - c["b"]["x"], c["c"]["y"] - c["b"]["y"])
+    flat = F.filter(_corners(F.col("verts")), lambda c: (angle(c) <= math.radians(bend)) & (G.distance(c["a"], c["b"]) > near) & (G.distance(c["b"], c["c"]) > near))
+    straight = F.transform(flat, lambda c: one("collinear", c["b"]["x"], c["b"]["y"]))
+    cross = F.transform("_cross", lambda p: one("self_intersection", p["x"], p["y"]))
+    middle = G.centroid(F.col("verts"))
+    clockwise = F.when(G.signed_area(F.col("verts")) < 0, F.array(one("clockwise", middle["x"], middle["y"]))).otherwise(F.array().cast(_ISSUES))
+    full = F.concat(close, straight, cross, clockwise)
+    found = F.when(n < 3, F.array(one("few", first["x"], first["y"]))).when(~F.col("closed"), F.array(one("open", first["x"], first["y"]))).otherwise(full)
+    # Only whole rings are swept; all issues come from one pass over them.
+    swept = rings.select("ring_id", "closed", "verts", P.ring_crossings(F.when((n >= 3) & F.col("closed"), F.col("verts"))).alias("_cross"))
+    out = swept.select("ring_id", F.explode(found).alias("i"))
+    return out.select("ring_id", "i.kind", G.rounded(F.col("i.x")).alias("x"), G.rounded(F.col("i.y")).alias("y")).distinct()
 
 
 def _corners(verts: Column) -> Column:

@@ -278,5 +278,9 @@ def layer_rows(entities: DataFrame, target: str = "ft", combined: bool = False)
 
 
 def report(entities: DataFrame, target: str = "ft", aggregated: bool = True, combined: bool = False, references: bool = False) -> DataFrame:
-    """The bill of quantities of each drawing, in its order: rows of inserts, then of layers, as insert_rows() and layer_rows() give them."""
+    """The bill of quantities of each drawing, in its order: rows of inserts, then of layers, as insert_rows() and layer_rows() give them.
+
+    Entities are stored first, so that files are read and parsed once for all steps.
+    """
+    entities = kept(entities, "entities")
     return insert_rows(entities, target, aggregated, references).unionByName(layer_rows(entities, target, combined)).orderBy("drawing", *boq.boq_order(), "remarks")

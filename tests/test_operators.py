@@ -438,3 +438,47 @@ def test_palette_follows_its_rule():
 
     p = palette()
     assert len(p) == 256 and p[1] == (255, 0, 0) and p[10] == (255, 0, 0) and p[11] == (255, 127, 127) and p[20] == (255, 63, 0) and p[255] == (255, 255, 255)
+
+
+def test_order_statistics(spark):
+    import random
+
+    from plumbline.operators import boq
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.choice([None, 1.0, 2.5, rng.random(), -rng.random()]), rng.choice([7, 8, None])) for _ in range(500)]
+    rows += [("huge", float(i * 7919 % 4001), None) for i in range(4001)] + [("none", None, None), ("one", 3.0, 3)]
+    table = spark.createDataFrame(rows, "k string, v double, w int").repartition(5)
+    asked = {"least": ("v", lambda n: F.lit(0)), "mid": ("v", lambda n: F.floor(n / 2)), "most": ("v", lambda n: n - 1), "w": ("w", lambda n: F.floor(n / 2))}
+    got = {r["k"]: tuple(r)[1:] for r in boq.order_statistics(table, ["k"], asked).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        v, w = (sorted(x for x in (r[i] for r in rows if r[0] == k) if x is not None) for i in (1, 2))
+        if v or w:
+            want[k] = (v[0] if v else None, v[len(v) // 2] if v else None, v[-1] if v else None, float(w[len(w) // 2]) if w else None)
+    assert got == want
+    assert boq.order_statistics(table.limit(0), ["k"], asked).count() == 0
+
+
+def test_ring_crossings(spark):
+    import numpy as np
+
+    from plumbline.functions.paths import crossings
+
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        n = int(rng.integers(4, 30))
+        x, y = rng.integers(0, 8, n).astype(float), rng.integers(0, 8, n).astype(float)
+        y = y * 0 + 2 if k % 10 == 0 else y  # all on one line
+        want = []
+        for i in range(n):
+            for j in range(i + 2, n if i else n - 1):
+                a, b, c, d = ((x[m % n], y[m % n]) for m in (i, i + 1, j, j + 1))
+                rx, ry, sx, sy = b[0] - a[0], b[1] - a[1], d[0] - c[0], d[1] - c[1]
+                if den := rx * sy - ry * sx:
+                    t, u = ((c[0] - a[0]) * sy - (c[1] - a[1]) * sx) / den, ((c[0] - a[0]) * ry - (c[1] - a[1]) * rx) / den
+                    if 1e-9 < t < 1 - 1e-9 and 1e-9 < u < 1 - 1e-9:
+                        want.append((a[0] + t * rx, a[1] + t * ry))
+        assert sorted(map(tuple, crossings(x, y).tolist())) == sorted(want)
+    t = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    assert len(crossings(np.cos(t + 1e-4), np.sin(2 * t + 2e-4))) == 1  # an eight of many edges
