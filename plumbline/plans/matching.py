@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import similarity as C
 from ..functions import strings as S
+from ..operators import hamming as H
 from ..operators import matching as M
 from . import views as V
 from .views import r4
@@ -26,6 +27,13 @@ def q_hash_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.nearest_bits(h.where(F.col("vec_id") % EVERY == 0), h, 5).select("query", "candidate", "bits", G.rounded(C.hash_similarity(F.col("bits"), F.col("bits"))).alias("similarity"), "rank")
 
 
+def q_hash_topk_by_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the index of bands."""
+    h = V.hashes(spark, sf_dir)
+    found, _ = H.nearest_by_bands(h.where(F.col("vec_id") % EVERY == 0), h, 5)
+    return found.select("query", "candidate", "bits", G.rounded(C.hash_similarity(F.col("bits"), F.col("bits"))).alias("similarity"), "rank")
+
+
 def q_prefilter_top80(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.embeddings(spark, sf_dir)
     best = M.prefilter(e.where(F.col("owner") % EVERY == 0), e, 80)
@@ -145,7 +153,7 @@ def q_edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.unionByName(plan.select(F.lit("erase").alias("op"), F.col("ent_ord").alias("target"), F.lit(None).cast("string").alias("block"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")))
 
 
-QUERIES = [q_hash_topk, q_prefilter_top80, q_geom_features, q_geom_similarity, q_rank_candidates, q_fallback_rank, q_composite_top5, q_composite_with_fallback, q_match_map_json, q_circular_corr, q_ncc, q_edit_plan]
+QUERIES = [q_hash_topk, q_hash_topk_by_bands, q_prefilter_top80, q_geom_features, q_geom_similarity, q_rank_candidates, q_fallback_rank, q_composite_top5, q_composite_with_fallback, q_match_map_json, q_circular_corr, q_ncc, q_edit_plan]
 
 _DOT = lambda a, b: f"list_sum([p[1] * p[2] for p in list_zip({a}, {b})])"
 _PRE = f"""sims AS (SELECT q.owner AS query, m.owner, max(list_inner_product(q.vec, m.vec)) AS sim FROM emb q JOIN emb m ON q.owner % {EVERY} = 0 AND m.owner <> q.owner GROUP BY q.owner, m.owner),
@@ -200,3 +208,4 @@ SELECT vec_id, floor(max(r) * 100000 + 0.50001) / 100000.0::DOUBLE AS best FROM
 z AS (SELECT vec_id, k, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-9) AS x FROM e WINDOW w AS (PARTITION BY vec_id))
 SELECT a.vec_id, floor(sum(a.x * b.x) / 64 * 100000 + 0.50001) / 100000.0::DOUBLE AS ncc FROM z a JOIN z b ON b.vec_id = a.vec_id + 1 AND a.k = b.k GROUP BY a.vec_id""",
 }
+SQL["q_hash_topk_by_bands"] = SQL["q_hash_topk"]

@@ -8,12 +8,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def content_key(rows: DataFrame, **settings) -> str:
     """A digest of a table's rows, whatever their order, and of settings."""
@@ -41,6 +44,38 @@ def json_map(spark: SparkSession, path: str, entry: str) -> DataFrame:
     return parsed.select(F.regexp_replace(F.upper("key"), "^H", "").alias("key"), "value")
 
 
+class WatchedMap:
+    """A JSON map that is read anew when its file has changed, as its time and size tell: between the micro-batches of a stream, say.
+
+    entries() costs one look at the file's status. A file that isn't there gives no
+    entries, and neither does one that isn't a JSON object.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, entry: str):
+        self.spark, self.path, self.entry = spark, path, entry
+        self.state: tuple | None = None
+        self.loads = 0
+        self._rows: DataFrame | None = None
+
+    def _status(self) -> tuple | None:
+        context = self.spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = where.getFileSystem(context._jsc.hadoopConfiguration())
+        if not store.exists(where):
+            return None
+        status = store.getFileStatus(where)
+        return status.getModificationTime(), status.getLen()
+
+    def entries(self) -> DataFrame:
+        """(key, value), as json_map() gives them; a key that comes twice once it is normalised keeps one value."""
+        now = self._status()
+        if self._rows is None or now != self.state:
+            empty = self.spark.createDataFrame([], f"key string, value {self.entry}")
+            rows = empty if now is None else json_map(self.spark, self.path, self.entry).dropDuplicates(["key"])
+            self._rows, self.state, self.loads = kept(rows, "map"), now, self.loads + 1
+        return self._rows
+
+
 @dataclass(frozen=True)
 class MatchSettings:
     """Weights and limits of ranking."""
@@ -55,8 +90,9 @@ class MatchSettings:
 
 
 def settings(path: str | None = None, variable: str = "PLUMBLINE_SETTINGS") -> MatchSettings:
-    """From a JSON file: the path given, else that of the environment variable; else the defaults."""
-    path = path or os.environ.get(variable)
+    """From a JSON file: the path given, else that of the environment variable, else MatchConfig.json beside the program; else the defaults."""
+    beside = os.path.join(os.path.dirname(os.path.abspath(sys.argv[0] or ".")), "MatchConfig.json")
+    path = path or os.environ.get(variable) or beside
     if not path or not os.path.exists(path):
         return MatchSettings()
     with open(path, encoding="utf-8") as f:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..sources.caches import WatchedMap
+
 
 def watch(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
@@ -31,3 +33,18 @@ def keep_totals(rows: DataFrame, target: str, checkpoint: str, keys: list[str],
 
 def totals(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(target).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def keep_joined(rows: DataFrame, map_: WatchedMap, key: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Rows with the value that the map has for their key when their batch comes, below target; keys in upper case without a leading H, as the map's.
+
+    The map is looked at before each batch and read anew where its file has changed. A
+    batch that is tried again replaces its own part.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        own = F.regexp_replace(F.upper(F.col(key)), "^H", "")
+        entries = map_.entries().select(F.col("key").alias("_map_key"), F.col("value").alias("map_value"))
+        batch.join(entries, own == F.col("_map_key"), "left").drop("_map_key").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

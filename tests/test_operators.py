@@ -482,3 +482,55 @@ def test_ring_crossings(spark):
         assert sorted(map(tuple, crossings(x, y).tolist())) == sorted(want)
     t = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
     assert len(crossings(np.cos(t + 1e-4), np.sin(2 * t + 2e-4))) == 1  # an eight of many edges
+
+
+def test_nearest_words_by_bands(spark):
+    import random
+
+    from plumbline.operators import hamming as H
+    from plumbline.operators import matching as M
+
+    rng = random.Random(21)
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    words = [rng.getrandbits(64) for _ in range(60)]
+    words += [w ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for w in words[:30] for _ in range(3)] + [words[0]] * 3
+    rows = spark.createDataFrame([(i, signed(w)) for i, w in enumerate(words)], "vec_id long, word long")
+    queries = rows.where("vec_id % 4 = 0")
+    want = {(i, r, bits, j) for i in range(0, len(words), 4) for r, (bits, j) in enumerate(sorted((bin(words[i] ^ w).count("1"), j) for j, w in enumerate(words) if j != i)[:3], 1)}
+    for rounds in (0, 1, 3):
+        found, counts = H.nearest_by_bands(queries, rows, 3, rounds)
+        assert {(r["query"], r["rank"], r["bits"], r["candidate"]) for r in found.collect()} == want
+    assert counts["left"] < queries.count() and counts["round 0"] < counts["round 2"]
+    assert {(r["query"], r["rank"], r["bits"], r["candidate"]) for r in M.nearest_bits(queries, rows, 3).collect()} == want
+    none = rows.limit(0)
+    assert H.nearest_by_bands(none, rows, 3)[0].count() == H.nearest_by_bands(queries, none, 3)[0].count() == 0
+    few = H.nearest_by_bands(queries.where("vec_id = 0"), rows.where("vec_id IN (0, 5)"), 3)[0].collect()
+    assert [(r["query"], r["candidate"], r["rank"]) for r in few] == [(0, 5, 1)]
+
+
+def test_a_map_that_changes_between_batches(spark, tmp_path):
+    import json
+    import os
+
+    from plumbline.sources.caches import WatchedMap
+    from plumbline.streaming import inbox
+
+    path = tmp_path / "map.json"
+    watched = WatchedMap(spark, str(path), "string")
+    assert watched.entries().count() == 0
+    path.write_text(json.dumps({"h1a": "one", "2B": "two"}))
+    assert {tuple(r) for r in watched.entries().collect()} == {("1A", "one"), ("2B", "two")}
+    watched.entries()
+    assert watched.loads == 2
+    source = tmp_path / "in"
+    spark.createDataFrame([("H1A",), ("9",)], "handle string").write.parquet(str(source))
+    run = lambda: inbox.keep_joined(inbox.watch(spark, str(source), "handle string"), watched, "handle", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    run()
+    path.write_text(json.dumps({"1A": "three", "H9": "nine"}))
+    os.utime(path, (1, 1))
+    spark.createDataFrame([("1a",), ("9",)], "handle string").write.mode("append").parquet(str(source))
+    run()
+    out = {(r["batch"], r["handle"], r["map_value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out == {(0, "H1A", "one"), (0, "9", None), (1, "1a", "three"), (1, "9", "nine")}
+    path.write_text("not JSON")
+    assert watched.entries().count() == 0
