@@ -14,13 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, runs, stored, text_bytes
+from .common import filesystem, runs, shuffle_width, stored, text_bytes
 from .tokens import RUN, binaries, encoder, with_end
 
 SEQUENCE = 2048
 ROWS = 512  # sequences in a record batch
-#: Bytes of texts for each file, and tokens of a batch that is read back.
-FILE_BYTES, BATCH_TOKENS = 32 << 20, 1 << 20
+#: Bytes of texts for each file, at most about, and for those of a table that would leave tasks without work; tokens of a batch that is read back.
+FILE_BYTES, LEAST_BYTES, BATCH_TOKENS = 256 << 20, 1 << 20, 1 << 20
 
 
 def file_schema(width: str, sequence: int) -> pa.Schema:
@@ -103,7 +103,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": pa.array([done], pa.int64()), "n_tokens": pa.array([held], pa.int64())})
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = files or max(1, -(-text_bytes(source, "text") // FILE_BYTES))
+    size = text_bytes(source, "text")
+    n = files or max(1, -(-size // FILE_BYTES), min(shuffle_width(spark), -(-size // LEAST_BYTES)))
     # the hash splits many rows of one id over files
     dealt = source.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
     manifest = stored(dealt.mapInArrow(write, "part int, name string, n_docs long, n_tokens long"), "manifest")
