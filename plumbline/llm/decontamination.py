@@ -1,14 +1,15 @@
 """Benchmark decontamination: spans of training texts that occur in test items.
 
-Test items are collected into suffix automata of a bounded number of words. One
-automaton is broadcast; a larger set of items is written in blocks to the shared
-folder, and each task streams its texts past one block at a time.
+Test items are dealt to blocks of a bounded number of words, whose suffix automata
+tasks build and write to the shared folder. Each task streams its texts past all
+blocks and keeps those it has opened, as far as a bound on their bytes goes.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Finder
-from .common import Words, alnum_table, filesystem, releasing, runs, shared_folder
+from .common import CACHES, Words, alnum_table, filesystem, releasing, runs, shared_folder
 
 WINDOW = 10
-#: Words of test items in one automaton.
+#: Words of test items in one automaton, about.
 BLOCK_WORDS = 100_000
+#: Bytes of stored automata that a task keeps open; in memory they take a few times as much.
+KEPT_BYTES = 32 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same over characters, in either case.
+_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _item_words(text: str | None) -> list[str]:
@@ -29,49 +34,55 @@ def _item_words(text: str | None) -> list[str]:
     return [w.decode() for w in _WORD.findall(raw)]
 
 
-def _finders(items: DataFrame, window: int, block_words: int, id_col: str, text_col: str):
-    """A function that yields the blocks' finders on an executor."""
-    spark = items.sparkSession
-    blocks: list[list[tuple[str, list[str]]]] = [[]]
-    paths: list[str] = []
-    held, folder = 0, None
+class _Blocks:
+    """The finders of all blocks of items, over the shared folder; a task keeps the last ones it has opened, up to KEPT_BYTES of them."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def __call__(self):
+        for path in self.paths:
+            if path in _OPEN:
+                _OPEN.move_to_end(path)
+                yield _OPEN[path][0]
+                continue
+            fs, at = filesystem(path)
+            with fs.open_input_stream(at) as f:
+                raw = f.read()
+            finder = pickle.loads(raw)
+            _OPEN[path] = (finder, len(raw))
+            while len(_OPEN) > 1 and sum(n for _, n in _OPEN.values()) > KEPT_BYTES:
+                _OPEN.popitem(last=False)
+            yield finder
+
+
+_OPEN: OrderedDict[str, tuple[Finder, int]] = OrderedDict()
+CACHES.append(_OPEN.clear)
 
-    def flush() -> None:
-        nonlocal folder
-        folder = folder or shared_folder(spark, "items")
+
+def _finders(items: DataFrame, window: int, block_words: int, id_col: str, text_col: str) -> _Blocks:
+    """The finders of the items, built by tasks: items are dealt to blocks of about block_words words by a hash of their id and text, each once.
+
+    What reaches the driver is a path for each block.
+    """
+    spark = items.sparkSession
+    own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
+    words = F.size(F.regexp_extract_all("t", F.lit(_PATTERN), F.lit(0)))
+    total = own.agg(F.sum(words)).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    folder = shared_folder(spark, "items")
+
+    def build(group: pa.Table) -> pa.Table:
+        number = group.column("block")[0].as_py()
+        held = [(i, w) for i, t in sorted(zip(group.column("i").to_pylist(), group.column("t").to_pylist())) if (w := _item_words(t))]
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{len(paths):06d}.pickle") as out:
-            out.write(pickle.dumps(Finder(blocks.pop(), window)))
-        paths.append(f"{folder}/{len(paths):06d}.pickle")
-        blocks.append([])
-
-    for r in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        if words := _item_words(r["t"]):
-            if held and held + len(words) > block_words:
-                flush()
-                held = 0
-            blocks[-1].append(("null" if r["i"] is None else r["i"], words))
-            held += len(words)
-    if not paths:
-        one = spark.sparkContext.broadcast(pickle.dumps(Finder(blocks[0], window)))
-        kept: list[Finder] = []
-
-        def single():
-            if not kept:
-                kept.append(pickle.loads(one.value))
-            return kept
-
-        return single
-    flush()
-
-    def many():
-        for path in paths:
-            fs, at = filesystem(path)
-            with fs.open_input_file(at) as f:
-                yield pickle.loads(f.read())
+        with fs.open_output_stream(f"{root}/{number:06d}.pickle") as out:
+            out.write(pickle.dumps(Finder(held, window)))
+        return pa.table({"path": [f"{folder}/{number:06d}.pickle"]})
 
-    return many
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")).where(words > 0)
+    return _Blocks(sorted(r["path"] for r in dealt.groupBy("block").applyInArrow(build, "path string").collect()))
 
 
 def _found(finders, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
