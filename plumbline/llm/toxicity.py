@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Words, alnum_table, releasing, runs, stored
 
 ORDER = 6
+#: Bits of a letter's code: ORDER of them fit a 64-bit key.
+BITS = 10
 DISCOUNT = 0.75
 #: Evidence, in nats, from which a word counts as toxic by itself.
 CUT = 4.0
@@ -34,18 +36,20 @@ _PAD, _END = 1, 2
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, word of each): the n-gram that ends at each letter, and at the end, of each word, in 8 bits a letter.
+    """(keys, word of each): the n-gram that ends at each letter, and at the end, of each word, in BITS bits a letter.
 
-    Code points over 255 share the upper 128 codes by their remainder.
+    Code points up to 255 have codes of their own. All others share the codes above by
+    their remainder: letters of one alphabet, which lie close together, differ, and two
+    words of a large script are alike only where all their letters' remainders are.
     """
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     pad = "\x01" * (ORDER - 1)
     code = np.frombuffer((pad + ("\x02" + pad).join(words) + "\x02").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    code = np.where(code > 255, 128 + code % 128, code)
+    code = np.where(code > 255, 256 + code % ((1 << BITS) - 256), code)
     key = np.zeros(len(code), np.uint64)
     for k in range(ORDER):
-        key[k:] |= code[: len(code) - k] << np.uint64(8 * k)
+        key[k:] |= code[: len(code) - k] << np.uint64(BITS * k)
     real = code != _PAD
     owner = np.cumsum(code == _END) - (code == _END)
     return key[real], owner[real]
@@ -63,7 +67,7 @@ class Model:
         keys, owner = letters(words)
         distinct, at = np.unique(keys, return_inverse=True)
         value = np.zeros(len(distinct))
-        for table, ratio, shift in ((self.contexts, self.context_ratio, 8), (self.grams, self.gram_ratio, 0)):
+        for table, ratio, shift in ((self.contexts, self.context_ratio, BITS), (self.grams, self.gram_ratio, 0)):
             if len(table):
                 own = distinct >> np.uint64(shift)
                 place = np.minimum(np.searchsorted(table, own), len(table) - 1)
@@ -92,17 +96,17 @@ def fit_models(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discou
     if not n:
         empty = np.zeros(0, np.uint64)
         return Model(empty, np.zeros(0), empty, np.zeros(0))
-    shared = np.full(n, 1 / 256)
+    shared = np.full(n, 1 / (1 << BITS))
     distinct = keys
     for order in range(1, ORDER):  # continuation counts: each longer n-gram counts once
         longer = distinct_suffixes(keys, order + 1)
         gram, follows = np.unique(longer & _mask(order), return_counts=True)
-        context, first, kinds = np.unique(gram >> np.uint64(8), return_inverse=True, return_counts=True)
+        context, first, kinds = np.unique(gram >> np.uint64(BITS), return_inverse=True, return_counts=True)
         total = np.bincount(first, follows)
         at = np.searchsorted(gram, distinct & _mask(order))
         ctx = first[at]
         shared = np.maximum(follows[at] - discount, 0) / total[ctx] + discount * kinds[ctx] / total[ctx] * shared
-    context, ctx = np.unique(keys >> np.uint64(8), return_inverse=True)
+    context, ctx = np.unique(keys >> np.uint64(BITS), return_inverse=True)
     logs, back = [], []
     for count in (toxic, ordinary):
         total = np.bincount(ctx, count, len(context))
@@ -116,7 +120,7 @@ def fit_models(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discou
 
 
 def _mask(order: int) -> np.uint64:
-    return np.uint64((1 << 8 * order) - 1)
+    return np.uint64((1 << BITS * order) - 1)
 
 
 def distinct_suffixes(keys: np.ndarray, order: int) -> np.ndarray:

@@ -352,6 +352,86 @@ def test_toxicity(spark):
     assert 0 <= train(docs.limit(0), marks.limit(0)).score(np.zeros((1, 2)))[0] <= 1
 
 
+def plain_kneser_ney(words_by_class, order, discount, symbols):
+    """The log-probability of each letter after its context in either class, by the definition: interpolated, lower orders by continuation counts of both classes."""
+    pad = ("<",) * (order - 1)
+    grams = [Counter(), Counter()]
+    for c, words in enumerate(words_by_class):
+        for w in words:
+            full = (*pad, *w, ">")
+            for i in range(order - 1, len(full)):
+                grams[c][full[i - order + 1 : i + 1]] += 1
+    kinds = set(grams[0]) | set(grams[1])
+
+    def lower(context, letter, n):  # n: the order of this level
+        if n == 0:
+            return 1 / symbols
+        own = {g[-n - 1 :] for g in kinds}  # kinds of n-grams with one letter more before them
+        here = [g for g in own if g[1:n] == context]
+        follows = Counter(g[-1] for g in here)
+        total = len(here)
+        if not total:
+            return lower(context[1:], letter, n - 1)
+        return max(follows[letter] - discount, 0) / total + discount * len(follows) / total * lower(context[1:], letter, n - 1)
+
+    def top(c, gram):
+        context, letter = gram[:-1], gram[-1]
+        here = {g: k for g, k in grams[c].items() if g[:-1] == context}
+        total = sum(here.values())
+        rest = lower(context[1:], letter, order - 1)
+        return rest if not total else max(here.get(gram, 0) - discount, 0) / total + discount * len(here) / total * rest
+
+    return top
+
+
+def test_kneser_ney_is_what_its_definition_says():
+    from plumbline.llm import toxicity as T
+
+    rng = random.Random(3)
+    words = [["".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(40)] for _ in range(2)]
+    counts = [Counter(), Counter()]
+    for c in (0, 1):
+        for w in words[c]:
+            counts[c].update(T.letters([w])[0].tolist())
+    keys = np.array(sorted(set(counts[0]) | set(counts[1])), np.uint64)
+    model = T.fit_models(keys, *(np.array([counts[c][k] for k in keys.tolist()], float) for c in (0, 1)))
+    prob = plain_kneser_ney(words, T.ORDER, T.DISCOUNT, 1 << T.BITS)
+    pad = ("<",) * (T.ORDER - 1)
+    for w in ["abc", "a", "éab", "ccc", "zz", "abz", *words[0][:5], *words[1][:5]]:
+        full = (*pad, *w, ">")
+        grams = [full[i - T.ORDER + 1 : i + 1] for i in range(T.ORDER - 1, len(full))]
+        want = sum(math.log(prob(0, g)) - math.log(prob(1, g)) for g in grams)
+        assert abs(float(model.word_evidence([w])[0]) - want) < 1e-5  # the tables are 32-bit
+
+
+def test_letters_of_other_scripts_are_told_apart():
+    from plumbline.llm.toxicity import letters
+
+    for low, high in ((0x0, 0x100), (0x370, 0x400), (0x400, 0x500), (0x5D0, 0x5EB), (0x600, 0x700), (0x904, 0x97F), (0x3041, 0x30FF)):
+        own = [chr(c) for c in range(max(low, 3), high)]
+        assert len({letters([c])[0][0] for c in own}) == len(own)
+    latin = {letters([chr(c)])[0][0] for c in range(3, 256)}
+    assert not latin & {letters([chr(c)])[0][0] for c in range(256, 0x3000)}
+
+
+def test_toxic_words_of_other_scripts(spark):
+    from plumbline.llm.toxicity import fold, score, train
+
+    rng = random.Random(4)
+    syllables = ["при", "вет", "мир", "да", "слово", "το", "και", "για", "είναι", "这", "是", "我们", "的"]
+    rows = []
+    for i in range(500):
+        w = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(40)]
+        if i % 4 == 0:
+            for _ in range(4):
+                w[rng.randrange(40)] = rng.choice(["сволочь", "μαλάκας", "混蛋东西"])
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in score(docs, train(docs, docs.select("doc_id", "toxic"))).collect()}
+    held = [r["doc_id"] for r in docs.where(fold(docs["doc_id"]) == 2).collect()]
+    assert sum((got[i] >= 0.3) == (i % 4 == 0) for i in held) >= 0.95 * len(held)
+
+
 # ---------------------------------------------------------------- 8
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
 
