@@ -90,6 +90,6 @@ def dominant(rows: DataFrame, key: str, value: str, weight: str, order: str) ->
     return tied.groupBy(key).agg(F.min_by(value, "_first").alias(value), F.first("_top").alias("weight"))
 
 
-def boq_order() -> list[Column]:
-    """The report's order: category, zone, inserts before summaries, name."""
-    return [F.upper(F.trim(F.regexp_replace("category", r"\s+", " "))), F.lower("zone"), F.when(F.col("entity_type") == "INSERT", 0).otherwise(1), F.col("boq_name")]
+def boq_order(*after_zone: Column) -> list[Column]:
+    """The report's order: category, zone, what else is given, inserts before summaries, name."""
+    return [F.upper(F.trim(F.regexp_replace("category", r"\s+", " "))), F.lower("zone"), *after_zone, F.when(F.col("entity_type") == "INSERT", 0).otherwise(1), F.col("boq_name")]

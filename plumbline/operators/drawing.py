@@ -283,4 +283,4 @@ def report(entities: DataFrame, target: str = "ft", aggregated: bool = True, com
     Entities are stored first, so that files are read and parsed once for all steps.
     """
     entities = kept(entities, "entities")
-    return insert_rows(entities, target, aggregated, references).unionByName(layer_rows(entities, target, combined)).orderBy("drawing", *boq.boq_order(), "remarks")
+    return insert_rows(entities, target, aggregated, references).unionByName(layer_rows(entities, target, combined)).orderBy("drawing", *boq.boq_order(F.lower("category1")), "remarks")

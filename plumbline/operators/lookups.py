@@ -111,3 +111,20 @@ def keep_best(matches: DataFrame, key: str, score: str) -> DataFrame:
     rest = [c for c in matches.columns if c not in (key, score)]
     best = matches.groupBy(key).agg(F.min(F.struct(score, *rest)).alias("_b"))
     return best.select(key, *(F.col(f"_b.{c}").alias(c) for c in (score, *rest)))
+
+
+def merged_attributes(inserts: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tag, value): what a new insert of its definition has for each of the definition's tags.
+
+    inserts has (keys, definition, attribs), a map of tags to values; tags has
+    (definition, tag, default, constant), each tag once. A tag takes the old value of
+    that name, whatever its case, unless that is blank or the tag is constant; else the
+    default. Of old tags that differ in case alone, the last in order of their names
+    counts. Old tags that the definition lacks are dropped; an insert whose definition
+    has no tags gives no row.
+    """
+    old = F.array_sort(F.map_entries("attribs"))
+    found = F.filter(old, lambda a: F.upper(a["key"]) == F.upper(F.col("tag")))
+    value = F.nullif(F.try_element_at(found, F.lit(-1))["value"], F.lit(""))
+    joined = inserts.join(tags, "definition")
+    return joined.select(*keys, "tag", F.when(F.col("constant"), F.col("default")).otherwise(F.coalesce(value, "default")).alias("value"))

@@ -86,3 +86,14 @@ SELECT least(a || ' ' || b, b || ' ' || a) AS path, min(ring_id) AS first, count
     "q_near_twin_pairs": f"""WITH {V.VERTS}, {_PIECES} SELECT p.piece_id AS a, q.piece_id AS b, {r4(_HAUS)} AS gap FROM pc p JOIN pc q ON p.style = q.style AND p.piece_id < q.piece_id
 WHERE p.len > 0 AND q.len > 0 AND abs(p.len - q.len) <= 0.02::DOUBLE * greatest(p.len, q.len) AND {_HAUS} <= 1.5""",
 }
+_CELL = lambda c: f"floor({c} * 100 + 0.5)::BIGINT::VARCHAR"
+SQL["q_run_counters"] = f"""WITH RECURSIVE {V.VERTS}, {_PIECES},
+lg AS (SELECT *, {_CELL('ax')} || ',' || {_CELL('ay')} AS a, {_CELL('bx')} || ',' || {_CELL('by_')} AS b FROM pc WHERE len > 2.0),
+ft AS (SELECT style, least(a || ' ' || b, b || ' ' || a) AS path, min(piece_id) AS piece_id FROM lg GROUP BY ALL),
+fp AS (SELECT lg.* FROM lg WHERE piece_id IN (SELECT piece_id FROM ft)),
+tw AS (SELECT p.style, p.piece_id AS a, q.piece_id AS b FROM fp p JOIN fp q ON p.style = q.style AND p.piece_id < q.piece_id WHERE abs(p.len - q.len) <= 0.01::DOUBLE * greatest(p.len, q.len) AND {_HAUS} <= 1.5),
+bl AS (SELECT style, b, list(a) AS befores, row_number() OVER (PARTITION BY style ORDER BY b) AS k FROM tw GROUP BY style, b),
+r AS (SELECT DISTINCT style, 0::BIGINT AS k, []::VARCHAR[] AS dropped FROM bl
+  UNION ALL SELECT bl.style, bl.k, CASE WHEN len(list_filter(bl.befores, lambda x: NOT list_contains(r.dropped, x))) > 0 THEN list_append(r.dropped, bl.b) ELSE r.dropped END FROM r JOIN bl ON bl.style = r.style AND bl.k = r.k + 1),
+gone AS (SELECT coalesce(sum(n), 0) AS n FROM (SELECT style, max(len(dropped)) AS n FROM r GROUP BY style))
+SELECT (SELECT count(*) FROM ft) - gone.n::BIGINT AS created, (SELECT count(*) FROM lg) - (SELECT count(*) FROM ft) AS duplicates, gone.n::BIGINT AS twins, (SELECT count(*) FROM pc) - (SELECT count(*) FROM lg) AS short FROM gone"""

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import strings as S
 from ..operators import selection as E
 from ..operators.banding import anchor, filled_bands, islands, strict_bands
+from ..operators.lookups import merged_attributes
 from ..session import table
 from . import views as V
 
@@ -102,12 +103,13 @@ def q_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_attr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes of an old insert onto a new definition: by tag ignoring case, blanks take the definition's default."""
-    e = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("Kind"), F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.col("event_type"))).alias("attribs"))
-    upper = F.transform_keys("attribs", lambda k, _: F.upper(k))
-    defaults = {"K": "0", "KIND": "none", "FINISH": "matt"}
-    merged = [F.coalesce(F.nullif(F.try_element_at("up", F.lit(tag)), F.lit("")), F.lit(value)).alias(tag.lower()) for tag, value in defaults.items()]
-    return e.withColumn("up", upper).select("event_id", *merged)
+    """Attributes of old inserts onto new definitions: by tag ignoring case, blanks take the definition's default, constants stay the definition's."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("D"), F.col("user_id") % 5).alias("definition"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("Kind"), F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.col("event_type")), F.lit("Maker"), F.lit("any")).alias("attribs"))
+    # Each definition has tags of its own: a row each, with its default and whether it is constant.
+    one = lambda tag, default, constant: F.struct(F.lit(tag).alias("tag"), default.alias("default"), F.lit(constant).alias("constant"))
+    known = e.select("definition").distinct().where("definition <> 'D4'")
+    tags = known.select("definition", F.explode(F.array(one("K", F.lit("0"), False), one("KIND", F.concat(F.lit("none of "), "definition"), False), one("MAKER", F.col("definition"), True), one("FINISH", F.lit("matt"), False))).alias("t")).select("definition", "t.*")
+    return merged_attributes(e, tags, ["event_id"])
 
 
 def q_round_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,8 @@ p AS (SELECT a.name, b.name AS other, CASE WHEN lower(a.name) = lower(b.name) TH
 s AS (SELECT name, other, least(greatest(points / 200.0::DOUBLE, 0), 1) AS similarity FROM p)
 SELECT name, other, similarity, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, other)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
     "q_props_json": "SELECT event_type, count(CAST(props->>'k' AS BIGINT)) AS n, sum(CAST(props->>'k' AS BIGINT))::BIGINT AS total, max(CAST(props->>'k' AS BIGINT)) AS largest FROM events GROUP BY event_type",
-    "q_attr_merge": "SELECT event_id, coalesce(nullif(props->>'k', ''), '0') AS k, CASE WHEN event_id % 4 = 0 THEN 'none' ELSE coalesce(nullif(event_type, ''), 'none') END AS kind, 'matt' AS finish FROM events",
+    "q_attr_merge": """WITH e AS (SELECT event_id, 'D' || (user_id % 5) AS d, props->>'k' AS k, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS kind FROM events WHERE user_id % 5 <> 4)
+SELECT event_id, 'K' AS tag, coalesce(nullif(k, ''), '0') AS value FROM e UNION ALL SELECT event_id, 'KIND', coalesce(nullif(kind, ''), 'none of ' || d) FROM e UNION ALL SELECT event_id, 'MAKER', d FROM e UNION ALL SELECT event_id, 'FINISH', 'matt' FROM e""",
     "q_round_samples": f"""SELECT p_partkey, kind, i, {_THREE("p_size * cos(t)")} AS x, {_THREE("p_size * sin(t)")} AS y FROM (
   SELECT p_partkey, p_size, 'circle' AS kind, i::INTEGER AS i, i * (2 * pi() / 64) AS t FROM part, range(64) c(i)
   UNION ALL SELECT p_partkey, p_size, 'arc', i::INTEGER, p_partkey % 7 + (p_partkey % 5 - p_partkey % 7) * (i / 32.0::DOUBLE) FROM part, range(33) a(i))""",
