@@ -164,3 +164,28 @@ def test_zones_of_all_sizes(spark):
     got = {(r["i"], r["zone"]) for r in Z.leveled_pairs(p, z, ["drawing"]).collect()}
     inside = lambda x, y, r: r[0][0] < x < r[2][0] and r[0][1] < y < r[2][1]
     assert got == {(i, name) for d, i, x, y in points if x is not None for e, _, name, r in zones if d == e and inside(x, y, r)} and got
+
+
+def test_previews_of_blocks(spark, tmp_path):
+    import base64
+
+    import numpy as np
+
+    from plumbline.sources import images
+
+    line = (0, "LINE", 8, "0", 10, 0, 20, 0, 11, 10, 21, 0)
+    blocks = [(0, "BLOCK", 2, "ELL", 10, 0, 20, 0), line, (0, "LINE", 8, "0", 10, 0, 20, 0, 11, 0, 21, 5), (0, "TEXT", 8, "0", 10, 900, 20, 900, 1, "no"), (0, "ENDBLK",), (0, "BLOCK", 2, "NONE", 10, 0, 20, 0), (0, "ENDBLK",)]
+    inserts = [(0, "INSERT", 5, "1", 2, "ELL", 10, 70, 20, 0), (0, "INSERT", 5, "2", 2, "ELL", 10, 0, 20, 0, 41, -2, 42, 2), (0, "INSERT", 5, "3", 2, "ELL", 10, 5, 20, 5, 41, 9, 42, 1), (0, "INSERT", 5, "4", 2, "NONE", 10, 0, 20, 0)]
+    (tmp_path / "p.dxf").write_text(drawing(inserts, blocks))
+    e = dxf.read_drawings(spark, str(tmp_path))
+    cells = {}
+    for r in P.block_pixels(e).collect():
+        cells.setdefault((r["block_name"], r["mirrored"]), set()).add((r["y"], r["x"]))
+    assert set(cells) == {("ELL", False), ("ELL", True)}
+    near = lambda a, b: all(any((y + i, x + j) in b for i in (-1, 0, 1) for j in (-1, 0, 1)) for y, x in a)
+    assert near(cells["ELL", False], cells["ELL", True]) and near(cells["ELL", True], cells["ELL", False])
+    bill = P.with_previews(D.report(e, "m"), e).where("entity_type = 'INSERT'").collect()
+    shown = {r["boq_name"]: r["preview"] for r in bill}
+    assert shown["NONE"] is None
+    image = images.grey(base64.b64decode(shown["ELL"]))
+    assert image.shape == (256, 256) and set(zip(*map(list, np.nonzero(image == 0)))) == cells["ELL", False]
