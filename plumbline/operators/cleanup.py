@@ -65,24 +65,32 @@ def distinct_paths(paths: DataFrame, key: str, order: str) -> DataFrame:
 def twin_pairs(pieces: DataFrame, tolerance: float, share: float = 0.01) -> DataFrame:
     """Pairs (a < b) of pieces of one style whose lengths differ by less than a share and whose Hausdorff distance is within a tolerance.
 
-    Pieces meet in bands of the length's logarithm, so only pieces of like length are compared.
+    Pieces meet in bands of the length's logarithm and in cells of their box's lower
+    corner, which twins have within the tolerance, so only pieces of like length and
+    place are compared, however many a style has.
     """
     m = pieces.select("piece_id", "style", "verts", G.bounds(F.col("verts")).alias("box"), G.path_length(F.col("verts"), F.lit(False)).alias("len")).where("len > 0")
     band = F.floor(F.ln("len") / math.log1p(2 * share))
-    left = m.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    right = m.withColumn("band", band)
-    l, r = (lambda df, s: df.select("style", "band", *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "box", "len"))))(left, "1"), (lambda df, s: df.select("style", "band", *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "box", "len"))))(right, "2")
-    near = l.join(r, ["style", "band"]).where("piece_id1 < piece_id2").where(F.abs(F.col("len1") - F.col("len2")) <= share * F.greatest("len1", "len2"))
+    cell, slack = 4 * max(tolerance, 1e-6), tolerance + 1e-9
+    at = lambda axis, by=0.0: F.floor((F.col(f"box.min{axis}") + by) / cell)
+    reach = lambda axis: F.explode(F.sequence(at(axis, -slack), at(axis, slack)))
+    left = m.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("cx", reach("x")).withColumn("cy", reach("y"))
+    right = m.withColumn("band", band).withColumn("cx", at("x")).withColumn("cy", at("y"))
+    keys = ["style", "band", "cx", "cy"]
+    sided = lambda df, s: df.select(*keys, *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "box", "len")))
+    near = sided(left, "1").join(sided(right, "2"), keys).where("piece_id1 < piece_id2").where(F.abs(F.col("len1") - F.col("len2")) <= share * F.greatest("len1", "len2"))
     for side in ("minx", "miny", "maxx", "maxy"):  # the sides of two boxes differ by no more than the paths do
         near = near.where(F.abs(F.col(f"box1.{side}") - F.col(f"box2.{side}")) <= tolerance + 1e-9)
     return near.withColumn("gap", G.hausdorff(F.col("verts1"), F.col("verts2"))).where(F.col("gap") <= tolerance).select(F.col("piece_id1").alias("a"), F.col("piece_id2").alias("b"), "gap")
 
 
-def without_twins(pieces: DataFrame, tolerance: float, share: float = 0.01) -> DataFrame:
-    """pieces without those that are a twin of one kept before, in order of piece_id.
+def twins(pieces: DataFrame, tolerance: float, share: float = 0.01) -> DataFrame:
+    """(piece_id) of pieces that are a twin of one kept before, in order of piece_id.
 
-    A piece whose only twins were dropped stays. The order matters, so a style's pairs
-    are worked on together; their shapes have been compared before that.
+    A piece whose only twins were dropped stays. The order matters, so the ids of a
+    style's pairs are worked on together; their shapes have been compared before that.
+    Only pieces of one style are twins: put the drawing into the style where drawings
+    are apart.
     """
     pairs = twin_pairs(pieces, tolerance, share).select("a", "b").join(pieces.select(F.col("piece_id").alias("a"), "style"), "a")
     kind = pieces.schema["piece_id"].dataType.simpleString()
@@ -94,8 +102,12 @@ def without_twins(pieces: DataFrame, tolerance: float, share: float = 0.01) -> D
                 dropped.add(b)
         return pd.DataFrame({"piece_id": pd.Series(list(dropped), dtype=part["b"].dtype)})
 
-    gone = pairs.groupBy("style").applyInPandas(drop, f"piece_id {kind}")
-    return pieces.join(gone, "piece_id", "left_anti").select(*pieces.columns)
+    return pairs.groupBy("style").applyInPandas(drop, f"piece_id {kind}")
+
+
+def without_twins(pieces: DataFrame, tolerance: float, share: float = 0.01) -> DataFrame:
+    """pieces without their twins()."""
+    return pieces.join(twins(pieces, tolerance, share), "piece_id", "left_anti").select(*pieces.columns)
 
 
 def run_counters(pieces: DataFrame, tolerance: float, least: float = 0.0, digits: int = 2) -> DataFrame:
@@ -105,15 +117,13 @@ def run_counters(pieces: DataFrame, tolerance: float, least: float = 0.0, digits
     end, the first stays; of the rest, those near one that stays are twins.
     """
     length = G.path_length(F.col("verts"), F.lit(False))
-    long = pieces.where(length > least).withColumn("path", canonical_path(F.col("verts"), digits))
-    firsts = long.groupBy("style", "path").agg(F.min("piece_id").alias("piece_id"))
-    kept = without_twins(long.join(firsts.select("piece_id"), "piece_id", "left_semi").drop("path"), tolerance)
-    steps = None
-    for k, df in enumerate((pieces, long, firsts, kept)):
-        one = df.agg(*(F.count(F.lit(1) if j == k else F.lit(None)).alias(f"n{j}") for j in range(4)))
-        steps = one if steps is None else steps.unionByName(one)
-    total = steps.agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4)))
-    return total.select(F.col("n3").alias("created"), F.expr("n1 - n2").alias("duplicates"), F.expr("n2 - n3").alias("twins"), F.expr("n0 - n1").alias("short"))
+    measured = pieces.withColumns({"long": F.coalesce(length > least, F.lit(False)), "path": canonical_path(F.col("verts"), digits)})
+    # Equal paths are counted as they are found; only the first ones are compared with each other.
+    paths = measured.groupBy("style", "long", "path").agg(F.min("piece_id").alias("piece_id"), F.count(F.lit(1)).alias("n"))
+    counts = paths.agg(F.coalesce(F.sum(F.when(F.col("long"), F.col("n"))), F.lit(0)).alias("long"), F.count_if("long").alias("firsts"), F.coalesce(F.sum(F.when(~F.col("long"), F.col("n"))), F.lit(0)).alias("short"))
+    first = measured.join(paths.where("long").select("piece_id"), "piece_id", "left_semi").drop("path", "long")
+    gone = twins(first, tolerance).agg(F.count(F.lit(1)).alias("twins"))
+    return counts.crossJoin(gone).select(F.expr("firsts - twins").alias("created"), F.expr("long - firsts").alias("duplicates"), "twins", "short")
 
 
 def join_chains(pieces: DataFrame, tolerance: float, own_cell: bool = False) -> DataFrame:
