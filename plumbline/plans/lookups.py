@@ -78,3 +78,14 @@ SELECT item, definition, tier FROM e QUALIFY tier = min(tier) OVER (PARTITION BY
     "q_match_buckets": M.SQL["q_composite_top5"].replace("SELECT * FROM t5", "SELECT CASE WHEN accepted THEN 'accepted' ELSE 'review' END || '/' || query::VARCHAR AS folder, query, candidate, score FROM t5 WHERE rank = 1"),
     "q_without_layer": f"WITH {V.INSERTS} SELECT layer, count(*) AS n FROM ins WHERE lower(layer) <> 'rf' GROUP BY layer",
 }
+
+# Vertices go onto a list one by one; one that the next turns back on is taken off again.
+SQL["q_clean_vertices"] = f"""WITH RECURSIVE {V.VERTS},
+rg AS (SELECT ring_id, list({{'x': x, 'y': y}} ORDER BY i) AS vs FROM vert GROUP BY ring_id),
+dd AS (SELECT ring_id, closed, len(vs) AS n, list_reduce(list_transform(vs, lambda v: [v]), lambda a, b: CASE WHEN sqrt(pow(a[-1].x - b[1].x, 2) + pow(a[-1].y - b[1].y, 2)) > 1e-4 THEN list_concat(a, b) ELSE a END) AS ps FROM rg JOIN ring USING (ring_id)),
+pp AS (SELECT ring_id, closed, n, CASE WHEN closed AND len(ps) > 1 AND sqrt(pow(ps[1].x - ps[-1].x, 2) + pow(ps[1].y - ps[-1].y, 2)) <= 1e-4 THEN ps[1:len(ps) - 1] ELSE ps END AS ps FROM dd),
+r AS (SELECT ring_id, closed, n, ps, 1::BIGINT AS k, ps[1:0] AS st FROM pp
+  UNION ALL SELECT ring_id, closed, n, ps, CASE WHEN back THEN k ELSE k + 1 END, CASE WHEN back THEN st[1:len(st) - 1] ELSE list_append(st, ps[k]) END FROM (
+    SELECT *, coalesce(len(st) >= 2 AND l1 * l2 > 0 AND ((st[-1].x - st[-2].x) * (ps[k].x - st[-1].x) + (st[-1].y - st[-2].y) * (ps[k].y - st[-1].y)) / (l1 * l2) <= cos(radians(179.75::DOUBLE)), false) AS back FROM (
+      SELECT *, sqrt(pow(st[-1].x - st[-2].x, 2) + pow(st[-1].y - st[-2].y, 2)) AS l1, sqrt(pow(ps[k].x - st[-1].x, 2) + pow(ps[k].y - st[-1].y, 2)) AS l2 FROM r WHERE k <= len(ps))))
+SELECT ring_id, n::INTEGER AS before, (len(st) + CASE WHEN closed AND len(st) > 2 THEN 1 ELSE 0 END)::INTEGER AS after FROM r WHERE k = len(ps) + 1"""
