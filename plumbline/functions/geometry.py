@@ -208,6 +208,21 @@ def moved_to_pivot(x: Column, y: Column, old_pivot: Column, new_pivot: Column) -
     return F.struct((x + old_pivot["x"] - new_pivot["x"]).alias("x"), (y + old_pivot["y"] - new_pivot["y"]).alias("y"))
 
 
+def replaced_pose(at: Column, rotation: Column, sx: Column, sy: Column, old_pivot: Column, new_pivot: Column, turn: Column) -> Column:
+    """(x, y, rotation) of an insert that takes another's place, turned on by some degrees: its pivot falls on the old one's in the drawing.
+
+    Pivots are places in the blocks; position, scales and rotation are the old insert's.
+    """
+    to = rotation + turn
+
+    def placed(p: Column, degrees: Column) -> tuple[Column, Column]:
+        c, s, x, y = F.cos(F.radians(degrees)), F.sin(F.radians(degrees)), p["x"] * sx, p["y"] * sy
+        return c * x - s * y, s * x + c * y
+
+    (ox, oy), (nx, ny) = placed(old_pivot, rotation), placed(new_pivot, to)
+    return F.struct((at["x"] + ox - nx).alias("x"), (at["y"] + oy - ny).alias("y"), to.alias("rotation"))
+
+
 def circle_samples(cx: Column, cy: Column, r: Column, n: int = 64) -> Column:
     """n points around a circle, the first one not repeated."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _on_circle(cx, cy, r, i * (2 * math.pi / n)))

@@ -129,8 +129,12 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
-def image_formula(url: Column) -> Column:
-    return F.concat(F.lit('=IMAGE("'), url, F.lit('")'))
+def image_formula(url: Column, mode: int | None = None, height: int | None = None, width: int | None = None) -> Column:
+    """A cell's picture by its address; with a mode, and in modes 3 and 4 with the height and width too."""
+    more = "" if mode is None else f",{mode}"
+    if mode in (3, 4) and height is not None and width is not None:
+        more += f",{height},{width}"
+    return F.concat(F.lit('=IMAGE("'), url, F.lit('"' + more + ")"))
 
 
 def first_of(*columns: Column) -> Column:

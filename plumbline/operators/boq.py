@@ -93,3 +93,14 @@ def dominant(rows: DataFrame, key: str, value: str, weight: str, order: str) ->
 def boq_order(*after_zone: Column) -> list[Column]:
     """The report's order: category, zone, what else is given, inserts before summaries, name."""
     return [F.upper(F.trim(F.regexp_replace("category", r"\s+", " "))), F.lower("zone"), *after_zone, F.when(F.col("entity_type") == "INSERT", 0).otherwise(1), F.col("boq_name")]
+
+
+def earlier_order() -> list[Column]:
+    """The order of earlier reports: category, inserts before summaries, name."""
+    category, _, kind, name = boq_order()
+    return [category, kind, name]
+
+
+def sheet_order(rows: DataFrame, primary: int, *others: int) -> list[Column]:
+    """A sheet's sort by its columns' numbers from 1; numbers below that are passed over."""
+    return [F.col(rows.columns[n - 1]) for n in (primary, *others) if n >= 1]

@@ -31,3 +31,14 @@ def featured(entities: DataFrame) -> DataFrame:
 def named_blocks(definitions: DataFrame, name: str = "block") -> DataFrame:
     """Block definitions that a user named: anonymous and layout blocks begin with an asterisk."""
     return definitions.where(F.col(name).isNotNull() & ~F.startswith(F.col(name), F.lit("*")))
+
+
+def on_layer(entities: DataFrame, layer: str, kinds: list[str] | None = None) -> DataFrame:
+    """Entities on a layer, whatever the case of its name; with a list of types, only those."""
+    out = entities.where(F.lower("layer") == layer.lower())
+    return out if kinds is None else out.where(F.col("etype").isin(kinds))
+
+
+def by_block(chosen: DataFrame, name: str = "name", key: str = "ent_id") -> DataFrame:
+    """(name, ids) of chosen inserts: the ids of each block in order. What is chosen by hand fits a row."""
+    return chosen.where(F.col(name).isNotNull()).groupBy(name).agg(F.sort_array(F.collect_list(key)).alias("ids"))

@@ -153,7 +153,15 @@ def q_edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.unionByName(plan.select(F.lit("erase").alias("op"), F.col("ent_ord").alias("target"), F.lit(None).cast("string").alias("block"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")))
 
 
-QUERIES = [q_hash_topk, q_hash_topk_by_bands, q_prefilter_top80, q_geom_features, q_geom_similarity, q_rank_candidates, q_fallback_rank, q_composite_top5, q_composite_with_fallback, q_match_map_json, q_circular_corr, q_ncc, q_edit_plan]
+def q_edit_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses of inserts that are replaced: turned on by a given angle, their pivots where the old ones were."""
+    i = V.inserts(spark, sf_dir).withColumn("n", F.substring("ent_ord", 1, 12).cast("long"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    pose = G.replaced_pose(point(F.col("x"), F.col("y")), (F.col("n") % 360).cast("double"), (1 + F.col("n") % 3).cast("double"), F.when(F.col("n") % 2 == 0, -1.0).otherwise(1.0), point(F.col("length") / 2, F.col("width") / 2), point(F.col("width") / 2, F.col("length") / 3), (F.col("n") % 24 * 15).cast("double"))
+    return i.select("ent_ord", pose.alias("p")).select("ent_ord", *(G.rounded(F.col(f"p.{c}")).alias(c) for c in ("x", "y", "rotation")))
+
+
+QUERIES = [q_edit_poses, q_hash_topk, q_hash_topk_by_bands, q_prefilter_top80, q_geom_features, q_geom_similarity, q_rank_candidates, q_fallback_rank, q_composite_top5, q_composite_with_fallback, q_match_map_json, q_circular_corr, q_ncc, q_edit_plan]
 
 _DOT = lambda a, b: f"list_sum([p[1] * p[2] for p in list_zip({a}, {b})])"
 _PRE = f"""sims AS (SELECT q.owner AS query, m.owner, max(list_inner_product(q.vec, m.vec)) AS sim FROM emb q JOIN emb m ON q.owner % {EVERY} = 0 AND m.owner <> q.owner GROUP BY q.owner, m.owner),
@@ -209,3 +217,7 @@ z AS (SELECT vec_id, k, (x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-
 SELECT a.vec_id, floor(sum(a.x * b.x) / 64 * 100000 + 0.50001) / 100000.0::DOUBLE AS ncc FROM z a JOIN z b ON b.vec_id = a.vec_id + 1 AND a.k = b.k GROUP BY a.vec_id""",
 }
 SQL["q_hash_topk_by_bands"] = SQL["q_hash_topk"]
+
+SQL["q_edit_poses"] = f"""WITH {V.INSERTS}, i AS (SELECT *, ent_ord[1:12]::BIGINT AS n FROM ins),
+p AS (SELECT *, radians((n % 360)::DOUBLE) AS a, radians((n % 360 + n % 24 * 15)::DOUBLE) AS b, length / 2 * (1 + n % 3) AS ox, width / 2 * CASE WHEN n % 2 = 0 THEN -1 ELSE 1 END AS oy, width / 2 * (1 + n % 3) AS nx, length / 3 * CASE WHEN n % 2 = 0 THEN -1 ELSE 1 END AS ny FROM i)
+SELECT ent_ord, {r4('x + (cos(a) * ox - sin(a) * oy) - (cos(b) * nx - sin(b) * ny)')} AS x, {r4('y + (sin(a) * ox + cos(a) * oy) - (sin(b) * nx + cos(b) * ny)')} AS y, (n % 360 + n % 24 * 15)::DOUBLE AS rotation FROM p"""

@@ -534,3 +534,27 @@ def test_a_map_that_changes_between_batches(spark, tmp_path):
     assert out == {(0, "H1A", "one"), (0, "9", None), (1, "1a", "three"), (1, "9", "nine")}
     path.write_text("not JSON")
     assert watched.entries().count() == 0
+
+
+def test_small_helpers_of_sheets_and_selections(spark):
+    from plumbline.functions import geometry as G
+    from plumbline.functions import strings as S
+    from plumbline.operators import boq, selection
+    from plumbline.operators import clusters as K
+
+    one = spark.range(1).select(S.image_formula(F.lit("u")).alias("a"), S.image_formula(F.lit("u"), 1).alias("b"), S.image_formula(F.lit("u"), 4, 60, 80).alias("c")).first()
+    assert tuple(one) == ('=IMAGE("u")', '=IMAGE("u",1)', '=IMAGE("u",4,60,80)')
+    e = spark.createDataFrame([(3, "LINE", "Wall", "A"), (1, "INSERT", "wall", "B"), (2, "INSERT", None, "B"), (4, "INSERT", "WALL", None)], "ent_id int, etype string, layer string, name string")
+    assert sorted(r["ent_id"] for r in selection.on_layer(e, "WALL").collect()) == [1, 3, 4]
+    assert [r["ent_id"] for r in selection.on_layer(e, "wall", ["LINE"]).collect()] == [3]
+    assert {r["name"]: r["ids"] for r in selection.by_block(e.where("etype = 'INSERT'")).collect()} == {"B": [1, 2]}
+    rows = spark.createDataFrame([("b", "x", "LAYER_SUMMARY", "n"), ("b", "y", "INSERT", "m"), (" B ", "a", "INSERT", "a"), ("a", "z", "LAYER_SUMMARY", "")], "category string, zone string, entity_type string, boq_name string")
+    assert [r["boq_name"] for r in rows.orderBy(*boq.earlier_order()).collect()] == ["", "a", "m", "n"]
+    assert [r["zone"] for r in rows.orderBy(*boq.sheet_order(rows, 3, 0, 2)).collect()] == ["a", "y", "x", "z"]
+    box = lambda x, y, w: (x, y, x + w, y + w)
+    boxes = [("big", 1, box(0.0, 0.0, 10.0)), ("big", 2, box(10.9, 0.0, 1.0)), ("big", 3, box(90.0, 90.0, 10.0)), ("small", 4, box(0.0, 0.0, 0.1)), ("small", 5, box(0.102, 0.0, 0.1)), ("small", 6, box(0.25, 0.0, 0.1)), ("dot", 7, box(5.0, 5.0, 0.0)), ("dot", 8, box(5.0, 5.0, 0.0))]
+    table = spark.createDataFrame(boxes, "block string, box_id long, box struct<minx:double,miny:double,maxx:double,maxy:double>")
+    assert {r["block"]: (r["boxes"], r["parts"]) for r in K.part_counts(table).collect()} == {"big": (3, 2), "small": (3, 2), "dot": (2, 1)}
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    pose = spark.range(1).select(G.replaced_pose(point(10.0, 0.0), F.lit(90.0), F.lit(2.0), F.lit(1.0), point(1.0, 0.0), point(0.0, 3.0), F.lit(90.0)).alias("p")).first()["p"]
+    assert (round(pose["x"], 9), round(pose["y"], 9), pose["rotation"]) == (10.0, 5.0, 180.0)  # the old pivot stood at (10, 2), the new one hangs 3 below its insert
