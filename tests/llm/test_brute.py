@@ -634,7 +634,7 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("family, small, block", [(12_000, 6, 2_000), (3, 6, 3), (3, 2, 1), (12_000, 2, 4), (1, 1, 7)])
+@pytest.mark.parametrize("family, small, block", [(12_000, 2, 4), (3, 6, 3)])
 def test_large_groups_in_any_cut(spark, monkeypatch, family, small, block):
     """Groups that share signatures through a long passage, and whose members link by chains, give the same components however they are cut."""
     from plumbline.llm import near_duplicates as N
@@ -643,14 +643,14 @@ def test_large_groups_in_any_cut(spark, monkeypatch, family, small, block):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
     passage = [word() for _ in range(120)]
     texts = []
-    for _ in range(12):  # drifting copies: neighbours link, far ones don't
+    for _ in range(7):  # drifting copies: neighbours link, far ones don't
         w = passage + [word() for _ in range(40)]
         for _ in range(9):
             w = list(w)
             for _ in range(3):
                 w[rng.randrange(len(w))] = word()
             texts.append(" ".join(w))
-    texts += [" ".join(passage + [word() for _ in range(rng.randint(20, 60))]) for _ in range(40)] + [None, ""]
+    texts += [" ".join(passage + [word() for _ in range(rng.randint(20, 60))]) for _ in range(25)] + [None, ""]
     monkeypatch.setattr(N, "FAMILY", family)
     monkeypatch.setattr(N, "SMALL_GROUP", small)
     monkeypatch.setattr(N, "GROUP_BLOCK", block)
