@@ -634,8 +634,8 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("family, small, block", [(12_000, 2, 4), (3, 6, 3)])
-def test_large_groups_in_any_cut(spark, monkeypatch, family, small, block):
+@pytest.mark.parametrize("family, small", [(12_000, 2), (3, 6)])
+def test_large_groups_in_any_cut(spark, monkeypatch, family, small):
     """Groups that share signatures through a long passage, and whose members link by chains, give the same components however they are cut."""
     from plumbline.llm import near_duplicates as N
 
@@ -653,7 +653,6 @@ def test_large_groups_in_any_cut(spark, monkeypatch, family, small, block):
     texts += [" ".join(passage + [word() for _ in range(rng.randint(20, 60))]) for _ in range(25)] + [None, ""]
     monkeypatch.setattr(N, "FAMILY", family)
     monkeypatch.setattr(N, "SMALL_GROUP", small)
-    monkeypatch.setattr(N, "GROUP_BLOCK", block)
     sets, roots = components_of(texts)
     got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(spark, texts)).collect()}
     assert got == dict(enumerate(roots)) and 1 < len(set(roots)) < len(texts)
