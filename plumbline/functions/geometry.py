@@ -58,13 +58,17 @@ def _pairs_type() -> str:
 
 
 def path_length(verts: Column, closed: Column) -> Column:
-    return F.aggregate(closed_pairs(verts, closed), F.lit(0.0), lambda t, p: t + distance(p["a"], p["b"]))
+    return F.aggregate(F.reverse(closed_pairs(verts, closed)), F.lit(0.0), lambda t, p: t + distance(p["a"], p["b"]))
 
 
 def signed_area(verts: Column) -> Column:
-    """Shoelace over the closed ring; positive anticlockwise, 0 below three vertices."""
+    """Shoelace over the closed ring; positive anticlockwise, 0 below three vertices.
+
+    Edges are summed from the last to the first, as the SQL does: where the points lie
+    on a line the last bits are all that is left, and they hang on the order.
+    """
     cross = lambda p: p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]
-    total = F.aggregate(closed_pairs(verts, F.lit(True)), F.lit(0.0), lambda t, p: t + cross(p))
+    total = F.aggregate(F.reverse(closed_pairs(verts, F.lit(True))), F.lit(0.0), lambda t, p: t + cross(p))
     return F.when(F.size(verts) < 3, F.lit(0.0)).otherwise(total / 2)
 
 
@@ -74,7 +78,7 @@ def ring_area(verts: Column) -> Column:
 
 def centroid(verts: Column) -> Column:
     """The vertices' mean."""
-    mean = lambda axis: F.aggregate(verts, F.lit(0.0), lambda t, v: t + v[axis]) / F.size(verts)
+    mean = lambda axis: F.aggregate(F.reverse(verts), F.lit(0.0), lambda t, v: t + v[axis]) / F.size(verts)
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
 
