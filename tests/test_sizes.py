@@ -26,6 +26,6 @@ def flat(tmp_path_factory):
     return closed_rings(str(tmp_path_factory.mktemp("flat")), FLAT)
 
 
-@pytest.mark.parametrize("name", ["q_ring_area", "q_ring_issues"])
+@pytest.mark.parametrize("name", ["q_ring_area", "q_ring_issues", "q_issue_markers"])
 def test_flat_rings(spark, flat, name):
     oracle.compare(spark, oracle.connect(flat), flat, QUERIES[name], SQL[name])
