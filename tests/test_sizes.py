@@ -29,3 +29,17 @@ def flat(tmp_path_factory):
 @pytest.mark.parametrize("name", ["q_ring_area", "q_ring_issues", "q_issue_markers"])
 def test_flat_rings(spark, flat, name):
     oracle.compare(spark, oracle.connect(flat), flat, QUERIES[name], SQL[name])
+
+
+def crowd(spark):
+    """Two heaps of a hundred boxes each, two apart, with one box between them that touches neither."""
+    rows = [(100 * h + i, "d", (20.0 * h, 0.0, 20.0 * h + 1 + i % 7, 1.0 + i % 5)) for h in (0, 1) for i in range(100)]
+    return spark.createDataFrame([*rows, (500, "d", (12.0, 0.0, 13.0, 1.0))], "box_id long, drawing string, box struct<minx:double,miny:double,maxx:double,maxy:double>")
+
+
+def test_pairs_are_found_once(spark):
+    from plumbline.operators import clusters as K
+
+    pairs = K.touching_pairs(crowd(spark), 1.5, 1.0)
+    assert pairs.count() == pairs.distinct().count() == 2 * 100 * 99 // 2
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
