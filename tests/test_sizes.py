@@ -43,3 +43,16 @@ def test_pairs_are_found_once(spark):
     pairs = K.touching_pairs(crowd(spark), 1.5, 1.0)
     assert pairs.count() == pairs.distinct().count() == 2 * 100 * 99 // 2
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heaps_are_one_box(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import clusters as K
+
+    boxes = crowd(spark)
+    members, few = K.touching_classes(boxes, ["drawing"], F.lit(1.5))
+    assert members.count() == 201 and few.count() == 3
+    want = {r["box_id"]: r["component"] for r in K.components(boxes.select("box_id"), K.touching_pairs(boxes, 1.5, 4.0)).collect()}
+    assert {r["box_id"]: r["component"] for r in K.touching_components(boxes, 1.5, 4.0).collect()} == want
+    assert set(want.values()) == {0, 100, 500}
