@@ -56,3 +56,9 @@ def test_heaps_are_one_box(spark):
     want = {r["box_id"]: r["component"] for r in K.components(boxes.select("box_id"), K.touching_pairs(boxes, 1.5, 4.0)).collect()}
     assert {r["box_id"]: r["component"] for r in K.touching_components(boxes, 1.5, 4.0).collect()} == want
     assert set(want.values()) == {0, 100, 500}
+
+
+def test_parts_of_heaps(spark):
+    from plumbline.operators import clusters as K
+
+    assert K.part_counts(crowd(spark).withColumnRenamed("drawing", "block")).first()["parts"] == 3
