@@ -70,12 +70,14 @@ def twin_pairs(pieces: DataFrame, tolerance: float, share: float = 0.01) -> Data
     place are compared, however many a style has.
     """
     m = pieces.select("piece_id", "style", "verts", G.bounds(F.col("verts")).alias("box"), G.path_length(F.col("verts"), F.lit(False)).alias("len")).where("len > 0")
-    band = F.floor(F.ln("len") / math.log1p(2 * share))
-    cell, slack = 4 * max(tolerance, 1e-6), tolerance + 1e-9
+    # Bands and cells are several times as wide as twins may be apart, so that few pieces reach into a second one.
+    width, apart = math.log1p(10 * share), 1e-9 - math.log1p(-min(share, 1 - 1e-9))
+    band = lambda by=0.0: F.floor((F.ln("len") + by) / width)
+    cell, slack = 16 * max(tolerance, 1e-6), tolerance + 1e-9
     at = lambda axis, by=0.0: F.floor((F.col(f"box.min{axis}") + by) / cell)
     reach = lambda axis: F.explode(F.sequence(at(axis, -slack), at(axis, slack)))
-    left = m.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("cx", reach("x")).withColumn("cy", reach("y"))
-    right = m.withColumn("band", band).withColumn("cx", at("x")).withColumn("cy", at("y"))
+    left = m.withColumn("band", F.explode(F.sequence(band(-apart), band(apart)))).withColumn("cx", reach("x")).withColumn("cy", reach("y"))
+    right = m.withColumn("band", band()).withColumn("cx", at("x")).withColumn("cy", at("y"))
     keys = ["style", "band", "cx", "cy"]
     sided = lambda df, s: df.select(*keys, *(F.col(c).alias(c + s) for c in ("piece_id", "verts", "box", "len")))
     near = sided(left, "1").join(sided(right, "2"), keys).where("piece_id1 < piece_id2").where(F.abs(F.col("len1") - F.col("len2")) <= share * F.greatest("len1", "len2"))

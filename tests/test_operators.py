@@ -1,5 +1,7 @@
 """Operators on small tables with known results."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -558,3 +560,44 @@ def test_small_helpers_of_sheets_and_selections(spark):
     point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     pose = spark.range(1).select(G.replaced_pose(point(10.0, 0.0), F.lit(90.0), F.lit(2.0), F.lit(1.0), point(1.0, 0.0), point(0.0, 3.0), F.lit(90.0)).alias("p")).first()["p"]
     assert (round(pose["x"], 9), round(pose["y"], 9), pose["rotation"]) == (10.0, 5.0, 180.0)  # the old pivot stood at (10, 2), the new one hangs 3 below its insert
+
+
+def test_twins_reach_few_cells(spark):
+    """Pieces are sent to fewer than two places each on average, and all twins are found."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import cleanup as K
+
+    rng = random.Random(8)
+    ends = [(rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(150)]
+    ends += [tuple(v + rng.uniform(-0.6, 0.6) for v in e) for e in ends]
+    rows = [(i, "s", [(a, b, 0.0), (c, d, 0.0)]) for i, (a, b, c, d) in enumerate(ends)]
+    pieces = spark.createDataFrame(rows, "piece_id long, style string, verts array<struct<x:double,y:double,bulge:double>>").cache()
+    got = {(r["a"], r["b"]) for r in K.twin_pairs(pieces, 1.5, 0.05).collect()}
+
+    def seg(p, a, b):
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / math.dist(a, b) ** 2))
+        return math.dist(p, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+
+    want = set()
+    for i in range(300):
+        for j in range(i + 1, 300):
+            (a, b), (c, d) = (ends[i][:2], ends[i][2:]), (ends[j][:2], ends[j][2:])
+            m, n = math.dist(a, b), math.dist(c, d)
+            if abs(m - n) <= 0.05 * max(m, n) and max(seg(a, c, d), seg(b, c, d), seg(c, a, b), seg(d, a, b)) <= 1.5:
+                want.add((i, j))
+    assert got == want and want
+    sent, own = [], F.explode
+    # What the left side is exploded to, counted on the pieces themselves.
+    lens = [math.dist(e[:2], e[2:]) for e in ends]
+    try:
+        F.explode = lambda c: sent.append(c) or own(c)
+        K.twin_pairs(pieces, 1.5, 0.05)
+    finally:
+        F.explode = own
+    rows = pieces.select("*", K.G.bounds(F.col("verts")).alias("box"), K.G.path_length(F.col("verts"), F.lit(False)).alias("len"))
+    for c in sent:
+        rows = rows.withColumn(f"x{len(rows.columns)}", own(c))
+    assert len(lens) <= rows.count() < 2 * len(lens)
