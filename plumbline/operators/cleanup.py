@@ -29,8 +29,8 @@ def ring_issues(rings: DataFrame, near: float = 1e-4, bend: float = 0.5) -> Data
     flat = F.filter(_corners(F.col("verts")), lambda c: (angle(c) <= math.radians(bend)) & (G.distance(c["a"], c["b"]) > near) & (G.distance(c["b"], c["c"]) > near))
     straight = F.transform(flat, lambda c: one("collinear", c["b"]["x"], c["b"]["y"]))
     cross = F.transform("_cross", lambda p: one("self_intersection", p["x"], p["y"]))
-    middle = G.centroid(F.col("verts"))
-    clockwise = F.when(G.signed_area(F.col("verts")) < 0, F.array(one("clockwise", middle["x"], middle["y"]))).otherwise(F.array().cast(_ISSUES))
+    middle = G.centroid(F.col("verts"), closing_first=True)
+    clockwise = F.when(G.signed_area(F.col("verts"), closing_first=True) < 0, F.array(one("clockwise", middle["x"], middle["y"]))).otherwise(F.array().cast(_ISSUES))
     full = F.concat(close, straight, cross, clockwise)
     found = F.when(n < 3, F.array(one("few", first["x"], first["y"]))).when(~F.col("closed"), F.array(one("open", first["x"], first["y"]))).otherwise(full)
     # Only whole rings are swept; all issues come from one pass over them.

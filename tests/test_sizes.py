@@ -62,3 +62,15 @@ def test_parts_of_heaps(spark):
     from plumbline.operators import clusters as K
 
     assert K.part_counts(crowd(spark).withColumnRenamed("drawing", "block")).first()["parts"] == 3
+
+
+@pytest.fixture(scope="module")
+def bows(tmp_path_factory):
+    """Two thousand closed rings of four corners that cross themselves, so that both halves cancel out."""
+    lines = [(i, k + 1, 1, 1, float(1 + (i * 7 + k % 2 * (1 + i % 40)) % 50), (90068 + (i * 7919 + k * 104729 * (i % 89 + 1)) % 10409931) / 100) for i in range(2000) for k in range(4)]
+    return closed_rings(str(tmp_path_factory.mktemp("bows")), lines)
+
+
+@pytest.mark.parametrize("name", ["q_ring_issues"])
+def test_rings_that_cancel_out(spark, bows, name):
+    oracle.compare(spark, oracle.connect(bows), bows, QUERIES[name], SQL[name])
