@@ -58,7 +58,9 @@ def _pairs_type() -> str:
 
 
 def path_length(verts: Column, closed: Column) -> Column:
-    return F.aggregate(F.reverse(closed_pairs(verts, closed)), F.lit(0.0), lambda t, p: t + distance(p["a"], p["b"]))
+    """Edges' lengths as roots of squares, from the last edge, as the SQL has them: hypot differs in the last bit, which decides where a ring has no area."""
+    square = lambda p: (p["b"]["x"] - p["a"]["x"]) * (p["b"]["x"] - p["a"]["x"]) + (p["b"]["y"] - p["a"]["y"]) * (p["b"]["y"] - p["a"]["y"])
+    return F.aggregate(F.reverse(closed_pairs(verts, closed)), F.lit(0.0), lambda t, p: t + F.sqrt(square(p)))
 
 
 def signed_area(verts: Column, closing_first: bool = False) -> Column:

@@ -71,6 +71,6 @@ def bows(tmp_path_factory):
     return closed_rings(str(tmp_path_factory.mktemp("bows")), lines)
 
 
-@pytest.mark.parametrize("name", ["q_ring_issues", "q_issue_markers"])
+@pytest.mark.parametrize("name", ["q_rect_dims", "q_ring_issues", "q_issue_markers"])
 def test_rings_that_cancel_out(spark, bows, name):
     oracle.compare(spark, oracle.connect(bows), bows, QUERIES[name], SQL[name])
