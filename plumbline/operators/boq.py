@@ -82,12 +82,15 @@ def layer_rows(metrics: DataFrame, mode: str = "split") -> DataFrame:
 
 
 def dominant(rows: DataFrame, key: str, value: str, weight: str, order: str) -> DataFrame:
-    """The value with the largest total weight by key; of equal ones the first seen. Weights of 0 or less count 1."""
+    """The value with the largest total weight by key; of equal ones the first seen. Weights of 0 or less count 1.
+
+    The totals are used once: their last bits hang on the order in which a shuffle
+    delivers, so a second computation may not equal the first.
+    """
     w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(F.lit(1.0))
     totals = rows.groupBy(key, value).agg(F.sum(w).alias("_w"), F.min(order).alias("_first"))
-    best = totals.groupBy(key).agg(F.max("_w").alias("_top"))
-    tied = totals.join(best, key).where(F.col("_w") == F.col("_top"))
-    return tied.groupBy(key).agg(F.min_by(value, "_first").alias(value), F.first("_top").alias("weight"))
+    best = totals.groupBy(key).agg(F.min(F.struct((~F.isnan("_w")).alias("number"), (-F.col("_w")).alias("less"), "_first", F.col(value).alias("value"))).alias("_best"))
+    return best.select(key, F.col("_best.value").alias(value), (-F.col("_best.less")).alias("weight"))
 
 
 def boq_order(*after_zone: Column) -> list[Column]:

@@ -71,6 +71,17 @@ def test_dominant_colour(spark):
     assert {r["layer"]: r["c"] for r in boq.dominant(rows, "layer", "c", "w", "o").collect()} == {"L": "blue", "M": "b"}
 
 
+def test_dominant_colour_of_wavering_sums(spark):
+    """Sums whose last bits change whenever they are computed, as they do with the order of a shuffle."""
+    import random
+
+    from pyspark.sql import types as T
+
+    wavering = F.udf(lambda w: w + random.random() / 1e6, T.DoubleType()).asNondeterministic()
+    rows = spark.range(400).select((F.col("id") % 20).alias("layer"), (F.col("id") % 3).alias("c"), wavering(F.col("id").cast("double")).alias("w"), F.col("id").alias("o"))
+    assert len(boq.dominant(rows, "layer", "c", "w", "o").collect()) == 20
+
+
 def test_ring_issues(spark):
     rings = spark.createDataFrame(
         [(1, True, [(0.0, 0.0, 0.0), (2.0, 2.0, 0.0), (2.0, 0.0, 0.0), (0.0, 2.0, 0.0)]), (2, True, [(0.0, 0.0, 0.0), (0.0, 2.0, 0.0), (2.0, 2.0, 0.0), (2.0, 0.0, 0.0)]), (3, False, square(0.0, 0.0, 1.0)), (4, True, [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0)]), (5, True, [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (2.0, 0.0, 0.0), (2.0, 2.0, 0.0)])],
