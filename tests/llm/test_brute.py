@@ -619,6 +619,32 @@ def near_texts():
     return out
 
 
+def test_few_bytes_travel_with_signatures(spark):
+    """Signatures of a text go to nearly as many buckets as there are, so what goes along with each counts."""
+    from plumbline.llm import near_duplicates as N
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(60)]
+    payload = N._payload(documents(spark, texts).select("text"), 5, list(range(400)), spark.sparkContext.broadcast(None)).drop("bucket").collect()
+    along = sum(len(r[c]) for r in payload for c in r.__fields__ if c != "low")
+    assert along <= 10 * sum(len(r["counts"]) // 4 for r in payload)
+
+
+def test_short_names_shared_by_many_sets(spark, monkeypatch):
+    """With names of three bits nearly all sets share theirs with others; the links are the same."""
+    from plumbline.llm import near_duplicates as N
+
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(20, 60))] for _ in range(40)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], "other"]) for x in base] + [" ".join(["first", *x]) for x in base[:20]]
+    texts += [" ".join([*base[0], *(f"end{i}" for i in range(k % 3))]) for k in range(12)]
+    found = lambda: {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(spark, texts)).collect()}
+    want = found()
+    assert len(set(want.values())) < 60
+    monkeypatch.setattr(N, "NAME_BITS", 3)
+    assert found() == want
+
+
 def test_near_duplicates(spark):
     from plumbline.llm.near_duplicates import keep_one, near_duplicates
 
