@@ -74,3 +74,18 @@ def bows(tmp_path_factory):
 @pytest.mark.parametrize("name", ["q_rect_dims", "q_ring_issues", "q_issue_markers"])
 def test_rings_that_cancel_out(spark, bows, name):
     oracle.compare(spark, oracle.connect(bows), bows, QUERIES[name], SQL[name])
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_clusters_without_pairs(spark, least):
+    """Boxes of many tiles, some of them equal, and one as wide as a tile: the clusters of all pairs, from rows that don't grow with the pairs."""
+    from plumbline.operators import clusters as K
+
+    at = lambda i, a, n: i * a % n
+    rows = [(i, f"d{i % 2}", (float(at(i, 37, 307)), float(at(i, 61, 293)), float(at(i, 37, 307) + 1 + i % 9), float(at(i, 61, 293) + 1 + i % 5))) for i in range(1500)]
+    rows += [(5000 + i, "d0", rows[2 * i][2]) for i in range(200)] + [(6000, "d1", (0.0, 0.0, 90.0, 4.0))]
+    boxes = spark.createDataFrame(rows, "box_id long, drawing string, box struct<minx:double,miny:double,maxx:double,maxy:double>")
+    limits = K.thresholds(boxes)
+    want = sorted(map(tuple, K.anchor_clusters(K.anchor_pairs(boxes, limits), least).collect()))
+    assert len({c for _, c, _ in want}) > 50
+    assert sorted(map(tuple, K.clusters_around_anchors(boxes, limits, least=least).collect())) == want
